@@ -14,7 +14,7 @@ from pyspark import TaskContext
 
 from .files import folder, opened
 from .tokens import encoder
-from .work import as_text, stored
+from .work import as_text, spread, stored
 
 SEQUENCE = 1024
 #: Sequences in a record batch; a reader holds one batch at a time.
@@ -145,4 +145,4 @@ def read_arrow(manifest: DataFrame) -> DataFrame:
                     columns = [docs["doc_id"], pa.array(starts + row["base"]), docs["n_tokens"], pa.array(crcs, pa.int64())]
                     yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return placed.repartition("shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread(placed).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

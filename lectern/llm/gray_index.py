@@ -149,7 +149,8 @@ def near_links(prints: DataFrame, radius: int, fanout: int = FANOUT) -> DataFram
     for level in range(len(levels) - 1, -1, -1):
         one = levels[level]
         two = one.select(F.col("node").alias("b"), *[F.col(c).alias(f"{c}2") for c in ("pattern", "mask", "kids", "patterns", "masks")])
-        both = pairs.join(one.withColumnRenamed("node", "a"), "a").join(two, "b")
+        # Pairs compress well, so their file size says little about what a broadcast would take.
+        both = pairs.hint("merge").join(one.withColumnRenamed("node", "a"), "a").hint("merge").join(two, "b")
         if level:
             both = both.select("a", "b", *[f"{c}{s}" for s in ("", "2") for c in ("kids", "patterns", "masks")])
             pairs = stored(both.mapInArrow(_expand(radius), "a long, b long"), "pairs")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .files import folder, opened
-from .work import as_text, stored
+from .work import as_text, spread, stored
 
 ROLL_BYTES = 256 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -132,7 +132,7 @@ def write_warc(pages: DataFrame, to: str, min_bytes: int = 0, roll: int = ROLL_B
                     raise OSError(f"{row['path']} does not have the size that the manifest lists")
             yield batch
 
-    return stored(manifest.mapInArrow(commit, MANIFEST), "warc-committed")
+    return stored(spread(manifest).mapInArrow(commit, MANIFEST), "warc-committed")
 
 
 def _members(uri: str, step: int = 1 << 20) -> Iterator[bytes]:
@@ -194,4 +194,4 @@ def read_warc(manifest: DataFrame, payloads: bool = False) -> DataFrame:
     fields = [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
     schema = pa.schema(fields + [("payload", pa.binary())] * payloads)
     ddl = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
-    return manifest.select("path").repartition("path").mapInArrow(read, ddl)
+    return spread(manifest.select("path")).mapInArrow(read, ddl)

@@ -47,3 +47,8 @@ def ascii_lower(text: Column) -> Column:
 def as_text(text: Column) -> Column:
     """A text of which null counts as empty."""
     return F.coalesce(text.cast("string"), F.lit(""))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """A partition for each row of a small table whose rows stand for much work, as a file does: adaptive execution keeps such partitions apart."""
+    return rows.repartition(min(10_000, max(1, rows.count())))
