@@ -25,7 +25,7 @@ def table(spark, sf_dir: str, name: str):
 
 
 #: Modules of lectern.queries.
-PARTS = ("text",)
+PARTS = ("text", "positions", "matching", "reading")
 
 
 def load() -> None:
