@@ -12,3 +12,15 @@ def upper_median_by_counts(rows: DataFrame, by: str, value: str) -> DataFrame:
     w = Window.partitionBy(by)
     upto = counts.withColumn("upto", F.sum("count").over(w.orderBy(value))).withColumn("n", F.sum("count").over(w))
     return upto.filter(F.col("upto") > F.floor(F.col("n") / 2)).groupBy(by).agg(F.min(value).alias("median"))
+
+
+def global_places(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows with place, counted from 1 in the given order over the whole table.
+
+    Rows go to hashed runs by the order's first column's prefix in sorted ranges: each range is numbered on its own and shifted by the
+    sizes of the ranges before it, of which there are as many as partitions.
+    """
+    ranged = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    sizes = ranged.groupBy("_range").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn("_own", own).join(sizes.select("_range", "_before"), "_range").withColumn("place", F.col("_own") + F.col("_before")).drop("_own", "_before", "_range")
