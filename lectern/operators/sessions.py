@@ -38,7 +38,7 @@ def sessions(rows: DataFrame, idle_s: int = IDLE_S) -> DataFrame:
 
     Sessions under 20 seconds with fewer than 30 words are dropped. One shuffle, by book.
     """
-    gap = F.coalesce(F.least(F.lit(idle_s * 1_000_000), F.col("next_us") - F.col("us")), F.lit(0))
+    gap = F.when(F.col("next_us").isNull(), 0).otherwise(F.least(F.lit(idle_s * 1_000_000), F.col("next_us") - F.col("us")))  # least() passes over nulls
     ms = F.floor(F.sum(gap) / 1000)
     out = islands(rows).groupBy("book_id", "nth").agg(F.first("mode").alias("mode"), F.min("ts").alias("start"), F.max("ts").alias("end"), ms.alias("ms"), F.greatest(F.lit(0), F.sum("words")).alias("words"), F.count("*").alias("events"))
     kept = out.filter((F.col("ms") >= MIN_MS) | (F.col("words") >= MIN_WORDS))

@@ -16,7 +16,7 @@ def _sql_sessions(idle_s: int) -> str:
     return f"""ev AS (SELECT user_id AS book_id, event_id, ts, epoch_us(ts) AS us, CASE event_type WHEN 'view' THEN 'read' WHEN 'click' THEN 'listen' WHEN 'purchase' THEN 'physical' ELSE event_type END AS mode, CAST(floor(coalesce(value, 0)) AS BIGINT) AS words FROM events),
 ch AS (SELECT *, CASE WHEN lag(mode) OVER w = mode THEN 0 ELSE 1 END AS changed, lead(us) OVER w AS next_us FROM ev WINDOW w AS (PARTITION BY book_id ORDER BY us, event_id)),
 isl AS (SELECT *, CAST(sum(changed) OVER (PARTITION BY book_id ORDER BY us, event_id) AS BIGINT) AS nth FROM ch),
-agg AS (SELECT book_id, nth, any_value(mode) AS mode, min(ts) AS start, max(ts) AS "end", CAST(floor(sum(coalesce(least({idle_s}000000, next_us - us), 0)) / 1000) AS BIGINT) AS ms, CAST(greatest(0, sum(words)) AS BIGINT) AS words, count(*) AS events FROM isl GROUP BY book_id, nth),
+agg AS (SELECT book_id, nth, any_value(mode) AS mode, min(ts) AS start, max(ts) AS "end", CAST(floor(sum(CASE WHEN next_us IS NULL THEN 0 ELSE least({idle_s}000000, next_us - us) END) / 1000) AS BIGINT) AS ms, CAST(greatest(0, sum(words)) AS BIGINT) AS words, count(*) AS events FROM isl GROUP BY book_id, nth),
 sess AS (SELECT *, floor(ms / 6000 + 0.5) / 10 AS minutes, CAST(start AS DATE) AS day, CAST(floor(ms / 6000 + 0.5) AS BIGINT) AS tn FROM agg WHERE ms >= 20000 OR words >= 30)"""
 
 
