@@ -25,7 +25,7 @@ def table(spark, sf_dir: str, name: str):
 
 
 #: Modules of lectern.queries.
-PARTS = ("text", "positions", "matching", "reading", "markup", "library", "narration", "store", "streams")
+PARTS = ("text", "positions", "matching", "reading", "markup", "library", "narration", "store", "streams", "formats")
 
 
 def load() -> None:
