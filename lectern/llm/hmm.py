@@ -32,6 +32,16 @@ def word_class(word: str) -> int:
     return zlib.crc32(word[-3:].encode()) % CLASSES if word else END
 
 
+def _pack(ids: np.ndarray) -> bytes:
+    """All low halves, then all high halves: frequent words have small numbers, so the second part is nearly all zero."""
+    return ids.astype("<u4").view("<u2").reshape(-1, 2).T.tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    low, high = np.frombuffer(data, "<u2").reshape(2, -1)
+    return low | high.astype(np.uint32) << np.uint32(16)
+
+
 def token_blocks(docs: DataFrame) -> DataFrame:
     """Blocks of texts as numbers into the block's own list of words; `trained` counts a word in the block's training texts.
 
@@ -49,7 +59,7 @@ def token_blocks(docs: DataFrame) -> DataFrame:
                 doc_ids = batch.column(0).slice(at, len(texts)).to_pylist()
                 held = np.array([held_out(d) for d in doc_ids])
                 trained = np.bincount(ids[np.repeat(~held, sizes + 1)], minlength=len(names))
-                row = {"block": [block], "doc_ids": [doc_ids], "held": [held.tolist()], "sizes": [(sizes + 1).tolist()], "ids": [ids.astype("<u4").tobytes()], "words": [names], "trained": [trained], "classes": [[word_class(w) for w in names]]}
+                row = {"block": [block], "doc_ids": [doc_ids], "held": [held.tolist()], "sizes": [(sizes + 1).tolist()], "ids": [_pack(ids)], "words": [names], "trained": [trained], "classes": [[word_class(w) for w in names]]}
                 kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int32())]
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row.values(), kinds, strict=True)], names=list(row))
                 block += 1
@@ -167,7 +177,7 @@ def train(blocks: DataFrame, share: np.ndarray, states: int = STATES, rounds: in
                 for row in _columns(batch):
                     sizes = row["sizes"].values.to_numpy().astype(np.int64)
                     use = ~row["held"].values.to_numpy(zero_copy_only=False)
-                    classes = row["classes"].values.to_numpy()[np.frombuffer(row["ids"].as_py(), "<u4")]
+                    classes = row["classes"].values.to_numpy()[_unpack(row["ids"].as_py())]
                     classes, sizes = classes[np.repeat(use, sizes)], sizes[use]
                     if not len(sizes):
                         continue
@@ -212,8 +222,9 @@ def score_documents(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS,
     are read whole. If no row is for training, all tokens are unseen and score is base_score. An empty table gives an empty result.
     """
     blocks = stored(token_blocks(docs), "blocks")
-    words = blocks.select("block", F.posexplode(F.arrays_zip("words", "trained", "classes")).alias("at", "w")).select("block", "at", "w.words", "w.trained", "w.classes")
-    counts = stored(words.groupBy("words").agg(F.sum("trained").alias("c"), F.first("classes").alias("class")), "counts")
+    words = blocks.select("block", F.posexplode(F.arrays_zip("words", "trained")).alias("at", "w")).select("block", "at", "w.words", "w.trained")
+    own_class = F.when(F.col("words") == "", END).otherwise(F.pmod(F.crc32(F.encode(F.right("words", F.lit(3)), "UTF-8")), F.lit(CLASSES)))  # as word_class
+    counts = stored(words.groupBy("words").agg(F.sum("trained").alias("c")).withColumn("class", own_class.cast("int")), "counts")
     seen = counts.filter("c > 0")
     by_class = seen.groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("once")).collect()
     tokens, types, once = (sum(r[k] for r in by_class) for k in ("n", "v", "once"))
@@ -224,14 +235,16 @@ def score_documents(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS,
     share = weight / max(1, tokens + types)
     share[UNSEEN] = max(once / max(1, tokens), 1 / total)
     model = train(blocks, share, states, rounds, seed) if tokens else None
-    back = words.join(counts.select("words", "c"), "words").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", "c"))).alias("found"))  # as many as the block has words
-    coded = blocks.select("block", "doc_ids", "held", "sizes", "ids", "classes").join(back.select("block", F.transform("found", lambda x: x["c"]).alias("counts")), "block")
+    # A word's place in its block and its count as one number; a block has as many as it has words, and none has 2^24.
+    both = F.shiftleft(F.col("at").cast("long"), 40).bitwiseOR(F.least("c", F.lit(2**40 - 1)))
+    back = words.join(counts.select("words", "c"), "words").groupBy("block").agg(F.sort_array(F.collect_list(both)).alias("found"))
+    coded = blocks.select("block", "doc_ids", "held", "sizes", "ids", "classes").join(back, "block")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _columns(batch):
-                sizes, ids = row["sizes"].values.to_numpy().astype(np.int64), np.frombuffer(row["ids"].as_py(), "<u4")
-                c, classes = row["counts"].values.to_numpy(), row["classes"].values.to_numpy()
+                sizes, ids = row["sizes"].values.to_numpy().astype(np.int64), _unpack(row["ids"].as_py())
+                c, classes = row["found"].values.to_numpy() & (2**40 - 1), row["classes"].values.to_numpy()
                 begin = np.cumsum(sizes) - sizes
                 base = np.add.reduceat(np.log10((c + 1) / total)[ids], begin)
                 known = np.add.reduceat((c > 0)[ids].astype(np.int64), begin)
