@@ -47,13 +47,17 @@ def items_to_lines(items: DataFrame) -> DataFrame:
     def fold(page: pd.DataFrame) -> pd.DataFrame:
         lines: list[dict] = []
         for it in page.sort_values(["y", "x"], ascending=[False, True]).itertuples():
+            if not it.str or not it.str.strip():
+                continue
             line = lines[-1] if lines else None
             if line and abs(line["y"] - it.y) < max(2.0, 0.6 * min(line["h"], it.h)):
-                space = " " if it.x - line["end"] > 0.12 * it.h and not line["text"].endswith(" ") else ""
-                line["text"] += space + it.str
-                line["h"], line["end"] = max(line["h"], it.h), it.x + it.w
+                apart = it.x - line["end"] > 0.12 * line["h"] and not line["text"].endswith(" ") and not it.str.startswith(" ")
+                line["text"] += " " * apart + it.str
+                line["h"], line["end"] = max(line["h"], it.h), max(line["end"], it.x + it.w)
             else:
                 lines.append({"doc_id": it.doc_id, "page": it.page, "line": len(lines), "text": it.str, "x": it.x, "y": it.y, "h": it.h, "end": it.x + it.w})
+        for line in lines:
+            line["text"] = " ".join(line["text"].split())
         return pd.DataFrame(lines, columns=["doc_id", "page", "line", "text", "x", "y", "h", "end"]).drop(columns="end")
 
     return items.groupBy("doc_id", "page").applyInPandas(fold, "doc_id string, page int, line int, text string, x double, y double, h double")

@@ -50,7 +50,8 @@ def page_to_global(asked: DataFrame, points: DataFrame, books: DataFrame) -> Dat
         .when(F.col("page") >= F.col("z.page"), F.col("z.g") + (F.col("page") - F.col("z.page")) * F.col("wpp"))
         .otherwise(inner)
     )
-    return found.select("book_id", "page", F.greatest(F.lit(0), F.least(js_round(g), "total_words")).alias("g"))
+    inside = F.when(g.isNotNull(), F.greatest(F.lit(0), F.least(js_round(g), "total_words")))  # both pass over nulls
+    return found.select("book_id", "page", inside.alias("g"))
 
 
 def global_to_page(asked: DataFrame, points: DataFrame, books: DataFrame) -> DataFrame:

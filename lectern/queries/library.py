@@ -40,8 +40,8 @@ def words_per_page(spark, sf_dir):
     return facts.select("book_id", js_round(F.col("wpp"), 3).alias("wpp"), P.quality(F.col("n"), F.col("total_pages")).alias("quality"))
 
 
-@query(f"""WITH {_POINTS} SELECT q.book_id, q.page, CAST(greatest(0, least(floor(CASE WHEN n = 0 THEN CASE WHEN total_pages > 0 THEN (q.page - 1) * wpp END WHEN q.page <= a.page THEN a.g - (a.page - q.page) * wpp
-WHEN q.page >= z.page THEN z.g + (q.page - z.page) * wpp ELSE s.g1 + (q.page - s.p1) / (s.page2 - s.p1) * (s.g2 - s.g1) END + 0.5), total_words)) AS BIGINT) AS g
+@query(f"""WITH {_POINTS} SELECT q.book_id, q.page, CASE WHEN n > 0 OR total_pages > 0 THEN CAST(greatest(0, least(floor(CASE WHEN n = 0 THEN CASE WHEN total_pages > 0 THEN (q.page - 1) * wpp END WHEN q.page <= a.page THEN a.g - (a.page - q.page) * wpp
+WHEN q.page >= z.page THEN z.g + (q.page - z.page) * wpp ELSE s.g1 + (q.page - s.p1) / (s.page2 - s.p1) * (s.g2 - s.g1) END + 0.5), total_words)) AS BIGINT) END AS g
 FROM asked q ASOF LEFT JOIN spans s ON q.book_id = s.book_id AND q.page >= s.p1 JOIN facts f ON f.book_id = q.book_id""")
 def pages_to_global(spark, sf_dir):
     points, books = _calibration(spark, sf_dir)

@@ -272,7 +272,7 @@ _HEADS, _PARAS = {"title", "head", "titleabbrev"}, {"para", "p", "simpara", "ab"
 _DIVISIONS = {"part": 1, "chapter": 1, "article": 1, "preface": 1, "appendix": 1, "div": 1, "div1": 1, "section": 2, "sect1": 2, "div2": 2}
 
 
-def _xml_blocks(el: ET.Element, level: int) -> Iterator[Block]:
+def _xml_blocks(el: ET.Element | list[ET.Element], level: int) -> Iterator[Block]:
     for child in el:
         name = local(child).lower()
         if name in ("teiheader", "info", "bookinfo", "articleinfo", "note", "footnote", "indexterm", "figure", "table"):
@@ -312,6 +312,6 @@ def generic(source: str | bytes, title: str = "") -> Book:
         return Book(title=text_of(find(root, "title")) or title, chapters=numbered(_feed(root)), format="xml")
     book = Book(format="xml", title=text_of(find(root, "title")) or title, author=text_of(find(root, "author")), language=(attribute(root, "lang") or "")[:8])
     body = find(root, "body") if find(root, "body") is not None else root
-    blocks = [b for b in _xml_blocks(body, 1)]
+    blocks = [b for child in body if local(child).lower() not in _HEADS for b in _xml_blocks([child], 1)]  # the book's own title is no chapter
     book.chapters = from_blocks(blocks, book.title) if blocks else []
     return book
