@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from .graph import connected_components
 from .work import stored
 
-#: Vectors that a cell of the code should hold, and rows of either side that one comparison block holds.
-CELL, HOMES, PROBES = 128, 1024, 4096
+#: Vectors that a cell of the code should hold: comparing some thousands costs less than sending a vector to many smaller cells.
+CELL = 4096
+#: Rows of either side that one comparison block holds, and probes that are compared at a time.
+HOMES, PROBES, STEP = 4096, 4096, 512
 #: Slack for rounding in the bounds; pairs within it are decided by the exact cosine.
 SLACK = 1e-7
 
@@ -102,10 +104,15 @@ def _compare(seed: int, threshold: float):
         vid_h, vid_p = homes.column(at["vid"]).to_numpy(), probes.column(at["vid"]).to_numpy()
         copies = homes.column(at["copies"]).to_numpy()
         h, p = _unit(_matrix(homes.column(at["embedding"]))), _unit(_matrix(probes.column(at["embedding"])))
-        estimate, factor = estimates(p, h, seed)
-        i, j = np.nonzero(~surely_below(estimate, factor, threshold) & (vid_p[:, None] != vid_h))
-        exact = np.concatenate([np.einsum("ij,ij->i", p[i[a : a + 100_000]], h[j[a : a + 100_000]]) for a in range(0, len(i), 100_000)] or [np.empty(0)])
-        i, j = i[exact >= threshold], j[exact >= threshold]
+        pairs = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        for a in range(0, len(p), STEP):
+            estimate, factor = estimates(p[a : a + STEP], h, seed)
+            i, j = np.nonzero(~surely_below(estimate, factor, threshold) & (vid_p[a : a + STEP, None] != vid_h))
+            for b in range(0, len(i), 100_000):
+                i2, j2 = i[b : b + 100_000] + a, j[b : b + 100_000]
+                exact = np.einsum("ij,ij->i", p[i2], h[j2]) >= threshold
+                pairs.append((i2[exact], j2[exact]))
+        i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
         links = np.bincount(i, weights=copies[j], minlength=len(vid_p)).astype(np.int64)
         top_p, top_h, before = vid_p.copy(), vid_h.copy(), None
         while before is None or (top_p != before).any():

@@ -121,7 +121,7 @@ def test_simhash(spark, monkeypatch):
 def test_embeddings(spark, monkeypatch):
     import lectern.llm.embedding_dedup as m
 
-    for name, value in (("CELL", 4), ("HOMES", 16), ("PROBES", 32)):
+    for name, value in (("CELL", 4), ("HOMES", 16), ("PROBES", 32), ("STEP", 10)):
         monkeypatch.setattr(m, name, value)
     rng = np.random.default_rng(0)
     base = rng.standard_normal((150, 16))
