@@ -16,7 +16,7 @@ from .packing import best_fit_packing
 from .simhash import simhash_components
 from .url_filter import filter_pages
 from .warc import read_warc, write_warc
-from .work import fresh_path
+from .work import dealt, fresh_path
 
 #: The tokenizer of the packing and Arrow queries.
 TOKENIZER = "byte_bpe_50k.json"
@@ -27,7 +27,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_fit_packing(_read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return best_fit_packing(dealt(_read(spark, sf_dir, "documents")), public_tokenizers.path(TOKENIZER))
 
 
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash_components(_read(spark, sf_dir, "documents"), words=3, radius=2)
+    found = simhash_components(dealt(_read(spark, sf_dir, "documents")), words=3, radius=2)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -57,12 +57,12 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(_read(spark, sf_dir, "documents"))
+    return score_documents(dealt(_read(spark, sf_dir, "documents")))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit(_read(spark, sf_dir, "documents"))
-    return identify_pages(_read(spark, sf_dir, "pages"), model)
+    return identify_pages(dealt(_read(spark, sf_dir, "pages")), model)
 
 
 def op10_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

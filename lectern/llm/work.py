@@ -52,3 +52,9 @@ def as_text(text: Column) -> Column:
 def spread(rows: DataFrame) -> DataFrame:
     """A partition for each row of a small table whose rows stand for much work, as a file does: adaptive execution keeps such partitions apart."""
     return rows.repartition(min(10_000, max(1, rows.count())))
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows that lie in fewer splits than there are cores, dealt out: for work that takes far longer than reading does."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
