@@ -30,7 +30,7 @@ def table(spark, sf_dir: str, name: str):
 
 
 #: Modules of lectern.queries.
-PARTS = ("text", "positions", "matching", "reading", "markup", "library", "narration", "store", "streams", "formats")
+PARTS = ("text", "positions", "matching", "reading", "markup", "library", "narration", "store", "streams", "formats", "choices")
 
 
 def load() -> None:
