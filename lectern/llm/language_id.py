@@ -10,14 +10,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .words import buffers, steps
-from .work import as_text, ascii_lower, stored
+from .work import TEXTS, as_text, ascii_lower, stored
 
-#: Labelled rows from which the text model is fitted, at most: those with the smallest hash of text and label.
+#: Labelled rows from which the text model is fitted, about: those whose hash lies under the share that gives so many.
 SAMPLE_ROWS = 5000
 #: Hashed byte trigrams.
 GRAMS = 1 << 16
 #: Trigrams overlap and repeat each other's evidence: their sum counts by this factor, and at most as this many trigrams.
 TEMPER, MOST_GRAMS = 1 / 3, 300
+#: Share of trigrams that any text may owe to noise (numbers, codes, names); so a few odd strings don't outweigh a short text's words.
+NOISE = 0.5
 #: How often a declared language, and a country suffix that goes with one, is right.
 MARKUP_RIGHT, SUFFIX_RIGHT = 0.9, 0.8
 #: Pseudo-counts with which a host leans on its domain, and a domain on the whole.
@@ -25,6 +27,8 @@ LEAN = 5.0
 #: Country suffixes that go with a language.
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl"}
 UNKNOWN = "und"
+#: Bytes of text whose trigrams a task looks up at a time.
+STEP = 2_000_000
 
 
 def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -49,10 +53,11 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class TextModel:
-    """log P(trigram | language), add-half smoothed; arrays of a fixed size per language."""
+    """log P(trigram | language): add-half smoothed shares, mixed with noise; arrays of a fixed size per language."""
 
-    def __init__(self, languages: list[str], log_p: np.ndarray) -> None:
-        self.languages, self.log_p = languages, log_p.astype(np.float32)
+    def __init__(self, languages: list[str], counts: np.ndarray) -> None:
+        shares = (counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * GRAMS)
+        self.languages, self.log_p = languages, np.log((1 - NOISE) * shares + NOISE / GRAMS).astype(np.float32)
 
     def sums(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """For each text and language the log-likelihood of all its trigrams, and the number of trigrams."""
@@ -66,15 +71,22 @@ class TextModel:
 
 
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", most_rows: int = SAMPLE_ROWS) -> TextModel:
-    """Counts trigrams per language over at most most_rows labelled rows, whole texts. Null labels are left out."""
-    rows = labelled.select(as_text(F.col(text_col)).alias("text"), F.col(label_col).cast("string").alias("lang")).filter("lang is not null")
-    sample = rows.orderBy(F.xxhash64("text", "lang")).limit(most_rows)
+    """Counts trigrams per language over about most_rows labelled rows, whole texts; never over more than twice as many.
+
+    A row is taken when the hash of all its columns lies under the share wanted: no text is sorted or sent to find the sample, and the
+    choice does not depend on the order of rows. Null labels are left out. Repeated rows are taken together, up to the limit.
+    """
+    share = min(1.0, most_rows / max(1, labelled.count()))
+    bound = 2**63 - 1 if share == 1.0 else int(share * 2**64) - 2**63
+    taken = labelled.filter(F.xxhash64(*[F.col(f"`{c}`") for c in labelled.columns]) <= bound)
+    rows = taken.select(as_text(F.col(text_col)).alias("text"), F.col(label_col).cast("string").alias("lang")).filter("lang is not null")
+    sample = rows.limit(2 * most_rows).repartition(8)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             labels = np.array(batch.column(1).to_pylist(), object)
-            for at, texts in steps(batch.column(0)):
+            for at, texts in steps(batch.column(0), STEP):
                 ids, sizes = grams(texts)
                 own = np.repeat(labels[at : at + len(texts)], sizes)
                 for lang in set(labels[at : at + len(texts)]):
@@ -86,8 +98,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", mo
     for r in sample.mapInArrow(count, "lang string, counts binary").toLocalIterator():
         sums[r["lang"]] = sums.get(r["lang"], 0) + np.frombuffer(r["counts"], "<i8")
     languages = sorted(sums)
-    log_p = np.array([np.log((sums[x] + 0.5) / (sums[x].sum() + 0.5 * GRAMS)) for x in languages]).reshape(len(languages), GRAMS)
-    return TextModel(languages, log_p)
+    return TextModel(languages, np.array([sums[x] for x in languages], np.float64).reshape(len(languages), GRAMS))
 
 
 def evidence(rows: DataFrame, model: TextModel, temper: float = TEMPER) -> DataFrame:
@@ -149,17 +160,19 @@ def identify(rows: DataFrame, model: TextModel, text: Column, host: Column | Non
     own = ("language", "confidence", "text_language")
     if clash := set(own) & set(rows.columns):
         raise ValueError(f"columns {sorted(clash)} are already there")
+    if not model.languages:  # nothing to choose from
+        return rows.select("*", F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("confidence"), F.lit(UNKNOWN).alias("text_language"))
     none = F.lit(None).cast("string")
     host = none if host is None else host
     wide = rows.select("*", as_text(text).alias("_text_in"), (none if markup is None else markup).alias("_markup"), (none if suffix is None else suffix).alias("_suffix"), host.alias("_host"), (host if domain is None else domain).alias("_domain"))
-    seen = stored(evidence(wide, model), "evidence")
+    seen = stored(evidence(wide, model), "evidence", TEXTS)
     n = len(model.languages)
     soft = seen.filter("_fits").select("_host", "_domain", _softmax(F.col("_ev")).alias("p"))
     hosts = stored(soft.groupBy("_host", "_domain").agg(*[F.sum(F.col("p")[k]).alias(f"h{k}") for k in range(n)]), "hosts")
     domains = hosts.groupBy("_domain").agg(*[F.sum(f"h{k}").alias(f"d{k}") for k in range(n)])
-    total = hosts.agg(*[F.sum(f"h{k}").alias(f"g{k}") for k in range(n)]).first() if n else []
+    total = hosts.agg(*[F.sum(f"h{k}").alias(f"g{k}") for k in range(n)]).first()
     whole = np.array([x or 0.0 for x in total]) + 1
-    whole = whole / whole.sum() if n else whole
+    whole = whole / whole.sum()
 
     def share(level: str, parent: list[Column]) -> list[Column]:
         size = sum((F.coalesce(f"{level}{k}", F.lit(0.0)) for k in range(n)), F.lit(0.0))

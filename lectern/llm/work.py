@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Whole texts in a batch.
+TEXTS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,11 +32,22 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lectern/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: cuts the lineage, and lost executors cost no recomputation."""
+def stored(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it again: cuts the lineage, and lost executors cost no recomputation.
+
+    batch_rows: rows of a batch between the JVM and Python while this is written. Batches of whole texts are kept small by it; both
+    sides hold several at a time.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(BATCH_ROWS)
+    if batch_rows:
+        spark.conf.set(BATCH_ROWS, min(int(before), batch_rows) if int(before) > 0 else batch_rows)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if batch_rows:
+            spark.conf.set(BATCH_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

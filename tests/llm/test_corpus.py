@@ -220,14 +220,14 @@ def test_scoring(spark):
 def test_language(spark):
     rows = language_rows()
     model = fit(frame(spark, rows[:200]))
-    tried = frame(spark, [*rows[200:], (1000, None, None, None), (1001, "", "en", "a"), (1002, "12 34 !!", "en", "a"), (1003, rows[0][1], None, None)], clash=False)
+    tried = frame(spark, [*rows[200:], (1000, None, None, None), (1001, "", "en", "a"), (1002, "12 34 !!", "en", "a"), (1003, rows[0][1], None, None), (1004, "Zq9Xw7Kj2Vb4Qx8Zp3Yt6 " * 9, "en", "a"), (1005, "the ing of password=32bb02aa3b580bf8ab44d with tion", "en", "a")], clash=False)
     from pyspark.sql import functions as F
 
     got = identify(tried, model, F.col("text"), host=F.col("source")).collect()
     named = [x for x in got if x.lang is not None and x.doc_id < 1000]
     assert sum(x.language == x.lang for x in named) / len(named) > 0.97
-    assert {x.doc_id: x.language for x in got if x.doc_id in (1000, 1001, 1002)} == dict.fromkeys((1000, 1001, 1002), UNKNOWN)
-    assert identify(tried.limit(0), model, F.col("text")).count() == 0
+    assert {x.doc_id: x.language for x in got if x.doc_id in (1000, 1001, 1002, 1004, 1005)} == dict.fromkeys((1000, 1001, 1002, 1004), UNKNOWN) | {1005: "en"}
+    assert identify(tried.limit(0), model, F.col("text")).count() == 0 and identify(tried, fit(tried.limit(0)), F.col("text")).filter("language = 'und'").count() == tried.count()
     with pytest.raises(ValueError):
         identify(tried.withColumn("language", F.lit(1)), model, F.col("text"))
 
