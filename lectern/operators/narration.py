@@ -55,13 +55,17 @@ def sentence_groups(paras: DataFrame) -> DataFrame:
 
 
 def spread_times(paras: DataFrame, cps: float = 15.0) -> DataFrame:
-    """(doc_id, c, p, w, start, end): a paragraph's words share its duration, max(1, chars / cps) seconds, by weight."""
-    ws = paras.select("doc_id", "c", "p", F.greatest(F.lit(1.0), F.length("text") / cps).alias("dur"), words(F.col("text")).alias("ws"))
-    ws = ws.withColumn("wt", F.transform("ws", word_weight)).withColumn("total", F.aggregate("wt", F.lit(0.0), lambda a, x: a + x))
-    flat = ws.select("doc_id", "c", "p", "dur", "total", "wt", F.posexplode("ws").alias("w", "word"))
-    before = F.aggregate(F.slice("wt", F.lit(1), F.col("w")), F.lit(0.0), lambda a, x: a + x)
-    upto = before + F.element_at("wt", F.col("w") + 1)
-    return flat.select("doc_id", "c", "p", "w", (before / F.col("total") * F.col("dur")).alias("start"), (upto / F.col("total") * F.col("dur")).alias("end"))
+    """(doc_id, c, p, w, start, end): a paragraph's words share its duration, max(1, chars / cps) seconds, by weight.
+
+    Paragraphs are dealt out before they are taken apart, so the running sums need no shuffle of words and long paragraphs cost no more
+    than their sort.
+    """
+    by = ["doc_id", "c", "p"]
+    dealt = paras.select(*by, F.greatest(F.lit(1.0), F.length("text") / cps).alias("dur"), words(F.col("text")).alias("ws")).repartition(*by)
+    flat = dealt.select(*by, "dur", F.posexplode("ws").alias("w", "word")).select(*by, "dur", "w", word_weight(F.col("word")).alias("wt"))
+    group = Window.partitionBy(*by)
+    upto, total = F.sum("wt").over(group.orderBy("w")), F.sum("wt").over(group)
+    return flat.select(*by, "w", ((upto - F.col("wt")) / total * F.col("dur")).alias("start"), (upto / total * F.col("dur")).alias("end"))
 
 
 def times_from_segments(word_rows: DataFrame, segments: DataFrame, by: list[str]) -> DataFrame:
