@@ -14,7 +14,7 @@ from pyspark import TaskContext
 
 from .files import folder, opened
 from .tokens import encoder
-from .work import as_text, spread, stored
+from .work import TEXTS, as_text, spread, stored
 
 SEQUENCE = 1024
 #: Sequences in a record batch; a reader holds one batch at a time.
@@ -98,7 +98,7 @@ def write_arrow(docs: DataFrame, to: str, tokenizer: str, end_id: int = 0, seque
             yield pa.RecordBatch.from_pylist([{"shard": shard, "path": path, "index": index, "n_docs": n_docs, "n_tokens": at}])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_text(F.col("text")).alias("text"))
-    return stored(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(write, MANIFEST), "manifest")
+    return stored(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(write, MANIFEST), "manifest", TEXTS)
 
 
 class ListReader:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tokens import encoder
-from .work import as_text, stored
+from .work import TEXTS, as_text, stored
 
 CAPACITY = 1024
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -121,4 +121,4 @@ def pack(pieces: DataFrame, keys: tuple[str, ...] = ("doc_id", "piece", "start")
 
 def best_fit_packing(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPACITY) -> DataFrame:
     """Tokenises, cuts and packs documents. One row per piece; see token_pieces and pack for nulls, repeats and empty tables."""
-    return pack(stored(token_pieces(docs, tokenizer, end_id, capacity), "pieces"), capacity=capacity)
+    return pack(stored(token_pieces(docs, tokenizer, end_id, capacity), "pieces", TEXTS), capacity=capacity)

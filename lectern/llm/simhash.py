@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .gray_index import near_links
 from .graph import connected_components
-from .work import as_text, stored
+from .work import TEXTS, as_text, stored
 
 #: Words whose shingles are hashed at a time.
 _STEP = 100_000
@@ -56,7 +56,7 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2, seed: i
     compared once. Texts without words share fingerprint zero. Repeated rows come out repeated; null ids count only where a
     component has no other. An empty table gives an empty result.
     """
-    prints = stored(fingerprints(docs, words, seed, id_col, text_col), "prints")
+    prints = stored(fingerprints(docs, words, seed, id_col, text_col), "prints", TEXTS)
     classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     if classes.isEmpty():
         return prints.select("doc_id", "fp", F.col("doc_id").alias("component_id"))

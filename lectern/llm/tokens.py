@@ -11,9 +11,9 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
 #: Bytes of text that are encoded at a time; a longer text is a step of its own.
-_STEP = 6_000_000
+_STEP = 4_000_000
 #: Distinct units that a worker remembers; when there are more it starts anew.
-_ROOM = 600_000
+_ROOM = 300_000
 #: Marks that often end a word; with the letters before them they are two pre-tokens. No apostrophe, which may start a contraction.
 _MARKS = ".,!?;:%*#$&|()[]-\"/@"
 _ENCODERS: dict = {}

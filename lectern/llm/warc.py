@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .files import folder, opened
-from .work import as_text, spread, stored
+from .work import TEXTS, as_text, spread, stored
 
 ROLL_BYTES = 256 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -119,7 +119,7 @@ def write_warc(pages: DataFrame, to: str, min_bytes: int = 0, roll: int = ROLL_B
             yield pa.RecordBatch.from_pylist(files.rows)
 
     # Range partitioning sends equal ids to one partition, so a mark stands right before its rows.
-    manifest = stored(both.repartitionByRange("page_id").sortWithinPartitions("page_id", "kind", "url", "html").mapInArrow(write, MANIFEST), "warc-manifest")
+    manifest = stored(both.repartitionByRange("page_id").sortWithinPartitions("page_id", "kind", "url", "html").mapInArrow(write, MANIFEST), "warc-manifest", TEXTS)
 
     def commit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
