@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .words import buffers, steps
 from .work import TEXTS, as_text, ascii_lower, stored
 
-#: Labelled rows from which the text model is fitted, about: those whose hash lies under the share that gives so many.
+#: Labelled rows of each language from which the text model is fitted, about: those whose hash lies under the share that gives so many.
 SAMPLE_ROWS = 5000
 #: Hashed byte trigrams.
 GRAMS = 1 << 16
@@ -71,26 +71,29 @@ class TextModel:
 
 
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", most_rows: int = SAMPLE_ROWS) -> TextModel:
-    """Counts trigrams per language over about most_rows labelled rows, whole texts; never over more than twice as many.
+    """Counts trigrams per language over about most_rows labelled rows of each language, whole texts.
 
-    A row is taken when the hash of all its columns lies under the share wanted: no text is sorted or sent to find the sample, and the
-    choice does not depend on the order of rows. Null labels are left out. Repeated rows are taken together, up to the limit.
+    A row is taken when the hash of all its columns lies under the share wanted of its label, and the row of least hash always: each
+    label of the table is in the model, however rare. No text is sorted or sent to find the sample, and the choice does not depend on
+    the order of rows. Null labels are left out. Repeated rows are read once and counted as often as they come.
     """
-    share = min(1.0, most_rows / max(1, labelled.count()))
-    bound = 2**63 - 1 if share == 1.0 else int(share * 2**64) - 2**63
-    taken = labelled.filter(F.xxhash64(*[F.col(f"`{c}`") for c in labelled.columns]) <= bound)
-    rows = taken.select(as_text(F.col(text_col)).alias("text"), F.col(label_col).cast("string").alias("lang")).filter("lang is not null")
-    sample = rows.limit(2 * most_rows).repartition(8)
+    rows = labelled.select(as_text(F.col(text_col)).alias("text"), F.col(label_col).cast("string").alias("lang"), F.xxhash64(*[F.col(f"`{c}`") for c in labelled.columns]).alias("hash")).filter("lang is not null")
+    bounds = []
+    for lang, n, least in rows.groupBy("lang").agg(F.count("*"), F.min("hash")).collect():
+        bounds.append((lang, 2**63 - 1 if n <= most_rows else max(least, int(most_rows / n * 2**64) - 2**63)))
+    # One row for each language of the model, which the driver holds anyway.
+    wanted = F.broadcast(labelled.sparkSession.createDataFrame(bounds, "lang string, bound long"))
+    sample = rows.join(wanted, "lang").filter("hash <= bound").groupBy("lang", "hash").agg(F.first("text").alias("text"), F.count("*").alias("n")).select("text", "lang", "n").repartition(8)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            labels = np.array(batch.column(1).to_pylist(), object)
+            labels, often = np.array(batch.column(1).to_pylist(), object), batch.column(2).to_numpy()
             for at, texts in steps(batch.column(0), STEP):
                 ids, sizes = grams(texts)
-                own = np.repeat(labels[at : at + len(texts)], sizes)
+                own, weight = (np.repeat(x[at : at + len(texts)], sizes) for x in (labels, often))
                 for lang in set(labels[at : at + len(texts)]):
-                    total[lang] = total.get(lang, 0) + np.bincount(ids[own == lang], minlength=GRAMS)
+                    total[lang] = total.get(lang, 0) + np.bincount(ids[own == lang], weight[own == lang], GRAMS)
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(total), pa.array([x.astype("<i8").tobytes() for x in total.values()], pa.binary())], names=["lang", "counts"])
 
