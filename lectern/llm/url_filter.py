@@ -30,16 +30,42 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RUL
     return rule, verdict
 
 
+def _plain_path(path: Column) -> Column:
+    """A rooted path without . and .. segments."""
+    parts, none = F.split(path, "/"), F.array().cast("array<string>")
+    up = lambda acc: F.when(F.size(acc) > 1, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(acc)
+    kept = F.aggregate(parts, none, lambda acc, x: F.when(x == ".", acc).when(x == "..", up(acc)).otherwise(F.concat(acc, F.array(x))))
+    return F.concat(F.array_join(kept, "/"), F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise(""))
+
+
+def resolved(target: Column, base: Column) -> Column:
+    """The absolute url that target means on a page at base; empty where it has none (mailto:, or a base without ://). Absolute ones stay as they are."""
+    at = F.instr(base, "://")
+    scheme, rest = F.substring(base, F.lit(1), at - 1), F.substring(base, at + 3, F.length(base))
+    host, path = F.regexp_extract(rest, r"^([^/?#]*)", 1), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
+    own, more = F.regexp_extract(target, r"^([^?#]*)", 1), F.regexp_extract(target, r"^[^?#]*(.*)", 1)
+    rooted = F.when(own.startswith("/"), own).otherwise(F.concat(F.when(path.contains("/"), F.regexp_extract(path, r"^(.*/)", 1)).otherwise("/"), own))
+    there = F.concat(scheme, F.lit("://"), host, F.when(own == "", F.concat(path, F.when(target.startswith("#"), F.regexp_extract(rest, r"^[^?#]*(\?[^#]*)", 1)).otherwise(""))).otherwise(_plain_path(rooted)), more)
+    absolute, other = target.rlike(r"^(?i)[a-z][a-z0-9+.-]*://"), target.rlike(r"^(?i)[a-z][a-z0-9+.-]*:")
+    return F.when(absolute, target).when(other | (at <= 1) | (target == ""), "").when(target.startswith("//"), F.concat(scheme, F.lit(":"), target)).otherwise(there)
+
+
 def declared_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): urls of pages and the absolute urls that their canonical links and refresh redirects name."""
+    """(a, b): urls of pages and those that their canonical links and refresh redirects name, resolved against the page's <base> or url."""
     html = as_text(F.col("html"))
     head = F.when(html.rlike(r"(?is)<link|<meta"), html)
     links = F.regexp_extract_all(head, F.lit(r"(?is)(<link\b[^>]*>|<meta\b[^>]*>)"), 1)
-    tags = pages.select(F.col("url").alias("a"), F.explode(F.filter(links, lambda t: t.rlike(r"(?is)\brel\s*=\s*[\"']?canonical\b|http-equiv\s*=\s*[\"']?refresh\b"))).alias("tag"))
-    canonical = F.regexp_extract("tag", r"(?is)\bhref\s*=\s*[\"']?\s*([a-z][a-z0-9+.-]*://[^\"'\s>]+)", 1)
-    refresh = F.regexp_extract("tag", r"(?is)\burl\s*=\s*[\"']?\s*([a-z][a-z0-9+.-]*://[^\"'\s>;]+)", 1)
-    found = tags.select("a", F.when(canonical != "", canonical).otherwise(refresh).alias("b"))
-    return found.filter("a is not null and b != ''")
+    found = F.filter(links, lambda t: t.rlike(r"(?is)\brel\s*=\s*[\"']?canonical\b|http-equiv\s*=\s*[\"']?refresh\b"))
+    base = F.regexp_extract(head, r"(?is)<base\b[^>]*?\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)", 1)
+    tags = pages.select(F.col("url").alias("a"), base.alias("base"), F.explode(found).alias("tag"))
+    canonical = F.regexp_extract("tag", r"(?is)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)", 1)
+    refresh = F.regexp_extract("tag", r"(?is)\burl\s*=\s*[\"']?\s*([^\"'\s>;]+)", 1)
+    target = F.when(F.col("tag").rlike(r"(?i)^<link"), canonical).otherwise(refresh)
+    own = resolved(F.col("base"), F.col("a"))
+    against = F.when(own != "", own).otherwise(F.col("a"))
+    # Written in between: filters would else be pushed through both steps, and the expression would grow with their product.
+    named = stored(tags.select("a", against.alias("base"), target.alias("target")), "declared")
+    return named.select("a", resolved(F.col("target"), F.col("base")).alias("b")).filter("a is not null and b != ''")
 
 
 def filter_urls(urls: DataFrame, edges: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
