@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import LocalFileSystem
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark import TaskContext
@@ -22,17 +23,22 @@ BATCH = 256
 MANIFEST = "shard long, path string, index string, n_docs long, n_tokens long"
 
 
-def list_schema(sequence: int) -> pa.Schema:
-    """input_ids and mask: lists of exactly `sequence` unsigned 16-bit ids and booleans (false where the shard's last list is filled up)."""
-    return pa.schema([pa.field("input_ids", pa.list_(pa.uint16(), sequence), False), pa.field("mask", pa.list_(pa.bool_(), sequence), False)])
+def id_kind(highest: int) -> np.dtype:
+    """The width of ids in the files: 16 bits where all fit, else 32."""
+    return np.dtype("<u2" if highest < 1 << 16 else "<u4")
+
+
+def list_schema(sequence: int, kind: np.dtype) -> pa.Schema:
+    """input_ids and mask: lists of exactly `sequence` unsigned ids and booleans (false where the shard's last list is filled up)."""
+    return pa.schema([pa.field("input_ids", pa.list_(pa.from_numpy_dtype(kind), sequence), False), pa.field("mask", pa.list_(pa.bool_(), sequence), False)])
 
 
 class Lists:
     """Writes a stream of ids as equal-length lists."""
 
-    def __init__(self, uri: str, sequence: int) -> None:
+    def __init__(self, uri: str, sequence: int, kind: np.dtype) -> None:
         store, path = opened(uri)
-        self.sequence, self.schema = sequence, list_schema(sequence)
+        self.sequence, self.kind, self.schema = sequence, kind, list_schema(sequence, kind)
         self.sink = store.open_output_stream(path)
         self.writer = pa.ipc.new_file(self.sink, self.schema)
         self.held: list[bytes] = []
@@ -41,15 +47,15 @@ class Lists:
     def add(self, ids: bytes) -> None:
         self.held.append(ids)
         self.bytes += len(ids)
-        if self.bytes >= 2 * BATCH * self.sequence:
+        if self.bytes >= self.kind.itemsize * BATCH * self.sequence:
             self._write(False)
 
     def _write(self, last: bool) -> None:
         data = b"".join(self.held)
-        whole = 2 * BATCH * self.sequence
+        whole = self.kind.itemsize * BATCH * self.sequence
         cut = len(data) if last else len(data) // whole * whole
         for at in range(0, cut, whole):
-            ids = np.frombuffer(data[at : min(at + whole, cut)], "<u2")
+            ids = np.frombuffer(data[at : min(at + whole, cut)], self.kind)
             rows = -(-len(ids) // self.sequence)
             mask = np.arange(rows * self.sequence) < len(ids)
             ids = np.pad(ids, (0, rows * self.sequence - len(ids)))
@@ -68,12 +74,14 @@ def write_arrow(docs: DataFrame, to: str, tokenizer: str, end_id: int = 0, seque
 
     One shard for each range of ids: `path` holds the lists, `index` each document's id, start in the shard and number of ids. Names
     are unique to a task attempt and only the manifest makes a file part of the output, so lost or doubled attempts do no harm.
-    Null texts are empty (the end id alone), null ids come first, repeated ids stand next to each other. Vocabularies up to 65,536.
+    Null texts are empty (the end id alone), null ids come first. Rows of one id stand next to each other in the order of their texts'
+    hashes, so that reruns agree, and may lie in several shards. Ids take 16 bits, or 32 where the vocabulary is larger.
     """
     folder(to)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
+        wide = id_kind(max(end_id, enc.highest))
         shard = TaskContext.get().partitionId()
         lists, n_docs, at = None, 0, 0
         store, index_path = opened(index := f"{to}/docs-{shard:06d}-{uuid.uuid4().hex}.arrow")
@@ -83,11 +91,11 @@ def write_arrow(docs: DataFrame, to: str, tokenizer: str, end_id: int = 0, seque
             if not batch.num_rows:
                 continue
             if lists is None:
-                lists, sink = Lists(path, sequence), store.open_output_stream(index_path)
+                lists, sink = Lists(path, sequence, wide), store.open_output_stream(index_path)
                 writer = pa.ipc.new_file(sink, schema)
             at_doc = 0
             for ids, counts in enc.encode(batch.column(1)):
-                lists.add(np.insert(ids.astype("<u2"), np.cumsum(counts), end_id).tobytes())
+                lists.add(np.insert(ids.astype(wide), np.cumsum(counts), end_id).tobytes())
                 ends = at + np.cumsum(counts + 1)
                 writer.write_table(pa.table([batch.column(0).slice(at_doc, len(counts)), ends - counts - 1, counts + 1], schema=schema))
                 at, n_docs, at_doc = int(ends[-1]), n_docs + len(counts), at_doc + len(counts)
@@ -98,15 +106,21 @@ def write_arrow(docs: DataFrame, to: str, tokenizer: str, end_id: int = 0, seque
             yield pa.RecordBatch.from_pylist([{"shard": shard, "path": path, "index": index, "n_docs": n_docs, "n_tokens": at}])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_text(F.col("text")).alias("text"))
-    return stored(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(write, MANIFEST), "manifest", TEXTS)
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    order = ["doc_id", "tie", "text"]
+    return stored(rows.repartitionByRange("doc_id", "tie").sortWithinPartitions(*order).mapInArrow(write, MANIFEST), "manifest", TEXTS)
 
 
 class ListReader:
-    """Random access to a shard's stream of ids: only the batches that hold the asked-for ids are touched, without a copy."""
+    """Random access to a shard's stream of ids: only the batches that hold the asked-for ids are touched.
+
+    On a file system of the machine's own the file is mapped, and ids() yields views of the map without any copy; from other stores
+    each batch that is asked for is read once.
+    """
 
     def __init__(self, uri: str) -> None:
         store, path = opened(uri)
-        self.file = pa.ipc.open_file(store.open_input_file(path))
+        self.file = pa.ipc.open_file(pa.memory_map(path) if isinstance(store, LocalFileSystem) else store.open_input_file(path))
         self.sequence = self.file.schema.field("input_ids").type.list_size
         self.span = BATCH * self.sequence
         self.at = -1

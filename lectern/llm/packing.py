@@ -82,12 +82,13 @@ def best_fit_plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarra
     return np.array(sorted(plan), dtype=np.int64).reshape(-1, 6)
 
 
-def pack(pieces: DataFrame, keys: tuple[str, ...] = ("doc_id", "piece", "start"), capacity: int = CAPACITY) -> DataFrame:
+def pack(pieces: DataFrame, keys: tuple[str, ...] = ("doc_id", "piece", "start", "ids_crc32"), capacity: int = CAPACITY) -> DataFrame:
     """pieces plus sequence_id and offset: each piece's place in sequences of at most capacity, gapless from 0.
 
     The plan is made from at most `capacity` counts. Then each piece takes the planned slot of its rank among pieces of its length.
     Ranks come from runs of about the square root of the number of pieces, chosen by a hash, and the sums of the runs before: no
-    length, however common, is sorted in one task. Equal pieces may swap ranks; the set of rows is the same on each run.
+    length, however common, is sorted in one task, and keys hold the pieces' checksums, so that neither null ids nor one that many
+    documents share make a run larger; only equal pieces share one. Equal pieces may swap ranks; the set of rows is the same on each run.
     Lengths must lie in 1..capacity. An empty table gives an empty result.
     """
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}

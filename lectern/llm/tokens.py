@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from array import array
 from collections.abc import Iterator
@@ -55,15 +56,30 @@ def unit_starts(data: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begins[:-1])
 
 
+def in_units(said: dict) -> bool:
+    """Whether a tokenizer file is one whose texts may be encoded unit by unit: the plain byte-level pattern, and no added token that a
+    word could hold or that takes in blanks."""
+    split = said.get("pre_tokenizer") or {}
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    model = said.get("model") or {}
+    rest = said.get("normalizer") or said.get("truncation") or said.get("padding") or model.get("dropout")
+    added = said.get("added_tokens") or []
+    whole = all(not any(t.get(k) for k in ("single_word", "lstrip", "rstrip")) and not any(c.isspace() for c in t["content"]) and not t["content"].rstrip(_MARKS).isalpha() for t in added)
+    return bool(plain and model.get("type") == "BPE" and not rest and whole)
+
+
 class Encoder:
-    """encode() gives the ids that the library gives for each whole text (special tokens' strings are ordinary text)."""
+    """encode() gives the ids that the library gives for each whole text with add_special_tokens=False; the strings of special tokens
+    become these tokens, as they do there. Files of another kind than in_units() knows are encoded text by text."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as file:
+            self.in_units = in_units(json.load(file))
+        self.highest = max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
         self.letters = _byte_letters()
         self.known: dict[str, bytes] = {}
 
@@ -83,7 +99,13 @@ class Encoder:
             ids = self.tokenizer.encode(unit, add_special_tokens=False).ids
         return array("I", ids).tobytes()
 
+    def _whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids = [self.tokenizer.encode(t.as_py(), add_special_tokens=False).ids for t in texts]
+        return np.fromiter((x for one in ids for x in one), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
+
     def _step(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if not self.in_units:
+            return self._whole(texts)
         offsets = np.frombuffer(texts.buffers()[1], np.int32 if pa.types.is_string(texts.type) else np.int64)[texts.offset : texts.offset + len(texts) + 1]
         data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
         docs = (offsets - offsets[0]).astype(np.int64)

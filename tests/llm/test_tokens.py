@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 from collections import defaultdict
@@ -17,7 +18,6 @@ from tests.llm.helpers import frame, texts
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 WHOLE = Tokenizer.from_file(PATH)
-WHOLE.encode_special_tokens = True
 OURS = Encoder(PATH)
 
 
@@ -35,6 +35,44 @@ def test_encoder(some):
     assert got == [ids(t) for t in some]
 
 
+SPECIAL = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y  <|endoftext|>\n<|endoftext|> z", "a. <|endoftext|>!", "<|endoftext", "\n<|endoftext|>\n"]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", " ", "\n", "a", "word", "é", ".", "<|", "'s", "\u3000"]), max_size=9).map("".join), max_size=5))
+def test_special_strings(some):
+    """The strings of special tokens are these tokens, as in the library."""
+    for texts_ in (some, SPECIAL):
+        got = []
+        for flat, counts in OURS.encode(pa.array(texts_, pa.string())):
+            ends = np.cumsum(counts)
+            got += [flat[b - n : b].tolist() for n, b in zip(counts, ends, strict=True)]
+        assert got == [ids(t) for t in texts_]
+
+
+def test_other_files():
+    """Files of another kind are known as such, and encoded whole."""
+    from lectern.llm.tokens import in_units
+
+    said = json.load(open(PATH, encoding="utf-8"))
+    assert in_units(said)
+    assert not in_units(said | {"normalizer": {"type": "Lowercase"}})
+    assert not in_units(said | {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}})
+    assert not in_units(said | {"added_tokens": [{"id": 1, "content": "MASK", "single_word": False, "lstrip": False, "rstrip": False}]})
+    other = public_tokenizers.path("word_bpe_49k.json")
+    ours, library = Encoder(other), Tokenizer.from_file(other)
+    assert not ours.in_units
+    some = ["Some  words, here", "", "été <|endoftext|> x"]
+    (flat, counts), = ours.encode(pa.array(some))
+    assert flat.tolist() == [x for t in some for x in library.encode(t, add_special_tokens=False).ids] and len(counts) == 3
+
+
+def test_wide_ids():
+    from lectern.llm.arrow_files import id_kind
+
+    assert id_kind(65_535).itemsize == 2 and id_kind(65_536).itemsize == 4
+
+
 def test_plan():
     r = random.Random(2)
     for _ in range(30):
@@ -91,7 +129,7 @@ def test_packing(spark):
         assert at <= 64
     assert len(used) <= 1.02 * sum(x[3] for x in want) / 64 + 2
     assert best_fit_packing(frame(spark, []), PATH).count() == 0
-    again = {tuple(x) for x in pack(spark.createDataFrame([(7, 0, 0, 3), (7, 0, 0, 3)], "doc_id long, piece int, start long, length long"), capacity=8).collect()}
+    again = {tuple(x) for x in pack(spark.createDataFrame([(7, 0, 0, 3), (7, 0, 0, 3)], "doc_id long, piece int, start long, length long"), ("doc_id", "piece", "start"), capacity=8).collect()}
     assert {x[5] for x in again} == {0, 3}
 
 
@@ -99,7 +137,13 @@ def test_arrow_files(spark):
     rows = texts()
     manifest = write_arrow(frame(spark, rows), fresh_path(spark, "t"), PATH, sequence=16)
     got = [tuple(x) for x in read_arrow(manifest).orderBy("start").collect()]
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    rows += [(5, "one id, another text", "en", "a"), (None, "and no id", "en", "a")]
+    manifest = write_arrow(frame(spark, rows).repartition(3), fresh_path(spark, "t"), PATH, sequence=16)
+    got = [tuple(x) for x in read_arrow(manifest).orderBy("start").collect()]
+    again = write_arrow(frame(spark, rows[::-1]).repartition(2), fresh_path(spark, "t"), PATH, sequence=16)
+    assert got == [tuple(x) for x in read_arrow(again).orderBy("start").collect()]
+    ties = {(x.doc_id, x.text): x.h for x in frame(spark, rows).selectExpr("doc_id", "text", "xxhash64(coalesce(text, '')) AS h").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, ties[r[0], r[1]]))
     start, want = 0, []
     for doc, text, *_ in order:
         t = ids(text) + [0]
