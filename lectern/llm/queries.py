@@ -14,7 +14,8 @@ from .language_id import fit, identify_pages
 from .mixing import mix_documents
 from .packing import best_fit_packing
 from .simhash import simhash_components
-from .url_filter import RULES, filter_pages
+from .url_filter import filter_pages, made_pages
+from .url_sql import MADE_PAGES, url_sql
 from .warc import read_warc, write_warc
 from .work import dealt, fresh_path
 
@@ -38,6 +39,11 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_pages(_read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "verdict_by")
 
 
+def url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op3 over pages that declare links: each page of the table with a url and a link made by rule."""
+    return filter_pages(made_pages(_read(spark, sf_dir, "pages"))).select("page_id", "host", "path", "rule", "verdict", "verdict_by")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -81,38 +87,12 @@ QUERIES = {
     "op8_hmm_scoring": op8_hmm_scoring,
     "op9_language_id": op9_language_id,
     "op10_arrow_token_files": op10_arrow_token_files,
+    "url_aliases": url_aliases,
 }
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def _rule_case(what: int) -> str:
-    """CASE over the rules, longest first: the verdict (0) or the rule (1)."""
-    cases = []
-    for rule in sorted(RULES, key=lambda r: (len(r[1]), r[1]), reverse=True):
-        host, _, prefix = rule[1].partition("/")
-        cases.append(f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{prefix}') THEN '{rule[what]}'")
-    return f"CASE {' '.join(cases)} END"
-
-
-def _parts(url: str) -> str:
-    rest = f"CASE WHEN instr(coalesce({url}, ''), '://') > 0 THEN substr({url}, instr({url}, '://') + 3) ELSE '' END"
-    return f"translate(regexp_extract({rest}, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1) AS path"
-
-
-_TARGET = "\\s*=\\s*[\"'']?\\s*([a-z][a-z0-9+.-]*://[^\"''\\s>"
-
 ORACLE_SQL = {
-    "op3_url_filter": f"""
-WITH RECURSIVE p AS (SELECT page_id, html, {_parts('url')} FROM pages),
-     tags AS (SELECT host || chr(10) || path AS a, unnest(regexp_extract_all(coalesce(html, ''), '(?is)<(?:link|meta)\\b[^>]*>')) AS tag FROM p WHERE host <> ''),
-     named AS (SELECT a, coalesce(nullif(regexp_extract(tag, '(?is)\\bhref{_TARGET}]+)', 1), ''), regexp_extract(tag, '(?is)\\burl{_TARGET};]+)', 1)) AS u FROM tags
-               WHERE regexp_matches(tag, '(?is)\\brel\\s*=\\s*["'']?canonical\\b|http-equiv\\s*=\\s*["'']?refresh\\b')),
-     ends AS (SELECT a, {_parts('u')} FROM named), edges AS (SELECT a, host || chr(10) || path AS b FROM ends WHERE host <> ''),
-     pairs AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges), nodes AS (SELECT host, path FROM ends WHERE host <> '' UNION SELECT host, path FROM p WHERE host <> ''),
-     hit AS (SELECT host || chr(10) || path AS n FROM nodes WHERE {_rule_case(0)} = 'block' UNION SELECT pairs.b FROM hit JOIN pairs ON pairs.a = hit.n),
-     j AS (SELECT page_id, host, path, {_rule_case(1)} AS rule, {_rule_case(0)} AS own, host <> '' AND host || chr(10) || path IN (SELECT n FROM hit) AS alias FROM p)
-SELECT page_id, host, path, rule, coalesce(own, CASE WHEN alias THEN 'block' ELSE 'allow' END) AS verdict, CASE WHEN own IS NOT NULL THEN 'rule' WHEN alias THEN 'alias' ELSE 'default' END AS verdict_by FROM j""",
+    "op3_url_filter": url_sql("SELECT page_id, url, html FROM pages"),
+    "url_aliases": url_sql(MADE_PAGES),
     "op2_embedding_near_dedup": """
 WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
      links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)

@@ -6,18 +6,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import connected_components
-from .work import as_text, ascii_lower, stored
+from .work import as_text, stored
 
 #: (verdict, rule): the rule is a host, a slash and a path prefix.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
 
-def with_parts(rows: DataFrame, url_col: str = "url") -> DataFrame:
-    """rows with host (A-Z lower-cased) and path of a url; both empty where it is null or has no ://."""
-    url, at = F.col("_url"), F.instr("_url", "://")
-    rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise("")
-    host, path = F.regexp_extract("_rest", r"^([^/?#]*)", 1), F.regexp_extract("_rest", r"^[^/?#]*([^?#]*)", 1)
-    return rows.withColumn("_url", as_text(F.col(url_col))).withColumn("_rest", rest).withColumn("host", ascii_lower(host)).withColumn("path", path).drop("_url", "_rest")
+def _lower(text: Column) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def host_and_path(url: Column) -> tuple[Column, Column]:
+    """Host (A-Z lower-cased) and path of a url; both empty where it is null or has no ://."""
+    url = as_text(url)
+    return _lower(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)), F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
+
+
+def node_of(url: Column) -> Column:
+    """What aliases are told apart by: the whole url, its query included, without its fragment; scheme and host in lower case, and a
+    bare host as its root. Null without a host."""
+    host, path = host_and_path(url)
+    url = as_text(url)
+    scheme, query = _lower(F.regexp_extract(url, "(?s)^(.*?)://", 1)), F.regexp_extract(url, r"(?s)^.*?://[^?#]*(\?[^#]*)", 1)
+    return F.when(host != "", F.concat(scheme, F.lit("://"), host, F.when(path == "", "/").otherwise(path), query))
 
 
 def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RULES) -> tuple[Column, Column]:
@@ -40,14 +51,19 @@ def _plain_path(path: Column) -> Column:
 
 def resolved(target: Column, base: Column) -> Column:
     """The absolute url that target means on a page at base; empty where it has none (mailto:, or a base without ://). Absolute ones stay as they are."""
-    at = F.instr(base, "://")
-    scheme, rest = F.substring(base, F.lit(1), at - 1), F.substring(base, at + 3, F.length(base))
-    host, path = F.regexp_extract(rest, r"^([^/?#]*)", 1), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
+    scheme, host, path = (F.regexp_extract(base, f"(?s)^{p}", 1) for p in ("(.*?)://", ".*?://([^/?#]*)", ".*?://[^/?#]*([^?#]*)"))
     own, more = F.regexp_extract(target, r"^([^?#]*)", 1), F.regexp_extract(target, r"^[^?#]*(.*)", 1)
     rooted = F.when(own.startswith("/"), own).otherwise(F.concat(F.when(path.contains("/"), F.regexp_extract(path, r"^(.*/)", 1)).otherwise("/"), own))
-    there = F.concat(scheme, F.lit("://"), host, F.when(own == "", F.concat(path, F.when(target.startswith("#"), F.regexp_extract(rest, r"^[^?#]*(\?[^#]*)", 1)).otherwise(""))).otherwise(_plain_path(rooted)), more)
+    there = F.concat(scheme, F.lit("://"), host, F.when(own == "", F.concat(path, F.when(target.startswith("#"), F.regexp_extract(base, r"(?s)^.*?://[^?#]*(\?[^#]*)", 1)).otherwise(""))).otherwise(_plain_path(rooted)), more)
     absolute, other = target.rlike(r"^(?i)[a-z][a-z0-9+.-]*://"), target.rlike(r"^(?i)[a-z][a-z0-9+.-]*:")
-    return F.when(absolute, target).when(other | (at <= 1) | (target == ""), "").when(target.startswith("//"), F.concat(scheme, F.lit(":"), target)).otherwise(there)
+    return F.when(absolute, target).when(other | (scheme == "") | (target == ""), "").when(target.startswith("//"), F.concat(scheme, F.lit(":"), target)).otherwise(there)
+
+
+def unescaped(value: Column) -> Column:
+    """An attribute's value with the entities that urls in markup need."""
+    for name, char in (("&#38;", "&"), ("&#x26;", "&"), ("&#47;", "/"), ("&#x2F;", "/"), ("&amp;", "&")):
+        value = F.replace(value, F.lit(name), F.lit(char))
+    return value
 
 
 def declared_edges(pages: DataFrame) -> DataFrame:
@@ -59,48 +75,65 @@ def declared_edges(pages: DataFrame) -> DataFrame:
     base = F.regexp_extract(head, r"(?is)<base\b[^>]*?\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)", 1)
     tags = pages.select(F.col("url").alias("a"), base.alias("base"), F.explode(found).alias("tag"))
     canonical = F.regexp_extract("tag", r"(?is)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)", 1)
-    refresh = F.regexp_extract("tag", r"(?is)\burl\s*=\s*[\"']?\s*([^\"'\s>;]+)", 1)
-    target = F.when(F.col("tag").rlike(r"(?i)^<link"), canonical).otherwise(refresh)
-    own = resolved(F.col("base"), F.col("a"))
+    refresh = F.regexp_extract("tag", r"(?is)\burl\s*=\s*[\"']?\s*([^\"'\s>]+)", 1)
+    target = unescaped(F.when(F.col("tag").rlike(r"(?i)^<link"), canonical).otherwise(refresh))
+    own = resolved(unescaped(F.col("base")), F.col("a"))
     against = F.when(own != "", own).otherwise(F.col("a"))
     # Written in between: filters would else be pushed through both steps, and the expression would grow with their product.
     named = stored(tags.select("a", against.alias("base"), target.alias("target")), "declared")
     return named.select("a", resolved(F.col("target"), F.col("base")).alias("b")).filter("a is not null and b != ''")
 
 
-def filter_urls(urls: DataFrame, edges: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
+def filter_urls(urls: DataFrame, edges: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, url_col: str = "url") -> DataFrame:
     """All columns of urls, then host, path, rule, verdict and verdict_by (rule, alias or default). edges: url pairs a and b.
 
     A url that a rule fits has the rule's verdict: an explicit allow is never overridden by an alias's block. Other urls are
     blocked if any url that redirect or canonical edges connect them with, over any number of steps and in either direction, is
-    blocked by a rule; else they are allowed. Urls count as one node when host and path are equal (rules see nothing else). Urls that
-    occur in edges alone take part with their own rules. Null urls, and those without ://, have empty parts, no rule and no
-    aliases. Columns of urls must not be named host, path, rule, verdict or verdict_by (ValueError). Repeated rows come out repeated.
+    blocked by a rule; else they are allowed. Aliases are whole urls without their fragment (see node_of): pages of one path that differ
+    in the query are no aliases. Urls that occur in edges alone take part with their own rules. Null urls, and those without ://, have
+    empty parts, no rule and no aliases. Columns of urls must not be named host, path, rule, verdict or verdict_by (ValueError); any
+    other names are free, since the rows travel as one struct. Repeated rows come out repeated.
     """
     if clash := {"host", "path", "rule", "verdict", "verdict_by"} & set(urls.columns):
         raise ValueError(f"columns {sorted(clash)} are already there")
-    node = F.concat("host", F.lit("\n"), "path")  # neither part can be mistaken for the other's
-    ends = []
-    for end in ("a", "b"):
-        edges = with_parts(edges, end).withColumn(f"{end}_node", node).withColumn(f"{end}_host", F.col("host")).withColumn(f"{end}_path", F.col("path")).drop("host", "path")
-    edges = stored(edges.filter("a_host != '' and b_host != ''").select(*[f"{e}_{k}" for e in ("a", "b") for k in ("node", "host", "path")]).distinct(), "url-edges")
-    judged = with_parts(urls)
+    host, path = host_and_path(F.col("url"))
     rule, own = rule_of(F.col("host"), F.col("path"), rules)
-    judged = judged.withColumn("rule", rule).withColumn("_own", own)
+    rows = urls.select(F.struct(*[F.col(f"`{c}`") for c in urls.columns]).alias("row"), F.col(f"`{url_col}`").cast("string").alias("url"))
+    rows = rows.select("row", "url", host.alias("host"), path.alias("path")).select("*", rule.alias("rule"), own.alias("own"))
+    edges = stored(edges.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b")).select(node_of(F.col("a")).alias("a"), node_of(F.col("b")).alias("b")).filter("a is not null and b is not null").distinct(), "url-edges")
     if edges.isEmpty():
-        return judged.withColumn("verdict", F.coalesce("_own", F.lit("allow"))).withColumn("verdict_by", F.when(F.col("rule").isNotNull(), "rule").otherwise("default")).drop("_own")
-    members = connected_components(edges.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
-    for end in ("a", "b"):
-        ends.append(edges.select(F.col(f"{end}_node").alias("node"), F.col(f"{end}_host").alias("host"), F.col(f"{end}_path").alias("path")))
-    of_node = ends[0].union(ends[1]).distinct().withColumn("own", own)
-    blocked = members.join(of_node.filter("own = 'block'"), "node").select("component").distinct().withColumn("hit", F.lit(True))
-    aliases = members.join(blocked, "component").select(F.col("node").alias("_node"), "hit")
-    out = judged.withColumn("_node", F.when(F.col("_own").isNull() & (F.col("host") != ""), node)).join(aliases, "_node", "left")
-    verdict = F.coalesce("_own", F.when(F.col("hit"), "block"), F.lit("allow"))
-    by = F.when(F.col("_own").isNotNull(), "rule").when(F.col("hit"), "alias").otherwise("default")
-    return out.withColumn("verdict", verdict).withColumn("verdict_by", by).drop("_own", "_node", "hit")
+        rows = rows.withColumn("hit", F.lit(False))
+    else:
+        members = connected_components(edges)
+        nodes = members.select("node", host_and_path(F.col("node"))[0].alias("host"), host_and_path(F.col("node"))[1].alias("path"), "component")
+        blocked = nodes.filter(own == "block").select("component").distinct()
+        aliases = members.join(blocked, "component", "left_semi").select("node", F.lit(True).alias("hit"))
+        # Only urls without a rule of their own can be changed by an alias; the others meet no key.
+        rows = rows.withColumn("node", F.when(F.col("own").isNull(), node_of(F.col("url")))).join(aliases, "node", "left")
+    hit = F.coalesce("hit", F.lit(False))
+    verdict = F.coalesce("own", F.when(hit, "block"), F.lit("allow"))
+    by = F.when(F.col("own").isNotNull(), "rule").when(hit, "alias").otherwise("default")
+    given = [F.col(f"row.`{c}`").alias(c) for c in urls.columns]
+    return rows.select(*given, "host", "path", "rule", verdict.alias("verdict"), by.alias("verdict_by"))
 
 
 def filter_pages(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
     """filter_urls over the urls of pages, with the edges that the pages themselves declare."""
     return filter_urls(pages.select("page_id", "url"), declared_edges(pages.select("url", "html")), rules)
+
+
+def made_pages(pages: DataFrame) -> DataFrame:
+    """Pages by rule, to try aliases on tables that declare none: each links to the next one in chains of five, by protocol-relative
+    canonical links with an escaped query and by refresh redirects in turn. The last url of a chain lacks the query that the link to it has."""
+    k = F.col("page_id")
+
+    def url(n: Column) -> Column:
+        folder = F.when(n % 7 == 0, "de/").when(n % 7 == 3, "fr/").otherwise("x/")
+        return F.concat(F.lit("http://h"), (n % 5).cast("string"), F.lit(".com/"), folder, n.cast("string"))
+
+    target = F.concat(url(k + 1), F.lit("?a=1&b=2"))
+    canonical = F.concat(F.lit("<link rel='canonical' href='"), F.replace(F.replace(target, F.lit("http:"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("'>"))
+    refresh = F.concat(F.lit('<meta http-equiv="refresh" content="0; url='), target, F.lit('">'))
+    link = F.when(k % 5 == 4, "").when(k % 2 == 0, canonical).otherwise(refresh)
+    own = F.when(k % 5 == 4, url(k)).otherwise(F.concat(url(k), F.lit("?a=1&b=2#top")))
+    return pages.select("page_id", own.alias("url"), F.concat(F.lit("<html><head>"), link, F.lit("</head></html>")).alias("html"))

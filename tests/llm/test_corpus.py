@@ -125,9 +125,14 @@ def test_url_rules(spark):
 
 def test_url_aliases(spark):
     urls = [(1, "http://spam.net/"), (2, "http://mid.net/a"), (3, "http://bad.com/de/x"), (4, "http://good.org/"), (5, "http://free.net/"), (6, "http://free2.net/")]
-    edges = [("http://spam.net/?q=1", "http://mid.net/a#z"), ("http://bad.com/de/x", "http://mid.net/a"), ("http://mid.net/a", "http://good.org/"), ("http://free.net/", "http://free2.net/"), (None, "http://x.net/"), ("http://free.net/", "bad")]
+    urls += [(7, "http://spam.net/?q=1"), (8, "http://spam.net/?q=2"), (9, "HTTP://Spam.net?q=1#frag"), (10, "http://spam.net/#part")]
+    edges = [("http://spam.net/", "http://mid.net/a#z"), ("http://spam.net/?q=1", "http://mid.net/a#z"), ("http://bad.com/de/x", "http://mid.net/a"), ("http://mid.net/a", "http://good.org/"), ("http://free.net/", "http://free2.net/"), (None, "http://x.net/"), ("http://free.net/", "bad")]
     got = {x.page_id: (x.verdict, x.verdict_by) for x in filter_urls(spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame(edges, "a string, b string")).collect()}
-    assert got == {1: ("block", "alias"), 2: ("block", "alias"), 3: ("block", "rule"), 4: ("allow", "rule"), 5: ("allow", "default"), 6: ("allow", "default")}
+    assert got == {1: ("block", "alias"), 2: ("block", "alias"), 3: ("block", "rule"), 4: ("allow", "rule"), 5: ("allow", "default"), 6: ("allow", "default"), 7: ("block", "alias"), 8: ("allow", "default"), 9: ("block", "alias"), 10: ("block", "alias")}
+    names = ["hit", "_url", "_rest", "_own", "_node", "node", "own", "row", "component"]
+    odd = spark.createDataFrame([(*u, *names) for u in urls], ["page_id", "url", *names])
+    clashing = filter_urls(odd, spark.createDataFrame(edges, "a string, b string")).collect()
+    assert {x.page_id: (x.verdict, x.verdict_by) for x in clashing} == got and all([x[c] for c in names] == names for x in clashing)
     with pytest.raises(ValueError):
         filter_urls(spark.createDataFrame([("u", "h")], "url string, host string"), spark.createDataFrame([], "a string, b string"))
     html = '<html><head><LINK href="http://bad.com/de/x" rel=canonical><meta http-equiv="refresh" content="0; url=http://t.net/q"></head>'
