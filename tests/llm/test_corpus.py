@@ -168,7 +168,7 @@ def test_baum_welch():
     m = hmm.Model(norm(rng.random(2)), norm(rng.random((2, 2))), norm(rng.random((2, 4))))
     sizes = np.array([5, 3])
     seq = rng.integers(0, 4, 8)
-    got = hmm.expected_counts(m, seq, sizes, np.array([True, True]))
+    got = hmm.expected_counts(m, seq, sizes)
     starts, moves, emits = np.zeros(2), np.zeros((2, 2)), np.zeros((2, 4))
     at = 0
     for size in sizes:
@@ -183,14 +183,52 @@ def test_baum_welch():
             for t in range(size):
                 emits[z[t], s[t]] += w
         at += size
-    for x, y in zip(got, (starts, moves, emits), strict=True):
+    for x, y in zip(got[:3], (starts, moves, emits), strict=True):
         np.testing.assert_allclose(x, y, rtol=1e-4)
 
 
-def test_segments():
-    cut, wide, first = hmm.segments(np.arange(12), np.array([7, 1, 4]), 3)
-    assert wide.tolist() == [3, 3, 3, 1, 1, 1] and first.sum() == 3
-    assert cut.tolist() == [0, 1, 2, 3, 4, 5, 8, 9, 10, 6, 7, 11]
+def plain_counts(m, seq, sizes):
+    """Baum-Welch counts by the textbook recursion over each whole text, in double precision."""
+    starts, moves, emits, fit, at = np.zeros_like(m.start), np.zeros_like(m.move), np.zeros_like(m.emit), 0.0, 0
+    for size in sizes:
+        s, alpha, scale = seq[at : at + size], [], []
+        for t, c in enumerate(s):
+            x = (m.start if not t else alpha[-1] @ m.move) * m.emit[:, c]
+            scale.append(x.sum())
+            alpha.append(x / x.sum())
+        beta = np.ones_like(m.start)
+        for t in range(size - 1, -1, -1):
+            emits[:, s[t]] += alpha[t] * beta
+            if t:
+                ahead = m.emit[:, s[t]] * beta / scale[t]
+                moves += np.outer(alpha[t - 1], ahead) * m.move
+                beta = m.move @ ahead
+            else:
+                starts += alpha[0] * beta
+        fit += np.log10(scale).sum()
+        at += size
+    return starts, moves, emits, fit
+
+
+@pytest.mark.parametrize("width", [1, 2, 7, 128])
+def test_counts_of_whole_texts(width):
+    """Pieces change nothing: texts of a thousand tokens and more count as uncut."""
+    rng = np.random.default_rng(4)
+    norm = lambda x: x / x.sum(axis=-1, keepdims=True)
+    m = hmm.Model(norm(rng.random(4)), norm(rng.random((4, 4)) ** 4), norm(rng.random((4, 50)) ** 3))
+    sizes = np.array([1000, 1, 128, 129, 300, 2, 256, 257, 7])
+    seq = rng.integers(0, 50, sizes.sum())
+    for x, y in zip(hmm.expected_counts(m, seq, sizes, width), plain_counts(m, seq, sizes), strict=True):
+        np.testing.assert_allclose(x, y, rtol=2e-3, atol=2e-3)
+
+
+def test_training_gains(spark):
+    """The likelihood grows with each round, over texts far longer than a piece."""
+    rows = [(k, " ".join(t for _, t, *_ in language_rows(30, k)), "en", "a") for k in range(12)]
+    blocks = hmm.token_blocks(frame(spark, rows)).cache()
+    share = np.full(hmm.CLASSES + 2, 1 / (hmm.CLASSES + 2))
+    fits = hmm.train(blocks, share, 3, 4).fits
+    assert len(fits) >= 2 and all(y > x for x, y in zip(fits, fits[1:], strict=False))
 
 
 def language_rows(n=400, seed=2):
@@ -203,7 +241,26 @@ def language_rows(n=400, seed=2):
     return rows
 
 
-def test_scoring(spark):
+def brute_scores(rows, m):
+    """log10 of each text's probability, word by word, under a trained model."""
+    lower = lambda t: [w.lower() for w in (t or "").split()] + [""]
+    counts = Counter(w for d, t, *_ in rows if zlib.crc32(str(d).encode()) % 7 != 2 for w in lower(t))
+    inside, once, twice = Counter(), sum(c == 1 for c in counts.values()), sum(c == 2 for c in counts.values())
+    for w, c in counts.items():
+        inside[hmm.word_class(w)] += c + 1
+    for _, t, *_ in rows:
+        p, total = None, 0.0
+        for w in lower(t):
+            kind = hmm.word_class(w) if w in counts else hmm.UNSEEN
+            p = (m.start if p is None else p @ m.move) * m.emit[:, kind]
+            total += math.log10(p.sum()) + (math.log10((counts[w] + 1) / inside[kind]) if w in counts else -math.log10(max(1, once * (once - 1) / (2 * (twice + 1)))))
+            p = p / p.sum()
+        yield total
+
+
+def test_scoring(spark, monkeypatch):
+    trained, train = [], hmm.train
+    monkeypatch.setattr(hmm, "train", lambda *a: trained.append(train(*a)) or trained[-1])
     rows = language_rows() + [(900, None, None, None), (901, "", None, None), (902, "unheardofxyz qqq", None, None), (7, "The of", "en", "a")]
     got = hmm.score_documents(frame(spark, rows).repartition(3), states=3, rounds=6).collect()
     counts, n = Counter(), 0
@@ -215,6 +272,8 @@ def test_scoring(spark):
     n = sum(counts.values())
     want = sorted((d, out(d), len(lower(t)), sum(w in counts for w in lower(t)), n, round(sum(math.log10((counts[w] + 1) / (n + len(counts) + 1)) for w in lower(t)), 6)) for d, t, *_ in rows)
     assert sorted((x.doc_id, x.held_out, x.n_tokens, x.n_known, x.train_tokens, round(x.base_score, 6)) for x in got) == want
+    brute = brute_scores(rows, trained[-1])
+    np.testing.assert_allclose(sorted(x.score for x in got), sorted(brute), rtol=1e-6)
     held = [x for x in got if x.held_out]
     assert held and sum(x.score for x in held) > sum(x.base_score for x in held)  # the chain knows more than word counts
     assert hmm.score_documents(frame(spark, [])).count() == 0
