@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lectern.llm.embedding_dedup import embedding_components, estimates, surely_below
+from lectern.llm.embedding_dedup import embedding_components, encode, estimates, rotated, surely_below
 from lectern.llm.exact_dedup import exact_dedup
 from lectern.llm.graph import connected_components
 from lectern.llm.gray_index import build_index, near_links
@@ -144,14 +144,46 @@ def test_embeddings(spark, monkeypatch):
     assert embedding_components(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_embedding_extras(spark):
+    """Columns with inner names, vectors of doubles and of great length, repeated rows, and recall 1 on queries against all rows."""
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((40, 24))
+    rows = [(k, (base[k % 40] + rng.standard_normal(24) * 0.03 * (k % 5)).tolist(), 1) for k in range(200)]
+    wide = rng.standard_normal(20_000).tolist()
+    rows += [(300, wide, 1), (301, [x * 3 for x in wide], 1), (302, [-x for x in wide], 1), (7, rows[7][1], 1), (None, rows[9][1], 1)]
+    names = ["vid", "k1", "k2", "code", "factor", "dim", "cell", "n_links", "ok"]
+    df = spark.createDataFrame([(*r, *names) for r in rows], "vec_id long, embedding array<double>, label int, " + ", ".join(f"{n} string" for n in names))
+    got = embedding_components(df).collect()
+    assert len(got) == len(rows)
+    unit = [np.array(v) / np.linalg.norm(v) for _, v, _ in rows]
+    close = lambda i: sum(j != i and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.98 for j in range(len(rows)))
+    want = sorted((r[0] if r[0] is not None else -1, close(i)) for i, r in enumerate(rows))
+    assert sorted((x.vec_id if x.vec_id is not None else -1, x.n_links) for x in got) == want
+
+
+def test_rotations():
+    rng = np.random.default_rng(8)
+    for dim in (3, 512, 513, 3000):
+        x = rng.standard_normal((6, dim))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        y = rotated(x, 7)
+        np.testing.assert_allclose(x @ x.T, y @ y.T, atol=1e-9)
+        assert abs(np.abs(encode(x, 7)["factor"]).mean() - np.sqrt(2 / np.pi)) < (0.2 if dim == 3 else 0.03)
+
+
 def test_estimates():
     rng = np.random.default_rng(4)
     x = rng.standard_normal((50, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
     q = x + rng.standard_normal(x.shape) * 0.01
     q /= np.linalg.norm(q, axis=1)[:, None]
-    runs = [estimates(q, x, seed)[0] for seed in range(300)]
-    assert np.abs(np.mean(runs, axis=0) - q @ x.T).max() < 0.05  # no bias
-    est, factor = estimates(q, x, 7)
-    assert not (surely_below(est, factor, 0.98) & (q @ x.T >= 0.98)).any()  # no link is lost
-    assert surely_below(est, factor, 0.98).mean() > 0.9  # most others need no exact product
+
+    def guess(seed):
+        asked, coded = encode(q, seed), encode(x, seed)
+        return estimates(asked["query"], asked["scale"], coded["code"], coded["factor"]), coded["factor"], asked["off"]
+
+    assert np.abs(np.mean([guess(seed)[0] for seed in range(300)], axis=0) - q @ x.T).max() < 0.05  # no bias
+    assert encode(x, 7)["code"].shape == (50, 8) and encode(x, 7)["query"].dtype == np.int8
+    low = surely_below(*guess(7), 0.98)
+    assert not (low & (q @ x.T >= 0.98)).any()  # no link is lost
+    assert low.mean() > 0.9  # most others need no exact product
