@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import kept
+
 
 def upper_median_by_counts(rows: DataFrame, by: str, value: str) -> DataFrame:
     """(by, median): the value at place floor(n/2) of each group in ascending order, from counts of distinct values."""
@@ -17,10 +19,13 @@ def upper_median_by_counts(rows: DataFrame, by: str, value: str) -> DataFrame:
 def global_places(rows: DataFrame, order: list[str]) -> DataFrame:
     """rows with place, counted from 1 in the given order over the whole table.
 
-    Rows go to hashed runs by the order's first column's prefix in sorted ranges: each range is numbered on its own and shifted by the
-    sizes of the ranges before it, of which there are as many as partitions.
+    Sorted ranges are written once, each row with its range and its place in it, and then read as often as needed: range bounds are
+    drawn from samples, so two plans of one exchange need not agree. Places are shifted by the sizes of the ranges before, a table of one
+    row per range. Columns named _range, _own or _before are not allowed.
     """
-    ranged = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
-    sizes = ranged.groupBy("_range").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return ranged.withColumn("_own", own).join(sizes.select("_range", "_before"), "_range").withColumn("place", F.col("_own") + F.col("_before")).drop("_own", "_before", "_range")
+    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = kept(sorted_.withColumn("_range", F.spark_partition_id()).withColumn("_own", inside), "ranges")
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("n"))
+    before = sizes.select("_range", F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return ranged.join(before, "_range").withColumn("place", F.col("_own") + F.col("_before") + 1).drop("_own", "_before", "_range")

@@ -93,6 +93,22 @@ def test_ranks(spark):
     assert all(r.place == r.v + 1 for r in places)
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+@pytest.mark.parametrize(("rows", "wide"), [(2_000_000, False), (200_000, True)])
+def test_places_at_scale(spark, adaptive, rows, wide):
+    """Places are 1..n in order, whatever adaptive execution makes of the exchanges and however wide rows are."""
+    before = spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        df = spark.range(rows).select((F.col("id") * 7919 % rows).alias("v"), *([F.repeat(F.lit("x"), 500).alias("text")] if wide else []))
+        got = global_places(df, ["v"])
+        assert got.agg(F.count("*"), F.sum(F.abs(F.col("place") - F.col("v") - 1))).first()[:] == (rows, 0)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before[0])
+        spark.conf.set("spark.sql.shuffle.partitions", before[1])
+
+
 def test_mapping(spark):
     books = spark.createDataFrame([("none", 1000, None), ("pages", 1000, 10), ("one", 5000, None), ("two", 5000, None)], "book_id string, total_words int, total_pages int")
     points = mapping.latest_points(spark.createDataFrame([("one", 10, 2800, 1), ("two", 10, 1000, 1), ("two", 20, 9999, 1), ("two", 20, 2000, 2), ("two", 30, 4000, 1)], "book_id string, page int, g int, at int"))
