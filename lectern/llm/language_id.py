@@ -8,16 +8,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from .words import buffers, steps
-from .work import TEXTS, as_text, ascii_lower, stored
+from .work import TEXTS, as_text, ascii_lower, boxed, stored, unboxed
 
 #: Labelled rows of each language from which the text model is fitted, about: those whose hash lies under the share that gives so many.
 SAMPLE_ROWS = 5000
 #: Hashed byte trigrams.
 GRAMS = 1 << 16
-#: Trigrams overlap and repeat each other's evidence: their sum counts by this factor, and at most as this many trigrams.
-TEMPER, MOST_GRAMS = 1 / 3, 300
+#: Trigrams overlap and repeat each other's evidence, so their sum counts by a factor: of these, the one that explains best the labels of
+#: the part of the sample that is held out from counting (one row in HELD_OUT). It is the same for texts of any length.
+TEMPERS, HELD_OUT = (1.0, 1 / 2, 1 / 3, 1 / 4, 1 / 6, 1 / 10, 1 / 16, 1 / 30), 5
 #: Share of trigrams that any text may owe to noise (numbers, codes, names); so a few odd strings don't outweigh a short text's words.
 NOISE = 0.5
 #: How often a declared language, and a country suffix that goes with one, is right.
@@ -26,6 +28,8 @@ MARKUP_RIGHT, SUFFIX_RIGHT = 0.9, 0.8
 LEAN = 5.0
 #: Country suffixes that go with a language.
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl"}
+#: Names below which registries sell domains under a country suffix.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "gob", "gov", "net", "nom", "or", "org")
 UNKNOWN = "und"
 #: Bytes of text whose trigrams a task looks up at a time.
 STEP = 2_000_000
@@ -55,7 +59,8 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class TextModel:
     """log P(trigram | language): add-half smoothed shares, mixed with noise; arrays of a fixed size per language."""
 
-    def __init__(self, languages: list[str], counts: np.ndarray) -> None:
+    def __init__(self, languages: list[str], counts: np.ndarray, temper: float = 1 / 3) -> None:
+        self.temper = temper
         shares = (counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * GRAMS)
         self.languages, self.log_p = languages, np.log((1 - NOISE) * shares + NOISE / GRAMS).astype(np.float32)
 
@@ -83,34 +88,59 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", mo
         bounds.append((lang, 2**63 - 1 if n <= most_rows else max(least, int(most_rows / n * 2**64) - 2**63)))
     # One row for each language of the model, which the driver holds anyway.
     wanted = F.broadcast(labelled.sparkSession.createDataFrame(bounds, "lang string, bound long"))
-    sample = rows.join(wanted, "lang").filter("hash <= bound").groupBy("lang", "hash").agg(F.first("text").alias("text"), F.count("*").alias("n")).select("text", "lang", "n").repartition(8)
+    sample = rows.join(wanted, "lang").filter("hash <= bound").groupBy("lang", "hash").agg(F.first("text").alias("text"), F.count("*").alias("n")).select("text", "lang", "n", F.pmod("hash", F.lit(1_000_003)).alias("pick")).repartition(8)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, np.ndarray] = {}
+        total: dict[tuple[str, bool], np.ndarray] = {}
         for batch in batches:
             labels, often = np.array(batch.column(1).to_pylist(), object), batch.column(2).to_numpy()
+            out = batch.column(3).to_numpy() % HELD_OUT == 0
             for at, texts in steps(batch.column(0), STEP):
                 ids, sizes = grams(texts)
-                own, weight = (np.repeat(x[at : at + len(texts)], sizes) for x in (labels, often))
-                for lang in set(labels[at : at + len(texts)]):
-                    total[lang] = total.get(lang, 0) + np.bincount(ids[own == lang], weight[own == lang], GRAMS)
+                here = slice(at, at + len(texts))
+                own, weight, part = (np.repeat(x[here], sizes) for x in (labels, often, out))
+                for key in set(zip(labels[here], out[here].tolist(), strict=True)):
+                    mine = (own == key[0]) & (part == key[1])
+                    total[key] = total.get(key, 0) + np.bincount(ids[mine], weight[mine], GRAMS)
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(total), pa.array([x.astype("<i8").tobytes() for x in total.values()], pa.binary())], names=["lang", "counts"])
-
-    sums: dict[str, np.ndarray] = {}
-    for r in sample.mapInArrow(count, "lang string, counts binary").toLocalIterator():
-        sums[r["lang"]] = sums.get(r["lang"], 0) + np.frombuffer(r["counts"], "<i8")
-    languages = sorted(sums)
-    return TextModel(languages, np.array([sums[x] for x in languages], np.float64).reshape(len(languages), GRAMS))
-
-
-def evidence(rows: DataFrame, model: TextModel, temper: float = TEMPER) -> DataFrame:
-    """rows plus _seen (trigrams), _fits, _text (best language of the text alone) and _ev, the log-evidence of each language.
-
-    rows must have _text_in, _markup and _suffix. _fits is false when even noise (all trigrams alike) explains the text better than the
-    best language; without trigrams there is no evidence from the text.
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in total]), pa.array([o for _, o in total]), pa.array([x.astype("<i8").tobytes() for x in total.values()], pa.binary())], names=["lang", "out", "counts"])
+
+    sample = stored(sample, "language-sample", TEXTS)
+    sums: dict[tuple[str, bool], np.ndarray] = {}
+    for r in sample.mapInArrow(count, "lang string, out boolean, counts binary").toLocalIterator():
+        sums[r["lang"], r["out"]] = sums.get((r["lang"], r["out"]), 0) + np.frombuffer(r["counts"], "<i8")
+    languages = sorted({lang for lang, _ in sums})
+    none = np.zeros(GRAMS, np.int64)
+    counted, held = (np.array([sums.get((x, out), none) for x in languages], np.float64).reshape(len(languages), GRAMS) for out in (False, True))
+    first = TextModel(languages, counted)
+
+    def loss(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, texts in steps(batch.column(0), STEP):
+                right = np.array([languages.index(x) for x in batch.column(1).slice(at, len(texts)).to_pylist()])
+                fit_, _ = first.sums(texts)
+                weight = batch.column(2).to_numpy()[at : at + len(texts)]
+                for temper in TEMPERS:
+                    log = fit_ * temper
+                    log = log - log.max(axis=1, keepdims=True)
+                    lost = np.log(np.exp(log).sum(axis=1)) - log[np.arange(len(right)), right]
+                    yield pa.RecordBatch.from_arrays([pa.array([temper]), pa.array([float((lost * weight).sum())])], names=["temper", "lost"])
+
+    lost: dict[float, float] = {}
+    if len(languages) > 1:
+        found = sample.filter(F.pmod("pick", F.lit(HELD_OUT)) == 0).mapInArrow(loss, "temper double, lost double").groupBy("temper").agg(F.sum("lost").alias("lost"))
+        lost = {r["temper"]: round(r["lost"], 6) for r in found.collect()}
+    return TextModel(languages, counted + held, min(TEMPERS, key=lambda t: (lost[t], t)) if lost else TEMPERS[2])
+
+
+def evidence(rows: DataFrame, model: TextModel) -> DataFrame:
+    """rows (row, text, markup, suffix, …) without text, markup and suffix, plus fits, best (language of the text alone) and ev, the
+    log-evidence of each language.
+
+    fits is false when even noise (all trigrams alike) explains the text better than the best language; without trigrams there is no
+    evidence from the text.
     """
-    columns = [c for c in rows.columns if c not in ("_text_in", "_markup", "_suffix")]
+    columns = [c for c in rows.columns if c not in ("text", "markup", "suffix")]
     languages = model.languages
 
     def stated(values: list, right: float, table: dict[str, str] | None = None) -> np.ndarray:
@@ -126,23 +156,22 @@ def evidence(rows: DataFrame, model: TextModel, temper: float = TEMPER) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             place = {name: k for k, name in enumerate(batch.schema.names)}
-            for at, texts in steps(batch.column(place["_text_in"])):
+            for at, texts in steps(batch.column(place["text"])):
                 part = batch.slice(at, len(texts))
                 sums, sizes = model.sums(texts)
                 best = sums.max(axis=1, initial=-np.inf)
                 fits = (sizes > 0) & (best > -np.log(GRAMS) * sizes)
-                scale = temper * np.minimum(1, MOST_GRAMS / np.maximum(1, sizes))
-                ev = sums * scale[:, None]
+                ev = sums * model.temper
                 ev = ev - ev.max(axis=1, keepdims=True, initial=-np.inf) if len(languages) else ev
                 ev = np.where(fits[:, None], ev, 0.0)
-                ev += stated(part.column(place["_markup"]).to_pylist(), MARKUP_RIGHT) + stated(part.column(place["_suffix"]).to_pylist(), SUFFIX_RIGHT, SUFFIXES)
+                ev += stated(part.column(place["markup"]).to_pylist(), MARKUP_RIGHT) + stated(part.column(place["suffix"]).to_pylist(), SUFFIX_RIGHT, SUFFIXES)
                 top = [languages[k] if ok else UNKNOWN for k, ok in zip(sums.argmax(axis=1) if len(languages) else sizes, fits, strict=True)]
                 width = len(languages)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ev) + 1) * width, pa.int32()), pa.array(ev.ravel()))
-                yield pa.RecordBatch.from_arrays([*(part.column(place[c]) for c in columns), pa.array(sizes), pa.array(fits), pa.array(top, pa.string()), lists], names=[*columns, "_seen", "_fits", "_text", "_ev"])
+                yield pa.RecordBatch.from_arrays([*(part.column(place[c]) for c in columns), pa.array(fits), pa.array(top, pa.string()), lists], names=[*columns, "fits", "best", "ev"])
 
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", _seen long, _fits boolean, _text string, _ev array<double>")
+    more = StructType().add("fits", "boolean").add("best", "string").add("ev", ArrayType(DoubleType()))
+    return rows.mapInArrow(run, StructType([rows.schema[c] for c in columns] + more.fields))
 
 
 def _softmax(log: Column) -> Column:
@@ -150,48 +179,55 @@ def _softmax(log: Column) -> Column:
     return F.transform(weights, lambda x: x / F.aggregate(weights, F.lit(0.0), lambda a, y: a + y))
 
 
-def identify(rows: DataFrame, model: TextModel, text: Column, host: Column | None = None, domain: Column | None = None, markup: Column | None = None, suffix: Column | None = None) -> DataFrame:
-    """All columns of rows, then language, confidence and text_language.
+def identify(rows: DataFrame, model: TextModel, text: Column, host: Column | None = None, domain: Column | None = None, markup: Column | None = None, suffix: Column | None = None, keep: list[str] | None = None) -> DataFrame:
+    """All columns of rows (or those in keep), then language, confidence and text_language.
 
     A language's score adds the tempered log-likelihood of the whole text, of the declared language, of the country suffix, and a
-    prior. The prior is the share of the language among the host's rows by their own evidence, smoothed towards its domain's, and
-    that towards the whole table's; rows without a host use the whole table's. Languages are those of the model. A row is `und`
-    when its text holds no letters, or fits no language better than noise: declarations do not outvote that. Null texts are empty,
-    hence und; null declarations say nothing; ties go to the language that sorts first; repeated rows are decided each and alike.
-    Columns named language, confidence or text_language in rows raise ValueError. An empty table gives an empty result.
+    prior. The prior is the share of the language among the host's other rows by their own evidence, smoothed towards that among its
+    domain's, and that towards the whole table's; a row's own evidence is taken out of all three, so that no row confirms itself. Rows
+    without a host use the whole table's. Languages are those of the model. A row is `und` when its text holds no letters, or fits no
+    language better than noise: declarations do not outvote that. Null texts are empty, hence und; null declarations say nothing; ties go
+    to the language that sorts first; repeated rows are decided each and alike. Columns named language, confidence or text_language in
+    rows raise ValueError; any other names are free, since rows travel as one struct. An empty table gives an empty result.
     """
     own = ("language", "confidence", "text_language")
-    if clash := set(own) & set(rows.columns):
+    keep = rows.columns if keep is None else keep
+    if clash := set(own) & set(keep):
         raise ValueError(f"columns {sorted(clash)} are already there")
     if not model.languages:  # nothing to choose from
-        return rows.select("*", F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("confidence"), F.lit(UNKNOWN).alias("text_language"))
+        return rows.select(*[F.col(f"`{c}`") for c in keep], F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("confidence"), F.lit(UNKNOWN).alias("text_language"))
     none = F.lit(None).cast("string")
-    host = none if host is None else host
-    wide = rows.select("*", as_text(text).alias("_text_in"), (none if markup is None else markup).alias("_markup"), (none if suffix is None else suffix).alias("_suffix"), host.alias("_host"), (host if domain is None else domain).alias("_domain"))
-    seen = stored(evidence(wide, model), "evidence", TEXTS)
+    named = {"text": as_text(text), "markup": markup, "suffix": suffix, "host": host, "domain": host if domain is None else domain}
+    wide = rows.select(boxed(keep), *[(none if column is None else column.cast("string")).alias(name) for name, column in named.items()])
+    seen = stored(evidence(wide, model).withColumn("own", F.when(F.col("fits"), _softmax(F.col("ev")))), "evidence", TEXTS)
     n = len(model.languages)
-    soft = seen.filter("_fits").select("_host", "_domain", _softmax(F.col("_ev")).alias("p"))
-    hosts = stored(soft.groupBy("_host", "_domain").agg(*[F.sum(F.col("p")[k]).alias(f"h{k}") for k in range(n)]), "hosts")
-    domains = hosts.groupBy("_domain").agg(*[F.sum(f"h{k}").alias(f"d{k}") for k in range(n)])
+    soft = seen.filter("fits").select("host", "domain", "own")
+    hosts = stored(soft.groupBy("host", "domain").agg(*[F.sum(F.col("own")[k]).alias(f"h{k}") for k in range(n)]), "hosts")
+    domains = hosts.groupBy("domain").agg(F.array(*[F.sum(f"h{k}") for k in range(n)]).alias("of_domain"))
     total = hosts.agg(*[F.sum(f"h{k}").alias(f"g{k}") for k in range(n)]).first()
-    whole = np.array([x or 0.0 for x in total]) + 1
-    whole = whole / whole.sum()
-
-    def share(level: str, parent: list[Column]) -> list[Column]:
-        size = sum((F.coalesce(f"{level}{k}", F.lit(0.0)) for k in range(n)), F.lit(0.0))
-        return [(F.coalesce(f"{level}{k}", F.lit(0.0)) + LEAN * parent[k]) / (size + LEAN) for k in range(n)]
-
-    by_domain = share("d", [F.lit(float(x)) for x in whole])
-    priors = hosts.join(domains, "_domain").select("_host", "_domain", F.array(*[F.log(x) for x in share("h", by_domain)]).alias("_prior"))
-    priors = stored(priors.filter("_host is not null and _domain is not null"), "priors")
-    flat = F.array(*[F.lit(float(np.log(x))) for x in whole]).cast("array<double>")
-    joined = seen.join(priors, ["_host", "_domain"], "left")
-    score = F.zip_with("_ev", F.coalesce("_prior", flat), lambda x, y: x + y)
-    joined = joined.withColumn("_score", score).withColumn("_p", _softmax(F.col("_score")))
+    whole = F.array(*[F.lit(float(x or 0.0)) for x in total])
+    known = hosts.filter("host is not null and domain is not null").select("host", "domain", F.array(*[f"h{k}" for k in range(n)]).alias("of_host")).join(domains, "domain")
+    joined = seen.join(stored(known, "priors"), ["host", "domain"], "left")
+    nothing = F.array(*[F.lit(0.0)] * n)
+
+    def share(counts: Column, parent: Column | None) -> Column:
+        """Shares without the row's own part, leaning on the parent's (at the top: one pseudo-count for each language)."""
+        rest = F.zip_with(counts, F.coalesce("own", nothing), lambda x, y: F.greatest(F.lit(0.0), x - y))
+        leaned = F.transform(rest, lambda x: x + 1) if parent is None else F.zip_with(rest, parent, lambda x, q: x + LEAN * q)
+        return leaned
+
+    def normed(name: str) -> Column:
+        return F.transform(name, lambda x: x / F.aggregate(name, F.lit(0.0), lambda a, y: a + y))
+
+    joined = joined.withColumn("w", share(whole, None)).withColumn("w", normed("w"))
+    joined = joined.withColumn("d", share(F.coalesce("of_domain", nothing), F.col("w"))).withColumn("d", normed("d"))
+    joined = joined.withColumn("h", share(F.coalesce("of_host", nothing), F.col("d"))).withColumn("h", normed("h"))
+    prior = F.when(F.col("host").isNotNull() & F.col("domain").isNotNull(), F.col("h")).otherwise(F.col("w"))
+    joined = joined.withColumn("score", F.zip_with("ev", prior, lambda x, p: x + F.log(p))).withColumn("p", _softmax(F.col("score")))
     names = F.array(*[F.lit(x) for x in model.languages]).cast("array<string>")
-    best = F.array_max("_p")
-    language = F.when(F.col("_fits"), F.element_at(names, F.array_position("_p", best).cast("int"))).otherwise(UNKNOWN)
-    return joined.select(*[f"`{c}`" for c in rows.columns], language.alias("language"), F.when(F.col("_fits"), best).otherwise(0.0).alias("confidence"), F.col("_text").alias("text_language"))
+    best = F.array_max("p")
+    language = F.when(F.col("fits"), F.element_at(names, F.array_position("p", best).cast("int"))).otherwise(UNKNOWN)
+    return joined.select(*unboxed(keep), language.alias("language"), F.when(F.col("fits"), best).otherwise(0.0).alias("confidence"), F.col("best").alias("text_language"))
 
 
 def page_text(html: Column) -> Column:
@@ -204,7 +240,7 @@ def identify_pages(pages: DataFrame, model: TextModel) -> DataFrame:
     """(page_id, host, markup_language, language, confidence, text_language) of pages (page_id, url, html)."""
     host = ascii_lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"://([^/?#]*)", 1))
     markup = ascii_lower(F.regexp_extract(as_text(F.col("html")), r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]+)", 1))
-    rows = pages.select("page_id", F.nullif(host, F.lit("")).alias("host"), F.nullif(markup, F.lit("")).alias("markup_language"), page_text(F.col("html")).alias("_page"))
-    domain, suffix = F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1), F.regexp_extract("host", r"([^.]+)$", 1)
-    found = identify(rows, model, F.col("_page"), F.col("host"), domain, F.col("markup_language"), suffix)
-    return found.drop("_page")
+    rows = pages.select("page_id", F.nullif(host, F.lit("")).alias("host"), F.nullif(markup, F.lit("")).alias("markup_language"), page_text(F.col("html")).alias("shown"))
+    second = "|".join(SECOND_LEVEL)
+    domain, suffix = F.regexp_extract("host", rf"([^.]+\.(?:(?:{second})\.[a-z]{{2}}|[^.]+))$", 1), F.regexp_extract("host", r"([^.]+)$", 1)
+    return identify(rows, model, F.col("shown"), F.col("host"), domain, F.col("markup_language"), suffix, ["page_id", "host", "markup_language"])

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.ranks import global_places
 from .work import as_text, stored
 
 #: Documents, or residuals, that one rounding group holds on average.
@@ -33,13 +34,35 @@ def targets(sizes: list[int], weights: list[float], most: float = MOST_COPIES) -
     return out
 
 
+def source_targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST_COPIES) -> DataFrame:
+    """sources (source, source_size, …) with target: targets() over a table, of which only sums come to the driver.
+
+    Weights go round in order of code points, null last. Each pass closes the sources whose share at the present rate is over their
+    limit, and the rate of the others grows; passes end when none is closed any more.
+    """
+    named = sources.withColumn("last", F.col("source").isNull()).withColumn("name", F.coalesce("source", F.lit("")))
+    placed = global_places(named, ["last", "name"])
+    cycle = F.array(*[F.lit(float(w)) for w in weights])
+    weighed = stored(placed.withColumn("w", F.element_at(cycle, (F.pmod(F.col("place") - 1, F.lit(len(weights))) + 1).cast("int"))), "sources")
+    limit = most * F.col("source_size")
+    whole = weighed.agg(F.sum("source_size")).first()[0] or 0
+    rate, closed = 0.0, -1
+    while True:
+        over = F.col("w") * rate > limit if closed >= 0 else F.lit(False)
+        now = weighed.agg(F.count_if(over).alias("n"), F.sum(F.when(over, limit)).alias("given"), F.sum(F.when(~over, F.col("w"))).alias("open")).first()
+        if now["n"] == closed or not now["open"]:
+            break
+        closed, rate = now["n"], (whole - (now["given"] or 0)) / now["open"]
+    return weighed.withColumn("target", F.least(F.col("w") * rate, limit.cast("double"))).drop("last", "name", "place", "w")
+
+
 def _pivot(group: pd.DataFrame) -> pd.DataFrame:
     """Rounds a group's probabilities but one. Two documents trade mass (probability times size) until one is 0 or 1; the other goes on.
 
     The direction is drawn so that both expectations stay as they are, and the sum of mass stays exactly, so all rounding together
     misses the target by less than one document.
     """
-    group = group.sort_values(["draw", "doc_id", "size"], kind="stable").reset_index(drop=True)
+    group = group.sort_values(["draw", "size"], kind="stable").reset_index(drop=True)
     p, size, draw = group["p"].tolist(), group["size"].tolist(), group["draw"].tolist()
     held = -1
     for k in range(len(p)):
@@ -63,34 +86,38 @@ def _pivot(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def word_sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size): size counts runs of anything but the six ASCII blanks."""
-    size = F.regexp_count(as_text(F.col("text")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"))
+    """(doc_id, source, size, tie): size counts runs of anything but the six ASCII blanks, tie is a hash of the text."""
+    text = as_text(F.col("text"))
+    size = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64(text).alias("tie"))
 
 
 def mix_sources(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 11) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) from (doc_id, source, size), one row per input row.
+    """(doc_id, source, size, source_size, target, copies, taken) from (doc_id, source, size, tie), one row per input row.
 
     Sources in order of code points, null last, take the weights in turn. A source's copy rate is its target over its size; each
     document gets the whole part, and the fraction is rounded by pivotal steps in hashed blocks of bounded size. Each block leaves at
-    most one fractional document; these meet in blocks again until one is left for a source, which a last draw decides. Draws
-    hash the id, so reruns agree. Empty documents take nothing; a source without words has target 0; repeated rows are rounded each on
-    their own; null ids share one draw. The list of sources comes to the driver (as the weights do); no other rows do.
+    most one fractional document; these meet in blocks again until one is left for a source, which a last draw decides. Draws and
+    blocks hash the id, the text's hash and, for rows that repeat both, their number, so reruns agree and neither null ids nor one id
+    of many rows crowd a block. Empty documents take nothing; a source without words has target 0. Sources are a table like any
+    other: there may be as many as there are hosts.
     """
-    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).collect()
-    totals.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    share = targets([r["source_size"] for r in totals], [weights[k % len(weights)] for k in range(len(totals))], most)
-    rates = [(r["source"], r["source_size"], t, t / r["source_size"] if r["source_size"] else 0.0, max(1, math.ceil(r["n"] / BLOCK))) for r, t in zip(totals, share, strict=True)]
-    spark = sizes.sparkSession
-    kinds = "source_ string, source_size long, target double, rate double, blocks long"
-    draw = lambda level: F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed), F.lit(level)), 11) / F.lit(float(2**53))
-    table = spark.createDataFrame(rates, kinds)
-    rows = sizes.join(table, F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
+    same = ["doc_id", "source", "size", "tie"]
+    counted = sizes.groupBy(*same).agg(F.count("*").alias("times"))
+    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    table = source_targets(totals, weights, most)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    table = table.select(F.col("source").alias("source_"), "source_size", "target", rate.alias("rate"), F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).alias("blocks"))
+    most_blocks = table.agg(F.max("blocks")).first()[0] or 1
+    key = lambda *more: F.xxhash64("doc_id", "tie", "nth", F.lit(seed), *more)
+    draw = lambda level: F.shiftrightunsigned(key(F.lit(level)), 11) / F.lit(float(2**53))
+    single = counted.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    rows = single.join(table, F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
     whole = F.floor("rate")
-    rows = rows.select("doc_id", "source", "size", "source_size", "target", whole.cast("long").alias("whole"), F.when(F.col("size") > 0, F.col("rate") - whole).otherwise(0.0).alias("p"), "blocks")
-    rows = rows.withColumn("draw", draw(0)).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), "blocks"))
+    rows = rows.select("doc_id", "source", "size", "source_size", "target", "tie", "nth", whole.cast("long").alias("whole"), F.when(F.col("size") > 0, F.col("rate") - whole).otherwise(0.0).alias("p"), "blocks")
+    rows = rows.withColumn("draw", draw(0)).withColumn("block", F.pmod(key(), "blocks"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    most_blocks, done, level = max((r[4] for r in rates), default=1), None, 0
+    done, level = None, 0
     while True:
         level += 1
         rounded = stored(rows.groupBy("source", "block").applyInPandas(_pivot, schema), f"rounded-{level}")

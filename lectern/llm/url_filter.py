@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import connected_components
-from .work import as_text, stored
+from .work import as_text, boxed, stored, unboxed
 
 #: (verdict, rule): the rule is a host, a slash and a path prefix.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -98,7 +98,7 @@ def filter_urls(urls: DataFrame, edges: DataFrame, rules: tuple[tuple[str, str],
         raise ValueError(f"columns {sorted(clash)} are already there")
     host, path = host_and_path(F.col("url"))
     rule, own = rule_of(F.col("host"), F.col("path"), rules)
-    rows = urls.select(F.struct(*[F.col(f"`{c}`") for c in urls.columns]).alias("row"), F.col(f"`{url_col}`").cast("string").alias("url"))
+    rows = urls.select(boxed(urls.columns), F.col(f"`{url_col}`").cast("string").alias("url"))
     rows = rows.select("row", "url", host.alias("host"), path.alias("path")).select("*", rule.alias("rule"), own.alias("own"))
     edges = stored(edges.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b")).select(node_of(F.col("a")).alias("a"), node_of(F.col("b")).alias("b")).filter("a is not null and b is not null").distinct(), "url-edges")
     if edges.isEmpty():
@@ -113,8 +113,7 @@ def filter_urls(urls: DataFrame, edges: DataFrame, rules: tuple[tuple[str, str],
     hit = F.coalesce("hit", F.lit(False))
     verdict = F.coalesce("own", F.when(hit, "block"), F.lit("allow"))
     by = F.when(F.col("own").isNotNull(), "rule").when(hit, "alias").otherwise("default")
-    given = [F.col(f"row.`{c}`").alias(c) for c in urls.columns]
-    return rows.select(*given, "host", "path", "rule", verdict.alias("verdict"), by.alias("verdict_by"))
+    return rows.select(*unboxed(urls.columns), "host", "path", "rule", verdict.alias("verdict"), by.alias("verdict_by"))
 
 
 def filter_pages(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:

@@ -32,20 +32,24 @@ def record_id(page: object) -> str:
     return f"<urn:uuid:{uuid.uuid5(_SPACE, f'page:{page}')}>"
 
 
+def address(page: object, url: str | None) -> str:
+    """A header value is one line; a url is kept percent-encoded where it holds controls or blanks."""
+    return "".join(c if c.isprintable() and c != " " else "".join(f"%{b:02X}" for b in c.encode("utf-8", "surrogatepass")) for c in url or f"urn:page:{page}")
+
+
 def record(page: object, url: str | None, payload: bytes, refers_to: object = None, refers_url: str | None = None, date: str = DATE) -> bytes:
-    """One record with fresh headers and digests. A revisit keeps the payload's digest and length but not the payload."""
+    """One record with fresh headers and digests. A revisit names the response by id, url and date, and keeps the payload's digest and
+    length but not the payload."""
     revisit = refers_to is not None
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
-    # A header value is one line; the address is kept percent-encoded where it holds controls.
-    address = "".join(c if c.isprintable() and c != " " else "".join(f"%{b:02X}" for b in c.encode("utf-8", "surrogatepass")) for c in url or f"urn:page:{page}")
     lines = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page)}", f"WARC-Target-URI: {address}", f"WARC-Date: {date}",
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page)}", f"WARC-Target-URI: {address(page, url)}", f"WARC-Date: {date}",
         "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{digest(payload)}", f"WARC-Block-Digest: sha1:{digest(block)}",
         f"X-Page-ID: {'' if page is None else page}", f"X-Payload-Length: {len(payload)}",
     ]
     if revisit:
-        lines += [f"WARC-Profile: {_REVISIT}", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page: {refers_to}"]
+        lines += [f"WARC-Profile: {_REVISIT}", f"WARC-Refers-To: {record_id(refers_to)}", f"WARC-Refers-To-Target-URI: {address(refers_to, refers_url)}", f"WARC-Refers-To-Date: {date}", f"X-Refers-To-Page: {refers_to}"]
     lines.append(f"Content-Length: {len(block)}")
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -83,43 +87,46 @@ class _Roller:
 
 
 def originals(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(page_id, refers_to) of the rows that revisit another: an equal payload of at least min_bytes with a smaller page_id."""
-    rows = pages.select("page_id", as_text(F.col("html")).alias("html")).select("page_id", F.sha2("html", 256).alias("key"), F.octet_length("html").alias("size"))
-    first = rows.filter(F.col("size") >= min_bytes).groupBy("key", "size").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return rows.join(first, ["key", "size"]).filter("page_id > refers_to").select("page_id", "refers_to")
+    """(page_id, tie, refers_to, refers_url) of the rows that revisit another: an equal payload of at least min_bytes with a smaller page_id."""
+    rows = pages.select("page_id", "tie", "url", F.sha2("html", 256).alias("key"), F.octet_length("html").alias("size"))
+    first = rows.filter(F.col("size") >= min_bytes).groupBy("key", "size").agg(F.min("page_id").alias("refers_to"), F.min_by("url", F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("refers_url"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return rows.select("page_id", "tie", "key", "size").join(first, ["key", "size"]).filter("page_id > refers_to").select("page_id", "tie", "refers_to", "refers_url").distinct()
 
 
 def write_warc(pages: DataFrame, to: str, min_bytes: int = 0, roll: int = ROLL_BYTES, level: int = 6) -> DataFrame:
     """Writes a record per row of pages (page_id, url, html) in page_id order; returns the manifest (one row per file).
 
-    One shuffle range-sorts rows together with the revisit decisions. Tasks write under temporary names that are unique to an
-    attempt; the manifest is stored, and then the files that it lists get their final names, so a lost or doubled attempt leaves
-    nothing but an unlisted temporary file. Null html is an empty payload; a null url becomes urn:page:<id>. Rows that repeat the
-    smallest page_id of a payload are all responses; other repeats are all revisits. Null ids sort first and are responses.
-    An empty table writes no file. A payload is held in memory one at a time.
+    One shuffle range-sorts rows, by id and the payload's hash, together with the revisit decisions; null ids, and one id of many
+    payloads, spread over ranges. Tasks write under temporary names that are unique to an attempt; the manifest is stored, then the files
+    that it lists get their final names, and it is kept beside them under _manifest. So a lost or doubled attempt leaves nothing but an
+    unlisted temporary file. Null html is an empty payload; a null url becomes urn:page:<id>. Payloads are equal when SHA-256 and length
+    are. Rows that repeat the smallest page_id of a payload are all responses; other repeats are all revisits. Null ids sort first and are
+    responses. Other columns are not read. An empty table writes no file. A payload is held in memory one at a time.
     """
     folder(f"{to}/_temporary")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), as_text(F.col("html")).alias("html"))
-    marks = originals(rows, min_bytes).distinct().select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "refers_to", F.lit(0).alias("kind"))
-    both = rows.select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to"), F.lit(1).alias("kind")).union(marks)
+    html = as_text(F.col("html"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.xxhash64(html).alias("tie"))
+    none = lambda kind: F.lit(None).cast(kind)
+    marks = originals(rows, min_bytes).select("page_id", "tie", F.lit(0).alias("kind"), none("string").alias("url"), none("string").alias("html"), "refers_to", "refers_url")
+    both = rows.select("page_id", "tie", F.lit(1).alias("kind"), "url", "html", none("long").alias("refers_to"), none("string").alias("refers_url")).union(marks)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = _Roller(to, TaskContext.get().partitionId(), roll)
-        marked, target = None, None
+        marked, target = None, (None, None)
         for batch in batches:
-            for page, url, html, refers, kind in zip(*(batch.column(k) for k in range(5)), strict=True):
-                page = page.as_py()
+            for page, tie, kind, url, body, refers, refers_url in zip(*(batch.column(k) for k in range(7)), strict=True):
+                own = (page.as_py(), tie.as_py())
                 if not kind.as_py():
-                    marked, target = page, refers.as_py()
+                    marked, target = own, (refers.as_py(), refers_url.as_py())
                     continue
-                revisit = target if page is not None and page == marked else None
-                files.add(member(record(page, url.as_py(), html.as_py().encode("utf-8", "surrogatepass"), revisit), level))
+                response = target if own == marked else (None, None)
+                files.add(member(record(own[0], url.as_py(), body.as_py().encode("utf-8", "surrogatepass"), *response), level))
         files.close()
         if files.rows:
             yield pa.RecordBatch.from_pylist(files.rows)
 
-    # Range partitioning sends equal ids to one partition, so a mark stands right before its rows.
-    manifest = stored(both.repartitionByRange("page_id").sortWithinPartitions("page_id", "kind", "url", "html").mapInArrow(write, MANIFEST), "warc-manifest", TEXTS)
+    # Range partitioning sends equal keys to one partition, so a mark stands right before its rows.
+    manifest = stored(both.repartitionByRange("page_id", "tie").sortWithinPartitions("page_id", "tie", "kind", "url", "html").mapInArrow(write, MANIFEST), "warc-manifest", TEXTS)
 
     def commit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,7 +139,8 @@ def write_warc(pages: DataFrame, to: str, min_bytes: int = 0, roll: int = ROLL_B
                     raise OSError(f"{row['path']} does not have the size that the manifest lists")
             yield batch
 
-    return stored(spread(manifest).mapInArrow(commit, MANIFEST), "warc-committed")
+    spread(manifest).mapInArrow(commit, MANIFEST).write.parquet(f"{to}/_manifest")
+    return pages.sparkSession.read.schema(MANIFEST).parquet(f"{to}/_manifest")
 
 
 def _members(uri: str, step: int = 1 << 20) -> Iterator[bytes]:

@@ -72,3 +72,12 @@ def dealt(rows: DataFrame) -> DataFrame:
     """Rows that lie in fewer splits than there are cores, dealt out: for work that takes far longer than reading does."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def boxed(columns: list[str], name: str = "row") -> Column:
+    """The columns of a table as one struct, so that whatever they are called no inner name can meet them. See unboxed()."""
+    return F.struct(F.lit(0).alias("z"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)]).alias(name)
+
+
+def unboxed(columns: list[str], name: str = "row") -> list[Column]:
+    return [F.col(f"{name}.c{k}").alias(c) for k, c in enumerate(columns)]

@@ -2,6 +2,7 @@ import base64
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -34,7 +35,7 @@ def test_words():
 
 def pages():
     rows = [(k, f"https://h{k % 5}.example.org/en/{k}", ["<p>a</p>", "<p>é</p>", "", "<html>" + "x" * 3000][k % 4]) for k in range(40)]
-    rows += [(50, None, None), (51, "no scheme", "z"), (52, "http://x y\n.net/", "z"), (53, "http://a.net/", "Q"), (53, "http://a.net/", "Q"), (None, "http://n.net/", "only"), (54, "http://b.net", "Q")]
+    rows += [(50, None, None), (51, "no scheme", "z"), (52, "http://x y\n.net/", "z"), (53, "http://a.net/", "Q"), (53, "http://a.net/", "Q"), (53, "http://c.net/", "other"), (None, "http://n.net/", "only"), (None, "http://m.net/", "Q"), (49, "http://first q.net/", "Q"), (54, "http://b.net", "Q")]
     return rows
 
 
@@ -58,6 +59,10 @@ def test_warc(spark, least):
     assert len(files) > 3 and all(f.bytes < 600 + 4000 for f in files)
     order = [parse(m)[0]["X-Page-ID"] for f in files for m in _members(f.path)]
     assert [int(x) for x in order if x] == sorted(r[0] for r in rows if r[0] is not None)
+    heads = [parse(m)[0] for f in files for m in _members(f.path)]
+    revisits = [h for h in heads if h["WARC-Type"] == "revisit" and h.get("X-Refers-To-Page") == "49"]
+    assert {h["WARC-Refers-To-Target-URI"] for h in revisits} == ({"http://first%20q.net/"} if least < 1 else set()) and all(h["WARC-Refers-To-Date"] for h in revisits)
+    assert spark.read.parquet(f"{to}/_manifest").count() == len(files)
     again = write_warc(spark.createDataFrame(rows, PAGES), fresh_path(spark, "w"), min_bytes=least, roll=10**9)
     once = write_warc(spark.createDataFrame(rows, PAGES).repartition(3), fresh_path(spark, "w"), min_bytes=least, roll=10**9)
     text = lambda m: b"".join(x for f in m.orderBy("shard", "part").collect() for x in _members(f.path))
@@ -93,6 +98,23 @@ def test_targets():
     assert targets([], []) == [] and targets([0], [5]) == [0.0]
 
 
+def test_many_sources(spark):
+    """Sources as a table: the same targets as by hand, and null or repeated ids make no group larger."""
+    from lectern.llm import mixing as m
+
+    r = random.Random(7)
+    sizes = [r.choice([0, 1, 5, 100, 10_000]) for _ in range(3000)]
+    table = spark.createDataFrame([(f"s{k:05d}" if k < 2999 else None, n) for k, n in enumerate(sizes)], "source string, source_size long").repartition(7)
+    got = {x.source: x.target for x in m.source_targets(table).collect()}
+    want = m.targets(sizes, [(5, 2, 1)[k % 3] for k in range(3000)])
+    np.testing.assert_allclose([got[f"s{k:05d}" if k < 2999 else None] for k in range(3000)], want, rtol=1e-9)
+    rows = [(None, f"w{k} x", "en", "a") for k in range(6000)] + [(3, f"v{k}", "en", "b") for k in range(3000)] + [(4, "same text", "en", "a")] * 5000
+    made = m.mix_documents(frame(spark, rows)).collect()
+    assert len(made) == len(rows) and abs(sum(x.taken for x in made) - sum(len(t.split()) for _, t, *_ in rows)) <= 4
+    block = m.word_sizes(frame(spark, rows)).groupBy("doc_id", "source", "size", "tie").count()
+    assert block.agg({"count": "max"}).first()[0] == 5000 and len({x.copies for x in made if x.doc_id == 4}) == 2  # equal rows are rounded apart
+
+
 def test_mixing_is_fair(spark):
     rows = [(k, "w " * (1 + k % 9), "en", "ab"[k % 2]) for k in range(400)]
     from lectern.llm.mixing import mix_sources, word_sizes
@@ -305,3 +327,52 @@ def test_page_language(spark):
     assert all(got[k].language == lang for k, _, lang, _ in rows)
     assert got[900].language == UNKNOWN and got[901].language == UNKNOWN and got[902].language == "fr"
     assert 0 <= min(x.confidence for x in got.values()) and max(x.confidence for x in got.values()) <= 1
+
+
+def test_fusion(spark):
+    """Language and confidence of each page as worked out by hand: own evidence is left out of the priors, hosts lean on domains."""
+    from lectern.llm import language_id as m
+
+    model = fit(frame(spark, language_rows(300, 5)))
+    assert model.temper in m.TEMPERS
+    r, table = random.Random(6), []
+    for k, (_, t, lang, _) in enumerate(language_rows(120, 8)):
+        words = t.split()[: r.choice([1, 1, 2, 30])]
+        host = r.choice(["a.one.co.uk", "b.one.co.uk", "one.de", "x.two.fr", "two.fr", "lone.net"])
+        table.append((k, f"http://{host}/{k}" if k % 10 else None, f"<html lang={r.choice(['en', 'fr', 'xx'])}><p>{' '.join(words)}</p></html>"))
+    table += [(500, "http://only.es/", "<p>the</p>"), (501, None, None)]
+    rng = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    rows = []
+    for k, url, html in table:
+        shown = re.sub(r"<[^>]*>", " ", html or "")
+        sums, sizes = model.sums(pa.array([shown]))
+        ok = sizes[0] > 0 and sums.max() > -np.log(m.GRAMS) * sizes[0]
+        host = url.split("/")[2] if url else None
+        domain = None if host is None else ".".join(host.split(".")[-3 if host.endswith("co.uk") else -2 :])
+        ev = sums[0] * model.temper
+        ev = ev - ev.max() if ok else ev * 0
+        markup = html.split("lang=")[1][:2] if html and "lang=" in html else None
+        for name, right in ((markup, m.MARKUP_RIGHT), (m.SUFFIXES.get(host.split(".")[-1]) if host else None, m.SUFFIX_RIGHT)):
+            if name in model.languages:
+                ev = ev + np.where(np.array(model.languages) == name, np.log(right), np.log((1 - right) / 2))
+        rows.append((k, host, domain, ok, ev, rng(ev) if ok else np.zeros(3)))
+    got = {x.page_id: x for x in identify_pages(spark.createDataFrame(table, PAGES), model).collect()}
+    for k, host, domain, ok, ev, own in rows:
+        lean = lambda rest, parent: (rest + m.LEAN * parent) / (rest + m.LEAN * parent).sum()
+        part = lambda same: np.sum([x[5] for x in rows if x[3] and same(x)] + [np.zeros(3)], axis=0) - own
+        w = part(lambda x: True) + 1
+        w = w / w.sum()
+        prior = w if host is None else lean(part(lambda x: x[1] == host and x[2] == domain), lean(part(lambda x: x[2] == domain), w))
+        p = rng(ev + np.log(prior))
+        assert got[k].language == (model.languages[int(p.argmax())] if ok else UNKNOWN), k
+        assert math.isclose(got[k].confidence, p.max() if ok else 0.0, rel_tol=1e-6, abs_tol=1e-9), k
+
+
+def test_language_columns(spark):
+    from pyspark.sql import functions as F
+
+    model = fit(frame(spark, language_rows(60, 5)))
+    names = ["_host", "_ev", "row", "own", "host", "h0", "p", "weird name", "text", "_"]
+    df = spark.createDataFrame([(k, *[f"the of ing {c}" for c in names]) for k in range(5)], ["k", *names])
+    got = identify(df, model, F.col("text"), host=F.col("host")).collect()
+    assert len(got) == 5 and all(x[c] == f"the of ing {c}" for x in got for c in names)
