@@ -19,6 +19,16 @@ _STEP = 100_000
 _BITS = np.arange(64, dtype=np.uint64)
 
 
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits."""
+    return np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(counts: np.ndarray, n: int) -> int:
+    """The fingerprint: bits that over half of n hashes have."""
+    return int((np.uint64(1) << _BITS)[2 * counts > n].sum(dtype=np.uint64))
+
+
 def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
     """A bit is set if it is set in over half the XXH64 of all shingles, repeats included; no words: zero."""
     tokens = text.encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z and the six ASCII blanks only
@@ -33,8 +43,8 @@ def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
         width = min(words, len(some))
         cuts = map(line.__getitem__, map(slice, begin[: len(some) - width + 1].tolist(), ends[width - 1 :].tolist()))
         hashes = np.fromiter((xxhash.xxh64_intdigest(x, seed) for x in cuts), np.uint64)
-        counts += np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int((np.uint64(1) << _BITS)[2 * counts > n].sum(dtype=np.uint64))
+        counts += bit_counts(hashes)
+    return majority(counts, n)
 
 
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
