@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from .words import buffers, steps
-from .work import TEXTS, as_text, ascii_lower, boxed, stored, unboxed
+from .work import TEXTS, as_text, ascii_lower, boxed, quoted, stored, unboxed
 
 #: Labelled rows of each language from which the text model is fitted, about: those whose hash lies under the share that gives so many.
 SAMPLE_ROWS = 5000
@@ -82,7 +82,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", mo
     label of the table is in the model, however rare. No text is sorted or sent to find the sample, and the choice does not depend on
     the order of rows. Null labels are left out. Repeated rows are read once and counted as often as they come.
     """
-    rows = labelled.select(as_text(F.col(text_col)).alias("text"), F.col(label_col).cast("string").alias("lang"), F.xxhash64(*[F.col(f"`{c}`") for c in labelled.columns]).alias("hash")).filter("lang is not null")
+    rows = labelled.select(as_text(F.col(text_col)).alias("text"), F.col(label_col).cast("string").alias("lang"), F.xxhash64(*[F.col(quoted(c)) for c in labelled.columns]).alias("hash")).filter("lang is not null")
     bounds = []
     for lang, n, least in rows.groupBy("lang").agg(F.count("*"), F.min("hash")).collect():
         bounds.append((lang, 2**63 - 1 if n <= most_rows else max(least, int(most_rows / n * 2**64) - 2**63)))
@@ -195,7 +195,7 @@ def identify(rows: DataFrame, model: TextModel, text: Column, host: Column | Non
     if clash := set(own) & set(keep):
         raise ValueError(f"columns {sorted(clash)} are already there")
     if not model.languages:  # nothing to choose from
-        return rows.select(*[F.col(f"`{c}`") for c in keep], F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("confidence"), F.lit(UNKNOWN).alias("text_language"))
+        return rows.select(*[F.col(quoted(c)) for c in keep], F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("confidence"), F.lit(UNKNOWN).alias("text_language"))
     none = F.lit(None).cast("string")
     named = {"text": as_text(text), "markup": markup, "suffix": suffix, "host": host, "domain": host if domain is None else domain}
     wide = rows.select(boxed(keep), *[(none if column is None else column.cast("string")).alias(name) for name, column in named.items()])

@@ -74,9 +74,13 @@ def dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def boxed(columns: list[str], name: str = "row") -> Column:
     """The columns of a table as one struct, so that whatever they are called no inner name can meet them. See unboxed()."""
-    return F.struct(F.lit(0).alias("z"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)]).alias(name)
+    return F.struct(F.lit(0).alias("z"), *[F.col(quoted(c)).alias(f"c{k}") for k, c in enumerate(columns)]).alias(name)
 
 
 def unboxed(columns: list[str], name: str = "row") -> list[Column]:

@@ -66,3 +66,26 @@ def test_packing(spark):
 @pytest.mark.parametrize("name", [n for n, _ in P.STAGES])
 def test_empty(spark, name):
     assert dict(P.STAGES)[name](spark, table(spark, []), "").count() == 0
+
+
+@pytest.mark.parametrize("name", [n for n, _ in P.STAGES[:-1]])
+def test_clashing_columns(spark, name):
+    """Columns that are called as inner ones come through whole, and change no decision."""
+    from pyspark.sql import functions as F
+
+    names = ["_sha", "_sha2", "_key", "_copies", "_copy", "_nth", "_id", "key", "row", "nth", "sha", "id", "tie", "copies", "kept_id", "language", "own", "fits", "z", "c0", "a b`c"]
+    odd = table(spark, ROWS, clash=False).select("doc_id", "text", "lang", "source", *[F.lit(f"is {c}").alias(c) for c in names])
+    got = dict(P.STAGES)[name](spark, odd, "")
+    plain = dict(P.STAGES)[name](spark, table(spark, ROWS, clash=False), "")
+    assert got.columns == odd.columns
+    rows = got.collect()
+    assert all(r[k + 4] == f"is {c}" for r in rows for k, c in enumerate(names))
+    assert Counter((r[0], r[1]) for r in rows) == Counter((r.doc_id, r.text) for r in plain.collect())
+
+
+@pytest.mark.parametrize("name", [n for n, _ in P.STAGES])
+def test_null_ids(spark, name):
+    """Documents without any id are told apart by their texts."""
+    rows = [(None, t, lang or "en", s) for _, t, lang, s in texts(40)]
+    got = dict(P.STAGES)[name](spark, table(spark, rows), "")
+    assert 0 < got.count() and all(r.doc_id is None for r in got.select("doc_id").collect())
