@@ -134,8 +134,8 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", mo
 
 
 def evidence(rows: DataFrame, model: TextModel) -> DataFrame:
-    """rows (row, text, markup, suffix, …) without text, markup and suffix, plus fits, best (language of the text alone) and ev, the
-    log-evidence of each language.
+    """rows (row, text, markup, suffix, …) without text, markup and suffix, plus fits, best (language of the text alone), ev, the
+    log-evidence of each language, and own, what it comes to as shares (zeros where fits is false).
 
     fits is false when even noise (all trigrams alike) explains the text better than the best language; without trigrams there is no
     evidence from the text.
@@ -165,20 +165,17 @@ def evidence(rows: DataFrame, model: TextModel) -> DataFrame:
                 ev = ev - ev.max(axis=1, keepdims=True, initial=-np.inf) if len(languages) else ev
                 ev = np.where(fits[:, None], ev, 0.0)
                 ev += stated(part.column(place["markup"]).to_pylist(), MARKUP_RIGHT) + stated(part.column(place["suffix"]).to_pylist(), SUFFIX_RIGHT, SUFFIXES)
+                own = np.exp(ev - ev.max(axis=1, keepdims=True, initial=-np.inf)) if len(languages) else ev
+                own = own / own.sum(axis=1, keepdims=True)
                 top = [languages[k] if ok else UNKNOWN for k, ok in zip(sums.argmax(axis=1) if len(languages) else sizes, fits, strict=True)]
-                width = len(languages)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ev) + 1) * width, pa.int32()), pa.array(ev.ravel()))
-                yield pa.RecordBatch.from_arrays([*(part.column(place[c]) for c in columns), pa.array(fits), pa.array(top, pa.string()), lists], names=[*columns, "fits", "best", "ev"])
+                ends = pa.array(np.arange(len(ev) + 1) * len(languages), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x.ravel())) for x in (ev, np.where(fits[:, None], own, 0.0))]
+                yield pa.RecordBatch.from_arrays([*(part.column(place[c]) for c in columns), pa.array(fits), pa.array(top, pa.string()), *lists], names=[*columns, "fits", "best", "ev", "own"])
 
-    more = StructType().add("fits", "boolean").add("best", "string").add("ev", ArrayType(DoubleType()))
+    more = StructType().add("fits", "boolean").add("best", "string").add("ev", ArrayType(DoubleType())).add("own", ArrayType(DoubleType()))
     return rows.mapInArrow(run, StructType([rows.schema[c] for c in columns] + more.fields))
 
 
-def _softmax(log: Column) -> Column:
-    weights = F.transform(log, lambda x: F.exp(x - F.array_max(log)))
-    return F.transform(weights, lambda x: x / F.aggregate(weights, F.lit(0.0), lambda a, y: a + y))
-
-
 def identify(rows: DataFrame, model: TextModel, text: Column, host: Column | None = None, domain: Column | None = None, markup: Column | None = None, suffix: Column | None = None, keep: list[str] | None = None) -> DataFrame:
     """All columns of rows (or those in keep), then language, confidence and text_language.
 
@@ -199,7 +196,7 @@ def identify(rows: DataFrame, model: TextModel, text: Column, host: Column | Non
     none = F.lit(None).cast("string")
     named = {"text": as_text(text), "markup": markup, "suffix": suffix, "host": host, "domain": host if domain is None else domain}
     wide = rows.select(boxed(keep), *[(none if column is None else column.cast("string")).alias(name) for name, column in named.items()])
-    seen = stored(evidence(wide, model).withColumn("own", F.when(F.col("fits"), _softmax(F.col("ev")))), "evidence", TEXTS)
+    seen = stored(evidence(wide, model), "evidence", TEXTS)
     n = len(model.languages)
     soft = seen.filter("fits").select("host", "domain", "own")
     hosts = stored(soft.groupBy("host", "domain").agg(*[F.sum(F.col("own")[k]).alias(f"h{k}") for k in range(n)]), "hosts")
@@ -208,26 +205,34 @@ def identify(rows: DataFrame, model: TextModel, text: Column, host: Column | Non
     whole = F.array(*[F.lit(float(x or 0.0)) for x in total])
     known = hosts.filter("host is not null and domain is not null").select("host", "domain", F.array(*[f"h{k}" for k in range(n)]).alias("of_host")).join(domains, "domain")
     joined = seen.join(stored(known, "priors"), ["host", "domain"], "left")
-    nothing = F.array(*[F.lit(0.0)] * n)
-
-    def share(counts: Column, parent: Column | None) -> Column:
-        """Shares without the row's own part, leaning on the parent's (at the top: one pseudo-count for each language)."""
-        rest = F.zip_with(counts, F.coalesce("own", nothing), lambda x, y: F.greatest(F.lit(0.0), x - y))
-        leaned = F.transform(rest, lambda x: x + 1) if parent is None else F.zip_with(rest, parent, lambda x, q: x + LEAN * q)
-        return leaned
-
-    def normed(name: str) -> Column:
-        return F.transform(name, lambda x: x / F.aggregate(name, F.lit(0.0), lambda a, y: a + y))
-
-    joined = joined.withColumn("w", share(whole, None)).withColumn("w", normed("w"))
-    joined = joined.withColumn("d", share(F.coalesce("of_domain", nothing), F.col("w"))).withColumn("d", normed("d"))
-    joined = joined.withColumn("h", share(F.coalesce("of_host", nothing), F.col("d"))).withColumn("h", normed("h"))
-    prior = F.when(F.col("host").isNotNull() & F.col("domain").isNotNull(), F.col("h")).otherwise(F.col("w"))
-    joined = joined.withColumn("score", F.zip_with("ev", prior, lambda x, p: x + F.log(p))).withColumn("p", _softmax(F.col("score")))
+    none_here = F.array(*[F.lit(0.0)] * n)
+    one = F.when(F.col("fits"), 1.0).otherwise(0.0)  # the row's own shares add up to this
+
+    def size(counts: Column) -> Column:
+        return F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
+
+    # Sums first, as columns of their own: the shares below are then one pass over the languages.
+    joined = joined.select("*", F.coalesce("of_host", none_here).alias("hs"), F.coalesce("of_domain", none_here).alias("ds"))
+    sums = F.struct((size(F.col("hs")) - one + LEAN).alias("h"), (size(F.col("ds")) - one + LEAN).alias("d"), (F.lit(float(sum(x or 0.0 for x in total) + n)) - one).alias("w"))
+
+    def score(k: Column, sums: Column) -> Column:
+        """Evidence and log-prior of a language; a row's own share is taken out of each level."""
+        rest = lambda counts: F.greatest(F.lit(0.0), F.get(counts, k) - F.get("own", k))
+        w = (rest(whole) + 1) / sums["w"]
+        d = (rest(F.col("ds")) + LEAN * w) / sums["d"]
+        h = (rest(F.col("hs")) + LEAN * d) / sums["h"]
+        return F.get("ev", k) + F.log(F.when(F.col("of_host").isNotNull(), h).otherwise(w))
+
+    def once(x: Column, use) -> Column:
+        """use(x) with x worked out once for a row, however often it occurs in it."""
+        return F.get(F.transform(F.array(x), use), F.lit(0))
+
+    scores = once(sums, lambda z: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: score(k, z)))
+    found = once(scores, lambda s: once(F.array_max(s), lambda m: F.struct(F.array_position(s, m).cast("int").alias("at"), (1 / F.aggregate(s, F.lit(0.0), lambda a, x: a + F.exp(x - m))).alias("p"))))
+    joined = joined.withColumn("found", F.when(F.col("fits"), found))
     names = F.array(*[F.lit(x) for x in model.languages]).cast("array<string>")
-    best = F.array_max("p")
-    language = F.when(F.col("fits"), F.element_at(names, F.array_position("p", best).cast("int"))).otherwise(UNKNOWN)
-    return joined.select(*unboxed(keep), language.alias("language"), F.when(F.col("fits"), best).otherwise(0.0).alias("confidence"), F.col("best").alias("text_language"))
+    language = F.coalesce(F.element_at(names, F.col("found.at")), F.lit(UNKNOWN))
+    return joined.select(*unboxed(keep), language.alias("language"), F.coalesce("found.p", F.lit(0.0)).alias("confidence"), F.col("best").alias("text_language"))
 
 
 def page_text(html: Column) -> Column:
