@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from .words import buffers, steps
-from .work import TEXTS, as_text, ascii_lower, boxed, quoted, stored, unboxed
+from .work import TEXTS, as_text, ascii_lower, boxed, dealt, quoted, stored, unboxed
 
 #: Labelled rows of each language from which the text model is fitted, about: those whose hash lies under the share that gives so many.
 SAMPLE_ROWS = 5000
@@ -20,6 +20,8 @@ GRAMS = 1 << 16
 #: Trigrams overlap and repeat each other's evidence, so their sum counts by a factor: of these, the one that explains best the labels of
 #: the part of the sample that is held out from counting (one row in HELD_OUT). It is the same for texts of any length.
 TEMPERS, HELD_OUT = (1.0, 1 / 2, 1 / 3, 1 / 4, 1 / 6, 1 / 10, 1 / 16, 1 / 30), 5
+#: Share of labels that may be wrong, so that a few such rows do not choose the factor.
+LABEL_NOISE = 0.02
 #: Share of trigrams that any text may owe to noise (numbers, codes, names); so a few odd strings don't outweigh a short text's words.
 NOISE = 0.5
 #: How often a declared language, and a country suffix that goes with one, is right.
@@ -93,22 +95,28 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", mo
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[str, bool], np.ndarray] = {}
         for batch in batches:
-            labels, often = np.array(batch.column(1).to_pylist(), object), batch.column(2).to_numpy()
-            out = batch.column(3).to_numpy() % HELD_OUT == 0
+            names, kind = np.unique(np.array(batch.column(1).to_pylist(), str), return_inverse=True)
+            often, out = batch.column(2).to_numpy(), batch.column(3).to_numpy() % HELD_OUT == 0
+            cell = kind * 2 + out
             for at, texts in steps(batch.column(0), STEP):
                 ids, sizes = grams(texts)
-                here = slice(at, at + len(texts))
-                own, weight, part = (np.repeat(x[here], sizes) for x in (labels, often, out))
-                for key in set(zip(labels[here], out[here].tolist(), strict=True)):
-                    mine = (own == key[0]) & (part == key[1])
-                    total[key] = total.get(key, 0) + np.bincount(ids[mine], weight[mine], GRAMS)
+                own, weight = (np.repeat(x[at : at + len(texts)], sizes) for x in (cell, often))
+                sums = np.bincount(own * GRAMS + ids, weight, 2 * len(names) * GRAMS).reshape(-1, GRAMS)
+                for k in np.unique(cell[at : at + len(texts)]).tolist():
+                    key = (str(names[k // 2]), bool(k % 2))
+                    total[key] = total.get(key, 0) + sums[k]
         if total:
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in total]), pa.array([o for _, o in total]), pa.array([x.astype("<i8").tobytes() for x in total.values()], pa.binary())], names=["lang", "out", "counts"])
 
+    def merge(group: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(x.as_py(), "<i8") for x in group["counts"]], axis=0)
+        return pa.table({"lang": group["lang"].slice(0, 1), "out": group["out"].slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
     sample = stored(sample, "language-sample", TEXTS)
     sums: dict[tuple[str, bool], np.ndarray] = {}
-    for r in sample.mapInArrow(count, "lang string, out boolean, counts binary").toLocalIterator():
-        sums[r["lang"], r["out"]] = sums.get((r["lang"], r["out"]), 0) + np.frombuffer(r["counts"], "<i8")
+    kind = "lang string, out boolean, counts binary"
+    for r in dealt(sample).mapInArrow(count, kind).groupBy("lang", "out").applyInArrow(merge, kind).toLocalIterator():
+        sums[r["lang"], r["out"]] = np.frombuffer(r["counts"], "<i8")
     languages = sorted({lang for lang, _ in sums})
     none = np.zeros(GRAMS, np.int64)
     counted, held = (np.array([sums.get((x, out), none) for x in languages], np.float64).reshape(len(languages), GRAMS) for out in (False, True))
@@ -123,12 +131,13 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", mo
                 for temper in TEMPERS:
                     log = fit_ * temper
                     log = log - log.max(axis=1, keepdims=True)
-                    lost = np.log(np.exp(log).sum(axis=1)) - log[np.arange(len(right)), right]
+                    share = np.exp(log[np.arange(len(right)), right]) / np.exp(log).sum(axis=1)
+                    lost = -np.log((1 - LABEL_NOISE) * share + LABEL_NOISE / len(languages))
                     yield pa.RecordBatch.from_arrays([pa.array([temper]), pa.array([float((lost * weight).sum())])], names=["temper", "lost"])
 
     lost: dict[float, float] = {}
     if len(languages) > 1:
-        found = sample.filter(F.pmod("pick", F.lit(HELD_OUT)) == 0).mapInArrow(loss, "temper double, lost double").groupBy("temper").agg(F.sum("lost").alias("lost"))
+        found = dealt(sample).filter(F.pmod("pick", F.lit(HELD_OUT)) == 0).mapInArrow(loss, "temper double, lost double").groupBy("temper").agg(F.sum("lost").alias("lost"))
         lost = {r["temper"]: round(r["lost"], 6) for r in found.collect()}
     return TextModel(languages, counted + held, min(TEMPERS, key=lambda t: (lost[t], t)) if lost else TEMPERS[2])
 
