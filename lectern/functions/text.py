@@ -33,11 +33,6 @@ def js_round(x: Column, places: int = 0) -> Column:
     return F.floor(x * k + 0.5) / k if places else F.floor(x + 0.5)
 
 
-def upper_median(x: Column) -> Column:
-    """The middle of the sorted values; of two middles the larger. Exact, and without a list of all values."""
-    return F.element_at(F.sort_array(F.collect_list(x)), (F.floor(F.count(x) / 2) + 1).cast("int"))
-
-
 def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(?U)\S+"), 0)
 

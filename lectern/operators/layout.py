@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import count_words, upper_median
+from ..functions.text import count_words
+from ..plans.ranks import upper_median_by_counts
 
 
 def line_key(text: Column) -> Column:
@@ -64,7 +65,7 @@ def items_to_lines(items: DataFrame) -> DataFrame:
 
 
 def body_height(lines: DataFrame) -> DataFrame:
-    return lines.groupBy("doc_id").agg(upper_median(F.col("h")).alias("body"))
+    return upper_median_by_counts(lines, "doc_id", "h").withColumnRenamed("median", "body")
 
 
 def lines_to_paragraphs(lines: DataFrame) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import norm_words, sentence_pieces, upper_median, words
+from ..functions.text import norm_words, sentence_pieces, words
+from ..plans.ranks import upper_median_by_counts
+from ..plans.shared import kept
 
 WIDTH, CAP, BAND, DIAGONAL, EXTEND = 4, 64, 8, 15, 2
 
@@ -48,6 +50,7 @@ def match(paras: DataFrame, queries: DataFrame) -> DataFrame:
     Ties between paragraphs go to the one met first (in query order, then reading order).
     """
     found, sizes = hits(paras, queries)
+    found = kept(found, "hits")  # read five times below
     w = Window.partitionBy("item_id", "doc_id").orderBy(F.col("votes").desc(), "seen")
     best = votes(found).withColumn("rank", F.row_number().over(w)).filter("rank = 1").select("item_id", "doc_id", "c", F.col("p").alias("bp"))
     lens = paras.join(found.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "c", "p", F.size(norm_words(F.col("text"))).alias("len"))
@@ -55,7 +58,7 @@ def match(paras: DataFrame, queries: DataFrame) -> DataFrame:
     lens = lens.withColumn("off", F.coalesce(F.sum("len").over(before), F.lit(0)))
     near = found.join(best, ["item_id", "doc_id", "c"]).filter(F.abs(F.col("p") - F.col("bp")) <= BAND).join(lens, ["doc_id", "c", "p"])
     near = near.withColumn("diag", F.col("off") + F.col("nw") - F.col("qi"))
-    middle = near.groupBy("item_id", "doc_id").agg(upper_median(F.col("diag")).alias("med"))
+    middle = upper_median_by_counts(near, ["item_id", "doc_id"], "diag").withColumnRenamed("median", "med")
     good = near.join(middle, ["item_id", "doc_id"]).filter(F.abs(F.col("diag") - F.col("med")) <= DIAGONAL)
     out = good.groupBy("item_id", "doc_id", "c").agg(F.count_distinct("qi").alias("matched"), F.min(F.struct("qi", "p", "nw", "len")).alias("a"), F.max(F.struct("qi", "p", "nw", "len")).alias("b")).join(sizes, "item_id")
     lead, tail = F.least(F.lit(EXTEND), "a.qi"), F.least(F.lit(EXTEND), F.greatest(F.lit(0), F.col("n_tokens") - (F.col("b.qi") + WIDTH)))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,42 +21,59 @@ def word_weight(word: Column) -> Column:
     return F.length(word) + 1 + F.when(word.rlike("[,;:]$"), 2.5).when(word.rlike("[.!?…][\"”’)]*$"), 5.0).otherwise(0.0)
 
 
-def units(paras: DataFrame, most: int = UNIT_CHARS["cloud"]) -> DataFrame:
-    """(doc_id, c, p, unit, s_start, s_end, chars): sentences packed greedily while they fit `most` characters, at least one each.
+def _by_paragraph(paras: DataFrame, fold: Callable[[list[str]], list[tuple]], names: list[str]) -> DataFrame:
+    """(doc_id, c, p, …integers): what fold makes of each paragraph's sentences, one row per tuple. No shuffle, one step a sentence."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [fold([s.rstrip(" ") for s in pieces]) for pieces in batch.column(3).to_pylist()]
+            of = pa.array(np.repeat(np.arange(len(made)), [len(m) for m in made]))
+            table = np.array([row for m in made for row in m], np.int32).reshape(-1, len(names))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(of) for k in range(3)), *(pa.array(table[:, k]) for k in range(len(names)))], names=["doc_id", "c", "p", *names])
+
+    kind = paras.schema["doc_id"].dataType.simpleString()
+    rows = paras.select("doc_id", F.col("c").cast("int").alias("c"), F.col("p").cast("int").alias("p"), sentence_pieces(F.col("text")).alias("x"))
+    return rows.mapInArrow(run, f"doc_id {kind}, c int, p int, " + ", ".join(f"{n} int" for n in names))
 
-    The fold runs over the sentences of one row: no shuffle.
-    """
-    lens = F.transform(sentence_pieces(F.col("text")), lambda s: F.length(F.rtrim(s)))
-    empty = F.array().cast("array<struct<s_start:int,s_end:int,chars:int>>")
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        fits = (F.size(acc) > 0) & (last["chars"] + x <= most)
-        grown = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["s_start"].alias("s_start"), (last["s_end"] + 1).alias("s_end"), (last["chars"] + x + 1).alias("chars"))))
-        at = F.when(F.size(acc) > 0, last["s_end"]).otherwise(0)
-        fresh = F.concat(acc, F.array(F.struct(at.alias("s_start"), (at + 1).alias("s_end"), (x + 1).cast("int").alias("chars"))))
-        return F.when(F.size(acc) == 0, F.array(F.struct(F.lit(0).alias("s_start"), F.lit(1).alias("s_end"), (x + 1).cast("int").alias("chars")))).when(fits, grown).otherwise(fresh)
+def pack_lengths(lens: list[int], joins: Callable[[int, int], bool]) -> list[tuple[int, int, int]]:
+    """(first, end, characters) of runs of sentences; joins(characters so far, next length) says whether the run goes on."""
+    out: list[tuple[int, int, int]] = []
+    begin = total = 0
+    for k, n in enumerate(lens):
+        if k and joins(total, n):
+            total += 1 + n
+            continue
+        if k:
+            out.append((begin, k, total))
+        begin, total = k, n
+    return [*out, (begin, len(lens), total)] if lens else out
 
-    folded = paras.select("doc_id", "c", "p", F.aggregate(lens, empty, step).alias("u"))
-    flat = folded.select("doc_id", "c", "p", F.posexplode("u").alias("unit", "x"))
-    return flat.select("doc_id", "c", "p", "unit", "x.s_start", "x.s_end", (F.col("x.chars") - 1).alias("chars"))
+
+def units(paras: DataFrame, most: int = UNIT_CHARS["cloud"]) -> DataFrame:
+    """(doc_id, c, p, unit, s_start, s_end, chars): sentences packed greedily while they fit `most` characters, at least one each."""
+
+    def fold(texts: list[str]) -> list[tuple]:
+        return [(k, *run) for k, run in enumerate(pack_lengths([len(t) for t in texts], lambda so_far, n: so_far + 1 + n <= most))]
+
+    return _by_paragraph(paras, fold, ["unit", "s_start", "s_end", "chars"])
 
 
 def sentence_groups(paras: DataFrame) -> DataFrame:
-    """(doc_id, c, p, grp, s_start, s_end, chars): short sentences join their neighbours so that a call is neither tiny nor long."""
-    lens = F.transform(sentence_pieces(F.col("text")), lambda s: F.length(F.rtrim(s)))
-    empty = F.array().cast("array<struct<s_start:int,s_end:int,chars:int>>")
+    """(doc_id, c, p, grp, s_start, s_end, part, chars): short sentences join their neighbours so that a call is neither tiny nor long; what is
+    longer than GROUP_CUT all the same (one long sentence) comes in parts of at most GROUP_CHARS."""
+
+    def joins(so_far: int, n: int) -> bool:
+        return so_far + 1 + n <= GROUP_CHARS and (so_far < GROUP_LEAST or n < GROUP_SHORT)
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joins = (last["chars"] + 1 + x <= GROUP_CHARS) & ((last["chars"] < GROUP_LEAST) | (x < GROUP_SHORT))
-        grown = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["s_start"].alias("s_start"), (last["s_end"] + 1).alias("s_end"), (last["chars"] + 1 + x).alias("chars"))))
-        fresh = F.concat(acc, F.array(F.struct(last["s_end"].alias("s_start"), (last["s_end"] + 1).alias("s_end"), x.cast("int").alias("chars"))))
-        return F.when(F.size(acc) == 0, F.array(F.struct(F.lit(0).alias("s_start"), F.lit(1).alias("s_end"), x.cast("int").alias("chars")))).when(joins, grown).otherwise(fresh)
+    def fold(texts: list[str]) -> list[tuple]:
+        out = []
+        for k, (a, b, chars) in enumerate(pack_lengths([len(t) for t in texts], joins)):
+            cut = [chars] if chars <= GROUP_CUT else [len(x) for x in chunks(" ".join(texts[a:b]), GROUP_CHARS)]
+            out += [(k, a, b, part, n) for part, n in enumerate(cut)]
+        return out
 
-    folded = paras.select("doc_id", "c", "p", F.aggregate(lens, empty, step).alias("g"))
-    flat = folded.select("doc_id", "c", "p", F.posexplode("g").alias("grp", "x"))
-    return flat.select("doc_id", "c", "p", "grp", "x.s_start", "x.s_end", "x.chars")
+    return _by_paragraph(paras, fold, ["grp", "s_start", "s_end", "part", "chars"])
 
 
 def spread_times(paras: DataFrame, cps: float = 15.0) -> DataFrame:
@@ -81,49 +103,77 @@ def times_from_segments(word_rows: DataFrame, segments: DataFrame, by: list[str]
     return timed.select(*word_rows.columns, *[F.coalesce(F.last(F.when(F.col("_a").isNotNull(), F.col(c)), ignorenulls=True).over(fill), F.lit(0.0)).alias(c) for c in ("start", "end")])
 
 
-def chunk_text(text: Column, most: int) -> Column:
+#: Marks after which a long sentence may be cut.
+CUT_MARKS = ("; ", ", ", ": ", " — ", "—")
+
+
+def chunks(text: str, most: int) -> list[str]:
     """Pieces of at most `most` characters, cut after the last mark of the window, or after its last space where that is too early."""
+    out, at = [], 0
+    while at < len(text):
+        to = min(at + most, len(text))
+        if to < len(text):
+            mark = max(text.rfind(m, at, to) for m in CUT_MARKS)
+            if mark - at < 0.4 * most:
+                mark = text.rfind(" ", at, to)
+            to = mark + 1 if mark > at else to
+        out.append(text[at:to])
+        at = to
+    return [x for x in out if x.strip(" ")]
 
-    def last_of(s: Column, mark: str) -> Column:
-        return F.length(s) - F.length(F.substring_index(s, mark, -1)) - len(mark)
 
-    def step(acc: Column, _: Column) -> Column:
-        rest = acc["rest"]
-        head = F.substring(rest, 1, most)
-        cut = F.greatest(*[last_of(head, m) for m in ("; ", ", ", ": ", " — ", "—")])
-        cut = F.when(cut < most * 0.4, last_of(head, " ")).otherwise(cut)
-        size = F.when(F.length(rest) <= most, F.length(rest)).when(cut > 0, cut + 1).otherwise(most)
-        more = F.struct(F.concat(acc["done"], F.array(F.substring(rest, F.lit(1), size))).alias("done"), F.substring(rest, size + 1, F.length(rest)).alias("rest"))
-        return F.when(F.length(rest) > 0, more).otherwise(acc)
+def chunk_text(text: Column, most: int) -> Column:
+    """chunks() over a column, in Arrow batches."""
 
-    turns = F.sequence(F.lit(1), F.ceil(F.length(text) / (most * 0.4)).cast("int") + 1)
-    start = F.struct(F.array().cast("array<string>").alias("done"), text.alias("rest"))
-    return F.filter(F.aggregate(turns, start, step)["done"], lambda x: F.trim(x) != "")
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else chunks(t, most))
 
+    return cut(text)
 
-def coalesce_cues(cues: DataFrame, by: str, order: str, most: int = 450) -> DataFrame:
-    """(by, para, text): equal neighbours collapse, then cues join until over `most` characters and a final mark."""
-    w = Window.partitionBy(by).orderBy(order)
-    clean = cues.withColumn("text", F.trim(F.regexp_replace("text", r"\s+", " "))).filter("text != ''")
-    kept = clean.filter("text is not null").withColumn("prev", F.lag("text").over(w)).filter(~F.col("prev").eqNullSafe(F.col("text")))
-    lists = kept.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "text"))), lambda t: t["text"]).alias("cues"))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
 
-    def step(acc: Column, x: Column) -> Column:
-        cur = F.when(acc["cur"] == "", x).otherwise(F.concat(acc["cur"], F.lit(" "), x))
-        full = (F.length(cur) > most) & cur.rlike("[.!?…\"”]$")
-        return F.struct(F.when(full, F.concat(acc["done"], F.array(cur))).otherwise(acc["done"]).alias("done"), F.when(full, "").otherwise(cur).alias("cur"))
+def coalesce_cues(cues: DataFrame, by: str, order: str, most: int = 450) -> DataFrame:
+    """(by, para, text): equal neighbours collapse, then cues join until over `most` characters and a final mark.
 
-    folded = F.aggregate("cues", start, step, lambda a: F.when(a["cur"] != "", F.concat(a["done"], F.array(a["cur"]))).otherwise(a["done"]))
-    return lists.select(by, F.posexplode(folded).alias("para", "text"))
+    Cues are sorted by key and order and streamed: a task holds the paragraph that it is at, however long a key's list is.
+    """
+    kind = cues.schema[by].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last, para, parts, size, started = None, None, 0, [], 0, False
+        for batch in batches:
+            rows: list[tuple] = []
+            for now, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if not started or now != key:
+                    if parts:
+                        rows.append((key, para, " ".join(parts)))
+                    key, last, para, parts, size, started = now, None, 0, [], 0, True
+                if text == last:
+                    continue
+                size += len(text) + bool(parts)
+                last = text
+                parts.append(text)
+                if size > most and text[-1] in ".!?…\"”":
+                    rows.append((key, para, " ".join(parts)))
+                    para, parts, size = para + 1, [], 0
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], batch.schema.types[0]), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string())], names=[by, "para", "text"])
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array([key], batch.schema.types[0]), pa.array([para], pa.int32()), pa.array([" ".join(parts)])], names=[by, "para", "text"])
+
+    clean = cues.select(by, F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text"), order).filter("text != ''")
+    return clean.repartition(by).sortWithinPartitions(by, order).select(by, "text").mapInArrow(run, f"{by} {kind}, para int, text string")
 
 
 def learned_rate(observed: DataFrame, by: str, order: list[str], start: float = 15.5) -> DataFrame:
-    """(by, cps): the pace after all accepted observations (chars, seconds), each moving it by three tenths."""
+    """(by, cps): the pace after all accepted observations (chars, seconds), each moving it by three tenths.
+
+    That is a weighted sum: an observation that n others follow weighs 0.3 * 0.7^n, and the start 0.7^all; so places are all it takes.
+    """
     seen = F.col("chars") / F.col("seconds")
     ok = observed.filter((F.col("seconds") > 0.5) & (F.col("chars") > 20) & (seen > 5) & (seen < 40))
-    lists = ok.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(*order, seen.alias("x")))).alias("l"))
-    return lists.select(by, F.aggregate("l", F.lit(start), lambda a, t: a * 0.7 + t["x"] * 0.3).alias("cps"))
+    later = F.row_number().over(Window.partitionBy(by).orderBy(*[F.col(c).desc() for c in order])) - 1
+    weighed = ok.select(by, (seen * 0.3 * F.pow(F.lit(0.7), later)).alias("x"))
+    return weighed.groupBy(by).agg((F.sum("x") + F.lit(start) * F.pow(F.lit(0.7), F.count("*"))).alias("cps"))
 
 
 def choose_voice(wanted: DataFrame, voices: DataFrame) -> DataFrame:

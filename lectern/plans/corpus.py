@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import count_words, sentence_pieces
@@ -17,17 +17,33 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return at.select("doc_id", F.floor(F.col("k") / CHAPTER).cast("int").alias("c"), (F.col("k") % CHAPTER).cast("int").alias("p"), "text", count_words(F.col("text")).cast("int").alias("pwc"))
 
 
-def sentences(paras: DataFrame) -> DataFrame:
-    """(doc_id, c, p, s, start, text, n_words, word_start); running sums are folds over the paragraph's own sentences."""
-    zero = F.lit(0)
-    pieces = paras.select("doc_id", "c", "p", sentence_pieces(F.col("text")).alias("x"))
-    sizes = pieces.withColumn("len", F.transform("x", F.length)).withColumn("n", F.transform("x", count_words))
-    rows = sizes.select("doc_id", "c", "p", "len", "n", F.posexplode("x").alias("s", "t"))
+#: Entries that running() sums in one go.
+RUN = 64
+
+
+def running(values: Column) -> Column:
+    """For each entry of an array of integers the sum of those before it: sums of runs first, then inside an entry's run, so that the work
+    grows little faster than the array."""
+    total = lambda part: F.aggregate(part, F.lit(0), lambda a, v: a + v)
+    once = lambda x, use: F.get(F.transform(F.array(x), use), F.lit(0))
 
-    def before(name: str):
-        return F.aggregate(F.slice(name, F.lit(1), F.col("s")), zero, lambda a, v: a + v)
+    def of(v: Column) -> Column:
+        last = F.floor((F.size(v) - 1) / RUN).cast("int")
+        runs = F.transform(F.sequence(F.lit(0), last), lambda k: total(F.slice(v, k * RUN + 1, F.lit(RUN))))
+        heads = once(runs, lambda c: F.transform(c, lambda _, k: total(F.slice(c, F.lit(1), k))))
+        return once(heads, lambda h: F.transform(v, lambda _, i: F.get(h, F.floor(i / RUN).cast("int")) + total(F.slice(v, i - i % RUN + 1, i % RUN))))
 
-    return rows.select("doc_id", "c", "p", "s", before("len").alias("start"), F.rtrim("t").alias("text"), F.element_at("n", F.col("s") + 1).alias("n_words"), before("n").alias("word_start"))
+    return F.when(F.size(values) > 0, once(values, of)).otherwise(F.array().cast("array<int>"))
+
+
+def sentences(paras: DataFrame) -> DataFrame:
+    """(doc_id, c, p, s, start, text, n_words, word_start). No shuffle: running sums are worked out beside the sentences of a paragraph,
+    and each exploded row takes its own entry only, so a line of many sentences costs no more a sentence than a short one."""
+    pieces = paras.select("doc_id", "c", "p", sentence_pieces(F.col("text")).alias("x"))
+    sized = pieces.select("doc_id", "c", "p", "x", running(F.transform("x", F.length)).alias("start"), F.transform("x", count_words).alias("n_words"))
+    both = sized.select("doc_id", "c", "p", F.arrays_zip("x", "start", "n_words", running(F.col("n_words")).alias("word_start")).alias("z"))
+    rows = both.select("doc_id", "c", "p", F.posexplode("z").alias("s", "z"))
+    return rows.select("doc_id", "c", "p", "s", "z.start", F.rtrim("z.x").alias("text"), "z.n_words", "z.word_start")
 
 
 def offsets(paras: DataFrame) -> DataFrame:

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from .shared import kept
 
 
-def upper_median_by_counts(rows: DataFrame, by: str, value: str) -> DataFrame:
+def upper_median_by_counts(rows: DataFrame, by: str | list[str], value: str) -> DataFrame:
     """(by, median): the value at place floor(n/2) of each group in ascending order, from counts of distinct values."""
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(by, value).count()
-    w = Window.partitionBy(by)
+    by = [by] if isinstance(by, str) else by
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).count()
+    w = Window.partitionBy(*by)
     upto = counts.withColumn("upto", F.sum("count").over(w.orderBy(value))).withColumn("n", F.sum("count").over(w))
-    return upto.filter(F.col("upto") > F.floor(F.col("n") / 2)).groupBy(by).agg(F.min(value).alias("median"))
+    return upto.filter(F.col("upto") > F.floor(F.col("n") / 2)).groupBy(*by).agg(F.min(value).alias("median"))
 
 
 def global_places(rows: DataFrame, order: list[str]) -> DataFrame:

@@ -31,7 +31,17 @@ def unit_packing(spark, sf_dir):
     return N.units(_paras(spark, sf_dir), N.UNIT_CHARS["device"])
 
 
-@query(_fold("grp", "chars + 1 + {x} <= 380 AND (chars < 60 OR {x} < 40)", "{x}", "chars + 1 + {x}"))
+_LAST = lambda mark: f"CASE WHEN contains(head, '{mark}') THEN length(head) - strpos(reverse(head), reverse('{mark}')) + 1 - {len(mark)} ELSE -1 END"
+_GROUPS = _fold("grp", "chars + 1 + {x} <= 380 AND (chars < 60 OR {x} < 40)", "{x}", "chars + 1 + {x}")
+
+
+@query(f"""{_GROUPS.replace("SELECT doc_id, c, p, CAST(u AS INTEGER) AS grp", ", g AS (SELECT doc_id, c, p, CAST(u AS INTEGER) AS grp")}),
+long AS (SELECT g.doc_id, g.c, g.p, g.grp, string_agg(sentences.text, ' ' ORDER BY s) AS rest FROM g JOIN sentences ON sentences.doc_id = g.doc_id AND sentences.c = g.c AND sentences.p = g.p AND s >= s_start AND s < s_end WHERE g.chars > 420 GROUP BY ALL),
+r AS (SELECT doc_id, c, p, grp, 0 AS i, '' AS piece, rest FROM long UNION ALL SELECT doc_id, c, p, grp, i + 1, left(rest, n), substr(rest, n + 1) FROM (
+  SELECT *, CASE WHEN length(rest) <= 380 THEN length(rest) WHEN cut > 0 THEN cut + 1 ELSE 380 END AS n FROM (SELECT *, CASE WHEN greatest({", ".join(_LAST(m) for m in N.CUT_MARKS)}) < 152 THEN {_LAST(" ")} ELSE greatest({", ".join(_LAST(m) for m in N.CUT_MARKS)}) END AS cut
+  FROM (SELECT *, left(rest, 380) AS head FROM r WHERE rest <> '')))),
+cuts AS (SELECT doc_id, c, p, grp, row_number() OVER (PARTITION BY doc_id, c, p, grp ORDER BY i) - 1 AS part, length(piece) AS n FROM r WHERE i > 0 AND trim(piece) <> '')
+SELECT g.doc_id, g.c, g.p, g.grp, s_start, s_end, CAST(coalesce(part, 0) AS INTEGER) AS part, CAST(coalesce(n, chars) AS INTEGER) AS chars FROM g LEFT JOIN cuts USING (doc_id, c, p, grp)""")
 def sentence_groups(spark, sf_dir):
     return N.sentence_groups(_paras(spark, sf_dir))
 

@@ -39,13 +39,13 @@ def syllable_counts(spark, sf_dir):
 
 
 @query("""
-WITH RECURSIVE u AS (SELECT doc_id, list_transform(string_split(text[1:64], ''), lambda ch: unicode(ch)) AS l FROM documents),
-     f AS (SELECT doc_id, l, 1 AS i, 2166136261::BIGINT AS h FROM u UNION ALL SELECT doc_id, l, i + 1, (xor(h, l[i]) * 16777619) & 4294967295 FROM f WHERE i <= len(l))
-SELECT doc_id, h AS fnv, h % 10 AS colour FROM f WHERE i = len(l) + 1""")
+WITH RECURSIVE u AS (SELECT p_partkey, list_transform(string_split(p_name, ''), lambda ch: unicode(ch)) AS l FROM part),
+     f AS (SELECT p_partkey, l, 1 AS i, 2166136261::BIGINT AS h FROM u UNION ALL SELECT p_partkey, l, i + 1, (xor(h, l[i]) * 16777619) & 4294967295 FROM f WHERE i <= len(l))
+SELECT p_partkey, h AS fnv, h % 10 AS colour FROM f WHERE i = len(l) + 1""")
 def fnv_hash(spark, sf_dir):
-    """The palette colour of a title (a document's first 64 characters stand for its title)."""
-    hashed = table(spark, sf_dir, "documents").select("doc_id", fnv1a(F.substring("text", 1, 64)).alias("fnv"))
-    return hashed.select("doc_id", "fnv", (F.col("fnv") % 10).alias("colour"))
+    """The palette colour of a title: the hash of a part's whole name."""
+    hashed = table(spark, sf_dir, "part").select("p_partkey", fnv1a(F.col("p_name")).alias("fnv"))
+    return hashed.select("p_partkey", "fnv", (F.col("fnv") % 10).alias("colour"))
 
 
 _SAMPLED = f"""WITH {sql.PARAS},

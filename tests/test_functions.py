@@ -50,6 +50,35 @@ def test_sentence_invariant(spark):
     assert {(w.doc_id, w.c, w.p): w.n for w in words} == {k: len(re.findall(r"\S+", t)) for k, t in paras.items()}
 
 
+def test_many_sentences(spark):
+    """A line of 100,000 sentences is as quick a sentence as a short one."""
+    import time
+
+    line = "".join(f"Word number {k} is here. " for k in range(100_000))
+    docs = spark.createDataFrame([(1, line), (2, "One. Two."), (3, ""), (4, None)], "doc_id long, text string")
+    begin = time.time()
+    got = sentences(paragraphs(docs)).agg(F.count("*").alias("n"), F.max("start").alias("at"), F.max("word_start").alias("w")).first()
+    assert (got.n, got.at, got.w) == (100_002, len(line) - len("Word number 99999 is here. "), 499_995) and time.time() - begin < 60
+    packed = narration.units(paragraphs(docs), 320).filter("doc_id = 1").agg(F.max("s_end").alias("e"), F.max("chars").alias("c")).first()
+    assert packed.e == 100_000 and packed.c <= 320
+
+
+def test_groups_and_cues(spark):
+    long = "And " * 60 + "stop, " + "more " * 60 + "end."
+    docs = spark.createDataFrame([(1, f"Short one. Tiny. {long} Then a last one.")], "doc_id long, text string")
+    got = [tuple(r)[3:] for r in narration.sentence_groups(paragraphs(docs)).orderBy("grp", "part").collect()]
+    assert got[0] == (0, 0, 2, 0, 16) and [g[3] for g in got if g[0] == 1] == [0, 1] and all(g[4] <= 380 for g in got)
+    cues = spark.createDataFrame([(c, k, t) for c in (1, 2, None) for k, t in enumerate(["a  b", "a b", "x" * 460, "end.", " ", "more"])], "conv int, turn int, text string").repartition(3)
+    found = [tuple(r) for r in narration.coalesce_cues(cues, "conv", "turn").orderBy("conv", "para").collect()]
+    assert found == [(c, k, t) for c in (None, 1, 2) for k, t in enumerate([f"a b {'x' * 460} end.", "more"])]
+    seen = spark.createDataFrame([(1, k, 100.0 + k, 6.0) for k in range(9)] + [(1, 99, 1.0, 9.0), (2, 1, 50.0, 5.0)], "u int, k int, chars double, seconds double")
+    want = 15.5
+    for k in range(9):
+        want = want * 0.7 + (100.0 + k) / 6 * 0.3
+    rate = {r.u: r.cps for r in narration.learned_rate(seen, "u", ["k"]).collect()}
+    assert abs(rate[1] - want) < 1e-9 and abs(rate[2] - (15.5 * 0.7 + 3.0)) < 1e-9
+
+
 def test_normalize(spark):
     assert one(spark, T.normalize(F.col("t")), t="  L’été — «Œuvre» ß well-known ROCK'N'ROLL  ") == "lete oeuvre ss wellknown rocknroll"
     assert one(spark, T.normalize(F.lit(None).cast("string"))) == ""
