@@ -55,7 +55,7 @@ def token_blocks(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for at, texts in steps(batch.column(1)):
+            for at, texts in steps(batch.column(1), 8_000_000):
                 words, sizes = ascii_words(texts)
                 coded = words.dictionary_encode()
                 names = [*coded.dictionary.to_numpy(zero_copy_only=False), ""]
