@@ -13,6 +13,8 @@ from .hmm import score_documents
 from .language_id import fit, identify_pages
 from .mixing import mix_documents
 from .packing import best_fit_packing
+from .phrase_sql import phrase_sql
+from .phrases import collocations
 from .simhash import simhash_components
 from .url_filter import filter_pages, made_pages
 from .url_sql import MADE_PAGES, url_sql
@@ -76,6 +78,10 @@ def op10_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_arrow(write_arrow(docs, fresh_path(spark, "arrow"), public_tokenizers.path(TOKENIZER)))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(dealt(_read(spark, sf_dir, "documents")), least=30, top=2000, within=80)
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -87,12 +93,14 @@ QUERIES = {
     "op8_hmm_scoring": op8_hmm_scoring,
     "op9_language_id": op9_language_id,
     "op10_arrow_token_files": op10_arrow_token_files,
+    "op12_phrase_collocations": op12_phrase_collocations,
     "url_aliases": url_aliases,
 }
 
 ORACLE_SQL = {
     "op3_url_filter": url_sql("SELECT page_id, url, html FROM pages"),
     "url_aliases": url_sql(MADE_PAGES),
+    "op12_phrase_collocations": phrase_sql(),
     "op2_embedding_near_dedup": """
 WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
      links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)

@@ -30,11 +30,13 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def ascii_words(texts: pa.Array) -> tuple[pa.LargeStringArray, np.ndarray]:
-    """All words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, and each text's number of words."""
-    data, docs = buffers(texts)
-    data = np.where((data - np.uint8(65)) < 26, data + np.uint8(32), data)
-    shown = (data != 32) & ((data - np.uint8(9)) > 4)
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z lower-cased."""
+    return np.where((data - np.uint8(65)) < 26, data + np.uint8(32), data)
+
+
+def cut(data: np.ndarray, docs: np.ndarray, shown: np.ndarray) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """The runs of shown bytes as words, and where each begins; none crosses the border of two texts."""
     begins = shown.copy()
     begins[1:] &= ~shown[:-1]
     edges = docs[:-1][docs[:-1] < len(data)]
@@ -43,5 +45,12 @@ def ascii_words(texts: pa.Array) -> tuple[pa.LargeStringArray, np.ndarray]:
     upto = np.cumsum(shown)  # with the byte itself, which is shown where a word begins
     offsets = np.append(upto[at] - 1, upto[-1:] if len(upto) else 0).astype(np.int64)
     del upto, begins
-    words = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data[shown].tobytes()))
+    return pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data[shown].tobytes())), at
+
+
+def ascii_words(texts: pa.Array) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """All words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, and each text's number of words."""
+    data, docs = buffers(texts)
+    data = lowered(data)
+    words, at = cut(data, docs, (data != 32) & ((data - np.uint8(9)) > 4))
     return words, np.diff(np.searchsorted(at, docs))
