@@ -114,26 +114,26 @@ def inside(follows: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def _cell_rows(keys: np.ndarray, least: int) -> list[dict]:
+def _cell_rows(keys: np.ndarray, least: int, bits: int) -> list[dict]:
     """The sketch of a block: its cells by segment, and how often each is hit, up to `least`."""
     if not len(keys):
         return []
     cells, counts = np.unique(keys, return_counts=True)
     counts = np.minimum(counts, least).astype("<u4" if least > 255 else "u1")
-    segments = (cells >> np.uint64(SEGMENT_BITS)).astype(np.int64)
-    low = (cells & np.uint64((1 << SEGMENT_BITS) - 1)).astype("<u4")
+    segments = (cells >> np.uint64(bits)).astype(np.int64)
+    low = (cells & np.uint64((1 << bits) - 1)).astype("<u4")
     edges = np.flatnonzero(np.diff(segments, prepend=-1))
     return [{"segment": int(segments[a]), "cells": low[a:b].tobytes(), "counts": counts[a:b].tobytes()} for a, b in zip(edges, [*edges[1:], len(cells)], strict=True)]
 
 
-def _heavy(least: int):
+def _heavy(least: int, bits: int):
     """Adds up a segment of the sketch and tells each block which of its cells are hit at least `least` times.
 
     Counts that stop at `least` are enough: if one block reaches it, so does the sum.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        total = np.zeros(1 << SEGMENT_BITS, np.uint32)
+        total = np.zeros(1 << bits, np.uint32)
         kind = "<u4" if least > 255 else "u1"
         cells = [np.frombuffer(x.as_py(), "<u4") for x in table["cells"]]
         for mine, counts in zip(cells, table["counts"], strict=True):
@@ -149,15 +149,15 @@ def _heavy(least: int):
     return run
 
 
-def _exchanged(cells: DataFrame, least: int, name: str) -> DataFrame:
+def _exchanged(cells: DataFrame, least: int, bits: int, name: str) -> DataFrame:
     """(block, heavy): for each block its cells that are hit often enough in all blocks together."""
     rows = cells.select("block", F.inline("sketch"))
-    heavy = stored(rows.groupBy("segment").applyInArrow(_heavy(least), "block long, segment int, heavy binary"), name)
+    heavy = stored(rows.groupBy("segment").applyInArrow(_heavy(least, bits), "block long, segment int, heavy binary"), name)
     return heavy.groupBy("block").agg(F.collect_list(F.struct("segment", "heavy")).alias("heavy"))
 
 
-def _heavy_keys(rows: list[dict] | None) -> np.ndarray:
-    parts = [np.frombuffer(r["heavy"], "<u4").astype(np.uint64) | np.uint64(r["segment"] << SEGMENT_BITS) for r in rows or []]
+def _heavy_keys(rows: list[dict] | None, bits: int) -> np.ndarray:
+    parts = [np.frombuffer(r["heavy"], "<u4").astype(np.uint64) | np.uint64(r["segment"] << bits) for r in rows or []]
     return np.sort(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
 
 
@@ -175,14 +175,14 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
         yield row
 
 
-def _pair_cells(shift: int, least: int):
+def _pair_cells(shift: int, least: int, bits: int):
     """The sketch of pairs of words, block by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
                 keys = gram_hashes(_hashes(row["words"], row["lang"])[row["ids"]], 2)[inside(row["follows"], 2)] >> np.uint64(shift)
-                yield pa.RecordBatch.from_arrays([pa.array([row["block"]]), pa.array([_cell_rows(keys, least)], _ARROW_CELLS)], names=["block", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array([row["block"]]), pa.array([_cell_rows(keys, least, bits)], _ARROW_CELLS)], names=["block", "sketch"])
 
     return run
 
@@ -194,7 +194,7 @@ def _long_keys(hashes: np.ndarray, follows: np.ndarray, shift: int) -> tuple[np.
     return np.concatenate(keys), places
 
 
-def _runs(shift: int, least: int):
+def _runs(shift: int, least: int, bits: int):
     """Of each block the runs of words in which every pair is heavy, and the sketch of their longer phrases. Nothing else can be part of a
     phrase that is frequent enough, as a phrase is no more frequent than its pairs."""
 
@@ -203,7 +203,7 @@ def _runs(shift: int, least: int):
             for row in _rows(batch):
                 hashes = _hashes(row["words"], row["lang"])[row["ids"]]
                 pairs = inside(row["follows"], 2)
-                pairs &= _found(gram_hashes(hashes, 2) >> np.uint64(shift), _heavy_keys(row["heavy"]))
+                pairs &= _found(gram_hashes(hashes, 2) >> np.uint64(shift), _heavy_keys(row["heavy"], bits))
                 follows = np.zeros(len(hashes), np.bool_)
                 follows[1:] = pairs
                 used = follows.copy()
@@ -211,17 +211,17 @@ def _runs(shift: int, least: int):
                 follows, hashes = follows[used], hashes[used]
                 old, ids = np.unique(row["ids"][used], return_inverse=True)
                 keys, _ = _long_keys(hashes, follows, shift)
-                columns = [pa.array([row["block"]]), pa.array([row["lang"]]), pa.array([[row["words"][k] for k in old.tolist()]], pa.list_(pa.string())), pa.array([ids.astype(np.uint32).tobytes()]), pa.array([np.packbits(follows).tobytes()]), pa.array([_cell_rows(keys, least)], _ARROW_CELLS)]
+                columns = [pa.array([row["block"]]), pa.array([row["lang"]]), pa.array([[row["words"][k] for k in old.tolist()]], pa.list_(pa.string())), pa.array([ids.astype(np.uint32).tobytes()]), pa.array([np.packbits(follows).tobytes()]), pa.array([_cell_rows(keys, least, bits)], _ARROW_CELLS)]
                 yield pa.RecordBatch.from_arrays(columns, names=["block", "lang", "words", "ids", "follows", "sketch"])
 
     return run
 
 
-def _candidates(row: dict, shift: int) -> list[str]:
+def _candidates(row: dict, shift: int, bits: int) -> list[str]:
     """The different phrases of a block whose upper bound is high enough. Phrases are told apart by their words, not by hashes."""
     words, ids, follows = row["words"], row["ids"].astype(np.uint64), row["follows"]
     keys, places = _long_keys(_hashes(words, row["lang"])[row["ids"]], follows, shift)
-    good = np.split(_found(keys, _heavy_keys(row["heavy"])), [len(places[0])])
+    good = np.split(_found(keys, _heavy_keys(row["heavy"], bits)), [len(places[0])])
     out, code = [], ids
     for size in range(2, LONGEST + 1):
         n = max(0, len(ids) - size + 1)
@@ -250,13 +250,13 @@ def count_phrases(phrases: list[str], text: str) -> np.ndarray:
     return np.bincount(np.fromiter((k for _, k in automaton.iter(text)), np.int64), minlength=len(phrases))
 
 
-def _scan(shift: int):
+def _scan(shift: int, bits: int):
     """Counts each block's candidates in its runs by one automaton."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
-                phrases = _candidates(row, shift)
+                phrases = _candidates(row, shift, bits)
                 spaced = np.array([f"{w} " for w in row["words"]] + [f"\n {w} " for w in row["words"]], object)
                 text = "".join(spaced[row["ids"] + np.where(row["follows"], 0, len(row["words"])).astype(np.uint32)])
                 counts = count_phrases(phrases, text)
@@ -269,7 +269,7 @@ def _whole(c: Column) -> Column:
     return c.cast("decimal(38,0)")
 
 
-def phrase_counts(blocks: DataFrame, least: int = 30) -> DataFrame:
+def phrase_counts(blocks: DataFrame, least: int = 30, bits: int = SEGMENT_BITS) -> DataFrame:
     """(lang, phrase, a): all phrases of 2 to 4 words that occur at least `least` times, with exact counts.
 
     A counting sketch of all pairs bounds their counts from above; what it leaves is cut to runs of possible pairs, whose longer phrases
@@ -278,14 +278,14 @@ def phrase_counts(blocks: DataFrame, least: int = 30) -> DataFrame:
     send each segment the cells they hit and get back those that are hit often enough, so that no task holds the sketch as a whole.
     """
     tokens = blocks.select(F.sum(F.octet_length("ids") / 4)).first()[0] or 0
-    segments = max(0, int(np.ceil(np.log2(max(1, tokens)))) - SEGMENT_BITS)
-    shift = 64 - SEGMENT_BITS - segments
+    segments = max(0, int(np.ceil(np.log2(max(1, tokens)))) - bits)
+    shift = 64 - bits - segments
     base = blocks.select("block", "lang", "words", "ids", "follows")
-    pairs = stored(base.mapInArrow(_pair_cells(shift, least), f"block long, sketch {_CELLS}"), "phrase-pairs")
-    joined = base.join(_exchanged(pairs, least, "phrase-heavy"), "block")
-    runs = stored(joined.mapInArrow(_runs(shift, least), f"block long, lang string, words array<string>, ids binary, follows binary, sketch {_CELLS}"), "phrase-runs")
-    long = _exchanged(runs.select("block", "sketch"), least, "phrase-long")
-    counted = runs.drop("sketch").join(long, "block", "left").mapInArrow(_scan(shift), "lang string, phrase string, a long")
+    pairs = stored(base.mapInArrow(_pair_cells(shift, least, bits), f"block long, sketch {_CELLS}"), "phrase-pairs")
+    joined = base.join(_exchanged(pairs, least, bits, "phrase-heavy"), "block")
+    runs = stored(joined.mapInArrow(_runs(shift, least, bits), f"block long, lang string, words array<string>, ids binary, follows binary, sketch {_CELLS}"), "phrase-runs")
+    long = _exchanged(runs.select("block", "sketch"), least, bits, "phrase-long")
+    counted = runs.drop("sketch").join(long, "block", "left").mapInArrow(_scan(shift, bits), "lang string, phrase string, a long")
     return counted.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).filter(F.col("a") >= least)
 
 

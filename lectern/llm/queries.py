@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow_files import read_arrow, write_arrow
+from .codebooks import product_codes
+from .curves import nearest
 from .embedding_dedup import embedding_components
 from .exact_dedup import exact_dedup
 from .hmm import score_documents
@@ -18,6 +20,7 @@ from .phrases import collocations
 from .simhash import simhash_components
 from .url_filter import filter_pages, made_pages
 from .url_sql import MADE_PAGES, url_sql
+from .vector_sql import codes_sql, neighbours_sql
 from .warc import read_warc, write_warc
 from .work import dealt, fresh_path
 
@@ -78,10 +81,18 @@ def op10_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_arrow(write_arrow(docs, fresh_path(spark, "arrow"), public_tokenizers.path(TOKENIZER)))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return product_codes(_read(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4)
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(dealt(_read(spark, sf_dir, "documents")), least=30, top=2000, within=80)
 
 
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -93,14 +104,18 @@ QUERIES = {
     "op8_hmm_scoring": op8_hmm_scoring,
     "op9_language_id": op9_language_id,
     "op10_arrow_token_files": op10_arrow_token_files,
+    "op11_vector_codes": op11_vector_codes,
     "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_nearest_neighbours": op13_nearest_neighbours,
     "url_aliases": url_aliases,
 }
 
 ORACLE_SQL = {
     "op3_url_filter": url_sql("SELECT page_id, url, html FROM pages"),
     "url_aliases": url_sql(MADE_PAGES),
+    "op11_vector_codes": codes_sql(),
     "op12_phrase_collocations": phrase_sql(),
+    "op13_nearest_neighbours": neighbours_sql(),
     "op2_embedding_near_dedup": """
 WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
      links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)

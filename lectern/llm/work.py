@@ -32,14 +32,21 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lectern/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that no later step reads, as one round's state when the next is written."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def stored(df: DataFrame, name: str, batch_rows: int | None = None, path: str | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts the lineage, and lost executors cost no recomputation.
 
-    batch_rows: rows of a batch between the JVM and Python while this is written. Batches of whole texts are kept small by it; both
+    path: where, if the caller wants to discard it later. batch_rows: rows of a batch between the JVM and Python while this is written. Batches of whole texts are kept small by it; both
     sides hold several at a time.
     """
     spark = df.sparkSession
-    path = fresh_path(spark, name)
+    path = path or fresh_path(spark, name)
     before = spark.conf.get(BATCH_ROWS)
     if batch_rows:
         spark.conf.set(BATCH_ROWS, min(int(before), batch_rows) if int(before) > 0 else batch_rows)
