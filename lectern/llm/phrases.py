@@ -20,6 +20,8 @@ from .work import TEXTS, as_text, stored
 BLOCK = 8_000_000
 #: Cells of a segment of the sketch, as a power of two. Segments grow in number with the corpus: a cell stands for about one word.
 SEGMENT_BITS = 22
+#: Phrases of which a task holds counts, before and after it has added them up.
+HELD = 1_000_000
 #: Words of the longest phrase.
 LONGEST = 4
 #: What ends a piece, and what stands between words.
@@ -217,12 +219,13 @@ def _runs(shift: int, least: int, bits: int):
     return run
 
 
-def _candidates(row: dict, shift: int, bits: int) -> list[str]:
-    """The different phrases of a block whose upper bound is high enough. Phrases are told apart by their words, not by hashes."""
+def _candidates(row: dict, shift: int, bits: int) -> tuple[list[str], np.ndarray]:
+    """The different phrases of a block whose upper bound is high enough, and their hashes. Phrases are told apart by their words."""
     words, ids, follows = row["words"], row["ids"].astype(np.uint64), row["follows"]
-    keys, places = _long_keys(_hashes(words, row["lang"])[row["ids"]], follows, shift)
+    hashes = _hashes(words, row["lang"])[row["ids"]]
+    keys, places = _long_keys(hashes, follows, shift)
     good = np.split(_found(keys, _heavy_keys(row["heavy"], bits)), [len(places[0])])
-    out, code = [], ids
+    out, marks, code = [], [], ids
     for size in range(2, LONGEST + 1):
         n = max(0, len(ids) - size + 1)
         _, first, code = np.unique(code[:n] << np.uint64(32) | ids[size - 1 :], return_index=True, return_inverse=True)
@@ -234,9 +237,10 @@ def _candidates(row: dict, shift: int, bits: int) -> list[str]:
             chosen[places[size - 3][good[size - 3]]] = True
         kinds = np.unique(code[chosen])
         # The first place of a kind may cross a border of pieces; its words are the same.
-        at = row["ids"][first[kinds.astype(np.int64)][:, None] + np.arange(size)]
-        out += [" ".join([words[k] for k in phrase]) for phrase in at.tolist()]
-    return out
+        begin = first[kinds.astype(np.int64)]
+        marks.append(gram_hashes(hashes, size)[begin])
+        out += [" ".join([words[k] for k in phrase]) for phrase in row["ids"][begin[:, None] + np.arange(size)].tolist()]
+    return out, np.concatenate(marks)
 
 
 def count_phrases(phrases: list[str], text: str) -> np.ndarray:
@@ -250,17 +254,61 @@ def count_phrases(phrases: list[str], text: str) -> np.ndarray:
     return np.bincount(np.fromiter((k for _, k in automaton.iter(text)), np.int64), minlength=len(phrases))
 
 
+def _summed(parts: list[pa.Table]) -> pa.Table:
+    """Counts of equal phrases of a language added up."""
+    total = pa.concat_tables(parts).group_by(["lang", "phrase", "mark"]).aggregate([("a", "sum")])
+    return total.rename_columns(["lang", "phrase", "mark", "a"])
+
+
 def _scan(shift: int, bits: int):
-    """Counts each block's candidates in its runs by one automaton."""
+    """Counts each block's candidates in its runs by one automaton, and adds up the counts of the blocks of a task.
+
+    A row has the phrases of a language in one segment: sums travel as lists.
+    """
+    segments = 64 - shift - bits
+
+    def emitted(total: pa.Table) -> Iterator[pa.RecordBatch]:
+        langs = total["lang"].combine_chunks().dictionary_encode()
+        segment = (total["mark"].to_numpy() >> np.uint64(64 - segments)).astype(np.int64) if segments else np.zeros(len(total), np.int64)
+        lang = langs.indices.to_numpy().astype(np.int64)
+        order = np.lexsort((lang, segment))
+        phrases, counts = total["phrase"].combine_chunks().take(pa.array(order)), total["a"].combine_chunks().take(pa.array(order))
+        edges = np.flatnonzero(np.diff(segment[order], prepend=-1) | np.diff(lang[order], prepend=-1))
+        offsets = pa.array(np.append(edges, len(order)).astype(np.int32))
+        first = order[edges]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(segment[first]), langs.dictionary.take(pa.array(lang[first])), pa.ListArray.from_arrays(offsets, phrases), pa.ListArray.from_arrays(offsets, counts)],
+            names=["segment", "lang", "phrases", "counts"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
         for batch in batches:
             for row in _rows(batch):
-                phrases = _candidates(row, shift, bits)
+                phrases, marks = _candidates(row, shift, bits)
                 spaced = np.array([f"{w} " for w in row["words"]] + [f"\n {w} " for w in row["words"]], object)
                 text = "".join(spaced[row["ids"] + np.where(row["follows"], 0, len(row["words"])).astype(np.uint32)])
                 counts = count_phrases(phrases, text)
-                yield pa.RecordBatch.from_arrays([pa.array([row["lang"]] * len(phrases), pa.string()), pa.array(phrases, pa.string()), pa.array(counts, pa.int64())], names=["lang", "phrase", "a"])
+                held.append(pa.table({"lang": pa.array([row["lang"]] * len(phrases), pa.string()), "phrase": pa.array(phrases, pa.string()), "mark": pa.array(marks, pa.uint64()), "a": pa.array(counts, pa.int64())}))
+                if sum(map(len, held)) > HELD:
+                    held = [_summed(held)]
+                    if len(held[0]) > HELD // 2:
+                        yield from emitted(held.pop())
+        if sum(map(len, held)):
+            yield from emitted(_summed(held))
+
+    return run
+
+
+def _frequent(least: int):
+    """Adds up the counts of a segment; phrases with at least `least` are left."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sizes = pc.list_value_length(table["phrases"]).to_numpy()
+        langs = table["lang"].combine_chunks().take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+        flat = pa.table({"lang": langs, "phrase": table["phrases"].combine_chunks().flatten(), "a": table["counts"].combine_chunks().flatten()})
+        total = flat.group_by(["lang", "phrase"]).aggregate([("a", "sum")]).rename_columns(["lang", "phrase", "a"])
+        return total.filter(pc.greater_equal(total["a"], least))
 
     return run
 
@@ -274,7 +322,7 @@ def phrase_counts(blocks: DataFrame, least: int = 30, bits: int = SEGMENT_BITS)
 
     A counting sketch of all pairs bounds their counts from above; what it leaves is cut to runs of possible pairs, whose longer phrases
     go through a second sketch. Each block compiles the phrases that are left into an automaton, a blank on either side of every word, and
-    counts overlapping matches in its own runs; the sums over blocks are exact. The sketch has about a cell a word, in segments: blocks
+    counts overlapping matches in its own runs; the sums over blocks, made in the task and then by segments of hashes, are exact. The sketch has about a cell a word, in segments: blocks
     send each segment the cells they hit and get back those that are hit often enough, so that no task holds the sketch as a whole.
     """
     tokens = blocks.select(F.sum(F.octet_length("ids") / 4)).first()[0] or 0
@@ -285,8 +333,8 @@ def phrase_counts(blocks: DataFrame, least: int = 30, bits: int = SEGMENT_BITS)
     joined = base.join(_exchanged(pairs, least, bits, "phrase-heavy"), "block")
     runs = stored(joined.mapInArrow(_runs(shift, least, bits), f"block long, lang string, words array<string>, ids binary, follows binary, sketch {_CELLS}"), "phrase-runs")
     long = _exchanged(runs.select("block", "sketch"), least, bits, "phrase-long")
-    counted = runs.drop("sketch").join(long, "block", "left").mapInArrow(_scan(shift, bits), "lang string, phrase string, a long")
-    return counted.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).filter(F.col("a") >= least)
+    counted = runs.drop("sketch").join(long, "block", "left").mapInArrow(_scan(shift, bits), "segment long, lang string, phrases array<string>, counts array<long>")
+    return counted.groupBy("segment").applyInArrow(_frequent(least), "lang string, phrase string, a long")
 
 
 def collocations(docs: DataFrame, least: int = 30, top: int = 2000, within: int = 80) -> DataFrame:
