@@ -26,6 +26,39 @@ def activity(events: DataFrame) -> DataFrame:
     return events.select(F.col("user_id").alias("book_id"), "event_id", "ts", micros(F.col("ts")).alias("us"), mode.alias("mode"), F.floor(F.coalesce("value", F.lit(0.0))).alias("words"))
 
 
+def moves(events: DataFrame) -> DataFrame:
+    """activity() with positions: g, the place in the text (k of the event's properties), and page, of physical reading."""
+    page = F.when(F.col("event_type") == "purchase", F.floor("value"))
+    where = events.select("event_id", F.col("user_id").alias("book_id"), micros(F.col("ts")).alias("us"), "event_type", "value", "ts", F.get_json_object("props", "$.k").cast("long").alias("g"), page.alias("page"))
+    mode = F.col("event_type")
+    for kind, name in MODES.items():
+        mode = F.when(F.col("event_type") == kind, name).otherwise(mode)
+    return where.select("book_id", "event_id", "ts", "us", mode.alias("mode"), F.floor(F.coalesce("value", F.lit(0.0))).alias("words"), F.when(F.col("event_type") != "signup", F.col("g")).alias("g"), "page")
+
+
+def session_positions(rows: DataFrame) -> DataFrame:
+    """Where each session began and ended: its first known position and its last, in text and in pages, and what lies between, 0 at least."""
+    at = lambda c, f: f(F.when(F.col(c).isNotNull(), F.struct("us", "event_id", c)))[c]
+    out = islands(rows).groupBy("book_id", "nth").agg(
+        F.first("mode").alias("mode"), at("g", F.min).alias("g_start"), at("g", F.max).alias("g_end"), at("page", F.min).alias("page_start"), at("page", F.max).alias("page_end"),
+    )
+    between = lambda a, b: F.greatest(F.lit(0), F.coalesce(F.col(b) - F.col(a), F.lit(0)))
+    return out.withColumns({"g_words": between("g_start", "g_end"), "pages": between("page_start", "page_end")})
+
+
+def is_active(rows: DataFrame, now: Column, idle_s: int = IDLE_S) -> DataFrame:
+    """(book_id, last_us, active): whether a book's last touch lies less than idle_s before now, in microseconds."""
+    last = rows.groupBy("book_id").agg(F.max("us").alias("last_us"))
+    return last.withColumn("active", now - F.col("last_us") < idle_s * 1_000_000)
+
+
+def live(rows: DataFrame, now: Column, idle_s: int = 90) -> DataFrame:
+    """Sessions that count at `now`: those that have ended, and an open one (the book's last) while its last event is less than idle_s old."""
+    ends = islands(rows).groupBy("book_id", "nth").agg(F.max("us").alias("last_us"), F.count("*").alias("events"))
+    open_ = F.col("nth") == F.max("nth").over(Window.partitionBy("book_id"))
+    return ends.withColumn("open", open_).filter(~F.col("open") | (now - F.col("last_us") < idle_s * 1_000_000))
+
+
 def islands(rows: DataFrame) -> DataFrame:
     """rows with nth, the number of the session: a new one begins whenever the mode changes."""
     w = Window.partitionBy("book_id").orderBy("us", "event_id")

@@ -39,6 +39,31 @@ def session_rows(spark, sf_dir):
     return rows.select(F.concat_ws("-", "book_id", "nth").alias("id"), "book_id", "mode", F.col("day").cast("string").alias("day"), "minutes", "words")
 
 
+_MOVES = f"""{_S}, mv AS (SELECT isl.*, CASE WHEN e.event_type <> 'signup' THEN CAST(json_extract_string(e.props, '$.k') AS BIGINT) END AS g, CASE WHEN e.event_type = 'purchase' THEN CAST(floor(e.value) AS BIGINT) END AS page FROM isl JOIN events e USING (event_id))"""
+
+
+@query(f"""{_MOVES}, a AS (SELECT book_id, nth, any_value(mode) AS mode, arg_min(g, (us, event_id)) FILTER (g IS NOT NULL) AS g_start, arg_max(g, (us, event_id)) FILTER (g IS NOT NULL) AS g_end,
+arg_min(page, (us, event_id)) FILTER (page IS NOT NULL) AS page_start, arg_max(page, (us, event_id)) FILTER (page IS NOT NULL) AS page_end FROM mv GROUP BY book_id, nth)
+SELECT *, greatest(0, coalesce(g_end - g_start, 0)) AS g_words, greatest(0, coalesce(page_end - page_start, 0)) AS pages FROM a""")
+def session_positions(spark, sf_dir):
+    return S.session_positions(S.moves(table(spark, sf_dir, "events")))
+
+
+@query("SELECT user_id AS book_id, max(epoch_us(ts)) AS last_us, (SELECT max(epoch_us(ts)) FROM events) - max(epoch_us(ts)) < 7200000000 AS active FROM events GROUP BY user_id")
+def is_active(spark, sf_dir):
+    """At the last event of all, with two hours in place of two minutes, as events lie far apart."""
+    rows = S.activity(table(spark, sf_dir, "events"))
+    return S.is_active(rows, F.lit(rows.agg(F.max("us")).first()[0]), 7200)
+
+
+@query(f"""{_S}, e2 AS (SELECT book_id, nth, max(us) AS last_us, count(*) AS events FROM isl GROUP BY ALL), o AS (SELECT *, nth = max(nth) OVER (PARTITION BY book_id) AS open FROM e2)
+SELECT * FROM o WHERE NOT open OR (SELECT max(us) FROM isl) - last_us < 5400000000""")
+def live_sessions(spark, sf_dir):
+    """At the last event of all, with an hour and a half for the open session."""
+    rows = S.activity(table(spark, sf_dir, "events"))
+    return S.live(rows, F.lit(rows.agg(F.max("us")).first()[0]), 90 * 60)
+
+
 _DAILY = "d AS (SELECT day, sum(tn) / 10 AS minutes, CAST(sum(words) AS BIGINT) AS words, count(*) AS sessions, coalesce(sum(tn) FILTER (mode = 'listen'), 0) / 10 AS listen FROM sess GROUP BY day)"
 _DAYS = "days AS (SELECT CAST(unnest(generate_series(t - INTERVAL 29 DAY, t, INTERVAL 1 DAY)) AS DATE) AS day FROM (SELECT max(day) AS t FROM sess)), z AS (SELECT days.day, coalesce(minutes, 0) AS minutes, coalesce(words, 0) AS words, coalesce(sessions, 0) AS sessions, coalesce(listen, 0) AS listen FROM days LEFT JOIN d USING (day))"
 

@@ -13,7 +13,15 @@ from . import reading  # noqa: F401  its SQL is the twin
 @query(ORACLE_SQL["sessionize"])
 def stream_sessions(spark, sf_dir):
     # A pattern, since a stream takes no single file.
-    return R.run_sessions(spark, f"{sf_dir}/events.parque[t]", fresh_folder(spark, "sessions"))
+    rows = R.run_sessions(spark, f"{sf_dir}/events.parque[t]", fresh_folder(spark, "sessions"))
+    return rows.select("book_id", "nth", "mode", "start", "end", "ms", "words", "events")
+
+
+@query(f"{ORACLE_SQL['session_positions'].rpartition('SELECT *')[0]}SELECT a.book_id, a.nth, g_start, g_end, page_start, page_end FROM a JOIN sess USING (book_id, nth)")
+def stream_positions(spark, sf_dir):
+    """Where the sessions of the stream begin and end."""
+    rows = R.run_sessions(spark, f"{sf_dir}/events.parque[t]", fresh_folder(spark, "positions"))
+    return rows.select("book_id", "nth", "g_start", "g_end", "page_start", "page_end")
 
 
 @query("""SELECT user_id AS book_id, arg_max(event_id, {'t': ts, 'e': event_id}) AS event_id, round(arg_max(least(1.0, coalesce(value, 0) / 200), {'t': ts, 'e': event_id}), 9) AS percent,
