@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import sentence_pieces, words
+from ..shipping import ship
 
 UNIT_CHARS = {"cloud": 2400, "device_fast": 900, "device": 320, "multilingual": 700}
 GROUP_CHARS, GROUP_LEAST, GROUP_SHORT, GROUP_CUT = 380, 60, 40, 420
@@ -31,6 +32,7 @@ def _by_paragraph(paras: DataFrame, fold: Callable[[list[str]], list[tuple]], na
             table = np.array([row for m in made for row in m], np.int32).reshape(-1, len(names))
             yield pa.RecordBatch.from_arrays([*(batch.column(k).take(of) for k in range(3)), *(pa.array(table[:, k]) for k in range(len(names)))], names=["doc_id", "c", "p", *names])
 
+    ship(paras.sparkSession)
     kind = paras.schema["doc_id"].dataType.simpleString()
     rows = paras.select("doc_id", F.col("c").cast("int").alias("c"), F.col("p").cast("int").alias("p"), sentence_pieces(F.col("text")).alias("x"))
     return rows.mapInArrow(run, f"doc_id {kind}, c int, p int, " + ", ".join(f"{n} int" for n in names))

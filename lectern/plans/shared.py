@@ -7,11 +7,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import ship
+
 _LOCAL: dict[str, str] = {}
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
     """A new folder under spark.checkpoint.dir; where that is unset, in local mode only, under a temporary folder of the session."""
+    ship(spark)
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import importlib
 
+from .shipping import ship
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -22,6 +24,7 @@ def query(sql: str | None = None):
 
 def table(spark, sf_dir: str, name: str):
     """A table; texts that lie in fewer splits than there are cores are dealt out, since what is done with them is work for the CPU."""
+    ship(spark)
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
     if name in ("documents", "pages") and rows.rdd.getNumPartitions() < cores:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from . import containers, lightweight, xml_formats
 from .book import Book, plain_text
 from .decode import text_of_bytes
@@ -56,6 +57,8 @@ def _rows(path: str, data: bytes) -> Iterator[tuple]:
 def parse_files(files: DataFrame) -> DataFrame:
     """PARAGRAPHS of files (path, content). One file is in memory at a time; output goes on in small batches."""
 
+    ship(files.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in PARAGRAPHS.split(", ")]
         for batch in batches:
