@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 _LOCAL: dict[str, str] = {}
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Whole texts in a batch.
@@ -15,7 +17,11 @@ TEXTS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, as a URI. In local mode only, a fresh folder if that is unset."""
+    """The folder named in spark.checkpoint.dir, as a URI. In local mode only, a fresh folder if that is unset.
+
+    All operators come here, so the package is sent to executors on the way.
+    """
+    ship(spark)
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
