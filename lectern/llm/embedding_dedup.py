@@ -75,13 +75,16 @@ def encode(unit: np.ndarray, seed: int) -> dict[str, np.ndarray]:
     }
 
 
-def estimates(query: np.ndarray, scale: np.ndarray, code: np.ndarray, factor: np.ndarray) -> np.ndarray:
+def corners(code: np.ndarray, dim: int) -> np.ndarray:
+    """Codes as the signs of their corners."""
+    return np.unpackbits(code, axis=1, count=dim).astype(np.float32) * 2 - 1
+
+
+def estimates(query: np.ndarray, scale: np.ndarray, signs: np.ndarray, factor: np.ndarray) -> np.ndarray:
     """Unbiased estimates of all inner products between queries and coded vectors: the product of a query with the corner, over the
     corner's factor, has the true product as its mean over rotations. Sums of signed 8-bit steps are exact in single precision."""
-    dim = query.shape[1]
-    signs = np.unpackbits(code, axis=1, count=dim).astype(np.float32) * 2 - 1
     sums = query.astype(np.float32) @ signs.T
-    return sums * (scale[:, None] / np.sqrt(dim)) / factor
+    return sums * (scale[:, None] / np.sqrt(query.shape[1])) / factor
 
 
 def surely_below(estimate: np.ndarray, factor: np.ndarray, off: np.ndarray, threshold: float) -> np.ndarray:
@@ -95,7 +98,7 @@ def surely_below(estimate: np.ndarray, factor: np.ndarray, off: np.ndarray, thre
     return estimate < threshold - width - SLACK
 
 
-_CODED = "label {label}, dim int, vid long, k1 long, k2 long, copies long, embedding {embedding}, code binary, factor double, query binary, scale double, off double, head array<float>"
+_CODED = "label {label}, dim int, vid long, k1 long, k2 long, copies long, embedding {embedding}, first long, code binary, factor double, query binary, scale double, off double, head array<float>"
 
 
 def _codes(seed: int):
@@ -166,11 +169,12 @@ def _open_pairs(probes: pa.RecordBatch, homes: pa.RecordBatch, threshold: float)
         return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
     query, code = matrix(probes.column("query"), np.int8), matrix(homes.column("code"), np.uint8)
+    signs = corners(code, query.shape[1])
     scale, off, factor = probes.column("scale").to_numpy(), probes.column("off").to_numpy(), homes.column("factor").to_numpy()
     vid_p, vid_h = probes.column("vid").to_numpy(), homes.column("vid").to_numpy()
     for a in range(0, len(query), STEP):
         some = slice(a, a + STEP)
-        low = surely_below(estimates(query[some], scale[some], code, factor), factor, off[some], threshold)
+        low = surely_below(estimates(query[some], scale[some], signs, factor), factor, off[some], threshold)
         i, j = np.nonzero(~low & (vid_p[some, None] != vid_h))
         yield i + a, j
 
@@ -239,16 +243,18 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.98, seed: int
     factors and 8-bit queries are worked out once and stored; they alone go to the cells of the label's code in which a linked vector can
     live. Cells with many rows are compared in blocks of bounded size. A vector goes to a block only if its codes leave one of its pairs
     there open; each block returns counts and a spanning set of links, so no link is lost and no group is collected. Vectors of any
-    length do. Other columns are not read, whatever their names. An empty table gives an empty result; repeated ids are told apart only by
-    their vectors, and rows that repeat both are links of each other.
+    length do. Other columns are not read, whatever their names. An empty table gives an empty result. Rows that repeat an id are rows of
+    their own, each with its label, vector and links; rows that repeat all three are links of each other. Null ids are never the smallest: a
+    component that has no other id has none.
     """
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     usable = F.col("label").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists("embedding", lambda x: x != 0)
     rows = vectors.select("vec_id", "label", "embedding", F.coalesce(usable, F.lit(False)).alias("ok"), F.xxhash64("embedding").alias("k1"), F.xxhash64(F.lit(seed), "embedding").alias("k2"))
     same = ["label", "k1", "k2"]
-    classes = rows.filter("ok").groupBy(*same).agg(F.min("vec_id").cast("long").alias("vid"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
+    classes = rows.filter("ok").groupBy(*same).agg(F.min("vec_id").cast("long").alias("first"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    classes = classes.select("label", F.size("embedding").alias("dim"), "vid", "k1", "k2", "copies", "embedding")
+    # Classes get numbers of their own, written once with the codes: ids may be null or come twice.
+    classes = classes.select("label", F.size("embedding").alias("dim"), F.monotonically_increasing_id().alias("vid"), "k1", "k2", "copies", "embedding", "first")
     coded = stored(classes.mapInArrow(_codes(seed), _CODED.format(**kinds)), "codes", BATCH)
     numbers = coded.groupBy("label", "dim").agg(F.count("*").alias("n"))
     bits = numbers.select("label", "dim", F.greatest(F.lit(0), F.least(F.lit(CELL_BITS), "dim", F.ceil(F.log2(F.col("n") / CELL)))).cast("int").alias("bits"))
@@ -274,8 +280,12 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.98, seed: int
     found = stored(whole.groupBy(*_KEY).applyInArrow(_compare(threshold), "vid long, other long, links long"), "links")
     components = connected_components(found.select(F.col("vid").alias("a"), F.col("other").alias("b")))
     counts = found.groupBy("vid").agg(F.sum("links").alias("links"))
-    named = coded.select(*same, "vid", "copies").join(counts, "vid", "left").join(components.withColumnRenamed("node", "vid"), "vid", "left")
-    named = named.select(*same, (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vid").alias("component"))
+    members = components.withColumnRenamed("node", "vid").join(coded.select("vid", "first"), "vid")
+    least = members.groupBy("component").agg(F.min("first").alias("least"))
+    of = members.select("vid", "component").join(least, "component")
+    named = coded.select(*same, "vid", "copies", "first").join(counts, "vid", "left").join(of, "vid", "left")
+    component = F.when(F.col("component").isNotNull(), F.col("least")).otherwise(F.col("first"))
+    named = named.select(*same, (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), component.alias("component"))
     joined = rows.filter("ok").select("vec_id", *same).join(named, same).select("vec_id", "n_links", F.col("component").alias("component_id"))
     alone = rows.filter("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return joined.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lectern.llm.embedding_dedup import embedding_components, encode, estimates, rotated, surely_below
+from lectern.llm.embedding_dedup import corners, embedding_components, encode, estimates, rotated, surely_below
 from lectern.llm.exact_dedup import exact_dedup
 from lectern.llm.graph import connected_components
 from lectern.llm.gray_index import build_index, near_links
@@ -180,10 +180,20 @@ def test_estimates():
 
     def guess(seed):
         asked, coded = encode(q, seed), encode(x, seed)
-        return estimates(asked["query"], asked["scale"], coded["code"], coded["factor"]), coded["factor"], asked["off"]
+        return estimates(asked["query"], asked["scale"], corners(coded["code"], asked["query"].shape[1]), coded["factor"]), coded["factor"], asked["off"]
 
     assert np.abs(np.mean([guess(seed)[0] for seed in range(300)], axis=0) - q @ x.T).max() < 0.05  # no bias
     assert encode(x, 7)["code"].shape == (50, 8) and encode(x, 7)["query"].dtype == np.int8
     low = surely_below(*guess(7), 0.98)
     assert not (low & (q @ x.T >= 0.98)).any()  # no link is lost
     assert low.mean() > 0.9  # most others need no exact product
+
+
+def test_embedding_ids(spark):
+    """Null ids, and ids that come twice: rows are told apart by themselves, not by their ids."""
+    a, b, c, d = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0], [0.99, 0.1, 0.0]
+    rows = [(1, a, 1), (1, b, 1), (2, d, 1), (3, [0.1, 0.99, 0.0], 1), (None, c, 1), (None, c, 1), (7, c, 2), (7, a, 2), (9, d, 2), (5, a, 3), (5, [0.999, 0.01, 0.0], 3), (None, b, 4), (8, [0.0, 2.0, 0.1], 4)]
+    found = embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), 0.98)
+    got = sorted((x.vec_id or -1, x.n_links, x.component_id or -1, x.kept) for x in found.collect())
+    want = [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (-1, 1, -1, True), (-1, 1, -1, True), (7, 0, 7, True), (7, 1, 7, True), (9, 1, 7, False), (5, 1, 5, True), (5, 1, 5, True), (-1, 1, 8, False), (8, 1, 8, True)]
+    assert got == sorted(want)
