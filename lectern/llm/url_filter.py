@@ -66,18 +66,39 @@ def unescaped(value: Column) -> Column:
     return value
 
 
+#: What is not markup: comments, and elements whose content is text. What is not closed reaches to the end.
+TEXT_ONLY = "|".join([r"<!--.*?(?:-->|\z)", *[rf"<{name}\b[^>]*>.*?(?:</{name}\s*>|\z)" for name in ("script", "style", "textarea", "title")]])
+#: The rest of a tag; quoted values may hold what would end it.
+_REST = r"""\b(?:[^>"']+|"[^"]*"|'[^']*'){0,500}>"""
+#: An attribute: its name and its value, with quotes if it has them.
+_ATTRIBUTE = r"""([^\s"'<>/=]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's first attribute of that name, without quotes and blanks around it; null where there is none."""
+    names, values = (F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(k)) for k in (1, 2))
+    at = F.array_position(F.transform(names, F.lower), name)
+    value = F.when(at > 0, F.try_element_at(values, F.when(at > 0, at).otherwise(1).cast("int")))
+    return F.regexp_replace(F.regexp_replace(value, r"""(?s)^(["'])(.*)\1$""", "$2"), r"^\s+|\s+$", "")
+
+
 def declared_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): urls of pages and those that their canonical links and refresh redirects name, resolved against the page's <base> or url."""
+    """(a, b): urls of pages and those that their canonical links and refresh redirects name, resolved against the page's <base> or url.
+
+    Comments and the contents of scripts, styles, titles and text areas declare nothing. Attributes are found by their whole name; rel is
+    a list of words, one of which must be canonical. Values may hold blanks inside quotes.
+    """
     html = as_text(F.col("html"))
-    head = F.when(html.rlike(r"(?is)<link|<meta"), html)
-    links = F.regexp_extract_all(head, F.lit(r"(?is)(<link\b[^>]*>|<meta\b[^>]*>)"), 1)
-    found = F.filter(links, lambda t: t.rlike(r"(?is)\brel\s*=\s*[\"']?canonical\b|http-equiv\s*=\s*[\"']?refresh\b"))
-    base = F.regexp_extract(head, r"(?is)<base\b[^>]*?\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)", 1)
-    tags = pages.select(F.col("url").alias("a"), base.alias("base"), F.explode(found).alias("tag"))
-    canonical = F.regexp_extract("tag", r"(?is)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)", 1)
-    refresh = F.regexp_extract("tag", r"(?is)\burl\s*=\s*[\"']?\s*([^\"'\s>]+)", 1)
-    target = unescaped(F.when(F.col("tag").rlike(r"(?i)^<link"), canonical).otherwise(refresh))
-    own = resolved(unescaped(F.col("base")), F.col("a"))
+    markup = F.regexp_replace(F.when(html.rlike(r"(?i)canonical|refresh"), html), rf"(?is){TEXT_ONLY}", " ")
+    found = F.regexp_extract_all("markup", F.lit(rf"(?is)(<(?:link|meta){_REST})"), F.lit(1))
+    base = F.regexp_extract("markup", rf"(?is)(<base{_REST})", 1)
+    tags = pages.select(F.col("url").alias("a"), markup.alias("markup")).select("a", base.alias("base"), F.explode(found).alias("tag"))
+    tag = F.col("tag")
+    canonical = F.when(F.array_contains(F.split(F.lower(attribute(tag, "rel")), r"\s+"), "canonical"), attribute(tag, "href"))
+    goes = F.regexp_extract(attribute(tag, "content"), r"(?is)^[^;,]*[;,]\s*url\s*=\s*(.*)$", 1)
+    refresh = F.when(F.lower(attribute(tag, "http-equiv")) == "refresh", F.regexp_replace(goes, r"""(?s)^(["'])(.*?)(\1.*)?$""", "$2"))
+    target = unescaped(F.trim(F.when(tag.rlike(r"(?i)^<link"), canonical).otherwise(refresh)))
+    own = resolved(unescaped(F.coalesce(attribute(F.col("base"), "href"), F.lit(""))), F.col("a"))
     against = F.when(own != "", own).otherwise(F.col("a"))
     # Written in between: filters would else be pushed through both steps, and the expression would grow with their product.
     named = stored(tags.select("a", against.alias("base"), target.alias("target")), "declared")
@@ -123,7 +144,8 @@ def filter_pages(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -
 
 def made_pages(pages: DataFrame) -> DataFrame:
     """Pages by rule, to try aliases on tables that declare none: each links to the next one in chains of five, by protocol-relative
-    canonical links with an escaped query and by refresh redirects in turn. The last url of a chain lacks the query that the link to it has."""
+    canonical links with an escaped query and by refresh redirects in turn. The last url of a chain lacks the query that the link to it has.
+    Pages also name another page where that declares nothing: in a comment, in a script, or by another attribute."""
     k = F.col("page_id")
 
     def url(n: Column) -> Column:
@@ -131,8 +153,10 @@ def made_pages(pages: DataFrame) -> DataFrame:
         return F.concat(F.lit("http://h"), (n % 5).cast("string"), F.lit(".com/"), folder, n.cast("string"))
 
     target = F.concat(url(k + 1), F.lit("?a=1&b=2"))
-    canonical = F.concat(F.lit("<link rel='canonical' href='"), F.replace(F.replace(target, F.lit("http:"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("'>"))
+    canonical = F.concat(F.lit("<link data-href=\"http://h0.com/de/0\" rel='nofollow canonical' href='"), F.replace(F.replace(target, F.lit("http:"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("'>"))
     refresh = F.concat(F.lit('<meta http-equiv="refresh" content="0; url='), target, F.lit('">'))
     link = F.when(k % 5 == 4, "").when(k % 2 == 0, canonical).otherwise(refresh)
+    idle = F.when(k % 9 == 0, '<!-- <link rel=canonical href="http://h0.com/de/0"> -->').when(k % 9 == 3, '<script>"<link rel=canonical href=http://h0.com/de/0>"</script>')
+    idle = idle.when(k % 9 == 6, '<link rel=alternate title=" rel=canonical" href="http://h0.com/de/0">').otherwise("")
     own = F.when(k % 5 == 4, url(k)).otherwise(F.concat(url(k), F.lit("?a=1&b=2#top")))
-    return pages.select("page_id", own.alias("url"), F.concat(F.lit("<html><head>"), link, F.lit("</head></html>")).alias("html"))
+    return pages.select("page_id", own.alias("url"), F.concat(F.lit("<html><head>"), idle, link, F.lit("</head></html>")).alias("html"))

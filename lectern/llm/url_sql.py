@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .url_filter import RULES
+from .url_filter import RULES, TEXT_ONLY
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -45,14 +45,24 @@ def _node(url: str) -> str:
     return rf"CASE WHEN host <> '' THEN {scheme} || '://' || host || CASE WHEN path = '' THEN '/' ELSE path END || regexp_extract(regexp_extract({url}, '(?s)^([^#]*)', 1), '(?s)^[^?]*(\?.*)$', 1) END"
 
 
+def _attribute(tag: str, name: str) -> str:
+    """The value of the first attribute of that name, without quotes and blanks around it; null where there is none."""
+    pattern = r"""([^\s"''<>/=]+)\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)"""
+    value = f"list_filter(list_zip(regexp_extract_all({tag}, '{pattern}', 1), regexp_extract_all({tag}, '{pattern}', 2)), lambda x: lower(x[1]) = '{name}')[1][2]"
+    return f"trim(trim({value}, '\"'''), ' ' || chr(9) || chr(10) || chr(12) || chr(13))"
+
+
 def url_sql(pages: str) -> str:
     """filter_pages over the rows of `pages` (page_id, url, html)."""
-    value = r"""\s*=\s*["'']?\s*([^"''\s>]+)"""
-    target = _unescaped(rf"CASE WHEN regexp_matches(tag, '(?i)^<link') THEN regexp_extract(tag, '(?is)\bhref{value}', 1) ELSE regexp_extract(tag, '(?is)\burl{value}', 1) END")
+    rest = r"""\b(?:[^>"'']+|"[^"]*"|''[^'']*'')*>"""
     return rf"""
 WITH RECURSIVE src AS ({pages}), p AS (SELECT *, {_node('url')} AS node FROM (SELECT page_id, url, html, {_parts('url')} FROM src)),
-     tags AS (SELECT url, node, coalesce(regexp_extract(html, '(?is)<base\b[^>]*?\bhref{value}', 1), '') AS base, unnest(regexp_extract_all(coalesce(html, ''), '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM p WHERE node IS NOT NULL),
-     named AS (SELECT url, node, {_unescaped('base')} AS base, {target} AS target FROM tags WHERE regexp_matches(tag, '(?is)\brel\s*=\s*["'']?canonical\b|http-equiv\s*=\s*["'']?refresh\b')),
+     m AS (SELECT url, node, regexp_replace(coalesce(html, ''), '{TEXT_ONLY}', ' ', 'gis') AS html FROM p WHERE node IS NOT NULL),
+     tags AS (SELECT url, node, regexp_extract(html, '(?is)(<base{rest})', 1) AS base, unnest(regexp_extract_all(html, '(?is)<(?:link|meta){rest}')) AS tag FROM m),
+     said AS (SELECT url, node, {_attribute('base', 'href')} AS base, {_attribute('tag', 'rel')} AS rel, {_attribute('tag', 'href')} AS href, {_attribute('tag', 'http-equiv')} AS equiv, {_attribute('tag', 'content')} AS content, lower(tag[2:5]) AS kind FROM tags),
+     aimed AS (SELECT url, node, coalesce(base, '') AS base, CASE WHEN kind = 'link' THEN CASE WHEN list_contains(regexp_split_to_array(lower(rel), '\s+'), 'canonical') THEN href END
+               WHEN lower(equiv) = 'refresh' THEN trim(regexp_extract(content, '(?is)^[^;,]*[;,]\s*url\s*=\s*(.*)$', 1), '"''') END AS target FROM said),
+     named AS (SELECT url, node, {_unescaped('base')} AS base, {_unescaped('trim(target)')} AS target FROM aimed WHERE target IS NOT NULL),
      based AS (SELECT node, target, coalesce(nullif({_resolved('base', 'url')}, ''), url) AS base FROM named),
      ends AS (SELECT node, u, {_parts('u')} FROM (SELECT node, {_resolved('target', 'base')} AS u FROM based)),
      edges AS (SELECT a, b, host, path FROM (SELECT node AS a, {_node('u')} AS b, host, path FROM ends) WHERE b IS NOT NULL),
@@ -68,5 +78,7 @@ def _made(n: str) -> str:
 
 
 #: As made_pages().
-MADE_PAGES = f"""SELECT page_id, {_made('page_id')} || CASE WHEN page_id % 5 = 4 THEN '' ELSE '?a=1&b=2#top' END AS url, '<html><head>' || CASE WHEN page_id % 5 = 4 THEN ''
-  WHEN page_id % 2 = 0 THEN '<link rel=''canonical'' href=''' || replace({_made('page_id + 1')}, 'http:', '') || '?a=1&amp;b=2''>' ELSE '<meta http-equiv="refresh" content="0; url=' || {_made('page_id + 1')} || '?a=1&b=2">' END || '</head></html>' AS html FROM pages"""
+MADE_PAGES = f"""SELECT page_id, {_made('page_id')} || CASE WHEN page_id % 5 = 4 THEN '' ELSE '?a=1&b=2#top' END AS url, '<html><head>'
+  || CASE page_id % 9 WHEN 0 THEN '<!-- <link rel=canonical href="http://h0.com/de/0"> -->' WHEN 3 THEN '<script>"<link rel=canonical href=http://h0.com/de/0>"</script>' WHEN 6 THEN '<link rel=alternate title=" rel=canonical" href="http://h0.com/de/0">' ELSE '' END
+  || CASE WHEN page_id % 5 = 4 THEN ''
+  WHEN page_id % 2 = 0 THEN '<link data-href="http://h0.com/de/0" rel=''nofollow canonical'' href=''' || replace({_made('page_id + 1')}, 'http:', '') || '?a=1&amp;b=2''>' ELSE '<meta http-equiv="refresh" content="0; url=' || {_made('page_id + 1')} || '?a=1&b=2">' END || '</head></html>' AS html FROM pages"""
