@@ -92,19 +92,6 @@ def spread_times(paras: DataFrame, cps: float = 15.0) -> DataFrame:
     return flat.select(*by, "w", ((upto - F.col("wt")) / total * F.col("dur")).alias("start"), (upto / total * F.col("dur")).alias("end"))
 
 
-def times_from_segments(word_rows: DataFrame, segments: DataFrame, by: list[str]) -> DataFrame:
-    """word_rows (by, ord, s, word) with start and end from segments (by, s_start, s_end, start, end); gaps take the word before."""
-    w = Window.partitionBy(*by, "s_start")
-    joined = word_rows.join(segments.withColumnsRenamed({"start": "_a", "end": "_b"}), [*[word_rows[c] == segments[c] for c in by], word_rows["s"] >= F.col("s_start"), word_rows["s"] < F.col("s_end")], "left").select(*[word_rows[c] for c in word_rows.columns], "s_start", "_a", "_b")
-    wt = word_weight(F.col("word"))
-    upto = F.sum(wt).over(w.orderBy("ord"))
-    total = F.sum(wt).over(w)
-    span = F.col("_b") - F.col("_a")
-    timed = joined.withColumn("start", F.col("_a") + (upto - wt) / total * span).withColumn("end", F.col("_a") + upto / total * span)
-    fill = Window.partitionBy(*by).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    return timed.select(*word_rows.columns, *[F.coalesce(F.last(F.when(F.col("_a").isNotNull(), F.col(c)), ignorenulls=True).over(fill), F.lit(0.0)).alias(c) for c in ("start", "end")])
-
-
 #: Marks after which a long sentence may be cut.
 CUT_MARKS = ("; ", ", ", ": ", " — ", "—")
 

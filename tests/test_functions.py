@@ -1,14 +1,16 @@
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import scalars as X
 from lectern.functions import text as T
-from lectern.operators import layout, mapping, markup, narration, store, taste
+from lectern.operators import layout, mapping, markup, narration, store, taste, timing
 from lectern.plans.asof import asof_join
 from lectern.plans.corpus import paragraphs, sentences
+from lectern.plans.intervals import interval_join
 from lectern.plans.ranks import global_places, upper_median_by_counts
 
 
@@ -182,10 +184,31 @@ def test_chunks(spark):
 
 
 def test_segments(spark):
-    words = spark.createDataFrame([(1, k, k // 2, "w" * (k + 1)) for k in range(6)], "u int, ord int, s int, word string")
-    seg = spark.createDataFrame([(1, 0, 1, 0.0, 1.0), (1, 1, 2, 1.0, 3.0)], "u int, s_start int, s_end int, start double, end double")
-    got = narration.times_from_segments(words, seg, ["u"]).orderBy("ord").collect()
+    words = spark.createDataFrame([(1, k // 2, k % 2, "w" * (k + 1)) for k in range(8)] + [(2, 0, 0, "x")], "u int, s int, w int, word string")
+    seg = spark.createDataFrame([(1, 0, 1, 0.0, 1.0), (1, 1, 2, 1.0, 3.0), (1, 3, 3, 9.0, 9.0), (1, 3, 4, 5.0, 6.0), (1, 3, 9, 4.0, 8.0), (1, None, 4, 0.0, 1.0)], "u int, s_start int, s_end int, a double, b double")
+    got = timing.times_from_segments(words, seg, ["u"]).orderBy("u", "s", "w").collect()
     assert got[0].start == 0 and got[1].end == 1 and got[3].end == 3 and got[5].start == got[3].start
+    assert got[6].start == 4 or got[6].start == 5
+    assert (got[8].start, got[8].end) == (0, 0)
+
+
+def test_interval_join(spark):
+    r = random.Random(2)
+    points = [(r.choice("ab"), r.randint(-40, 90)) for _ in range(300)] + [("a", None)]
+    spans = [(r.choice("ab"), lo, lo + r.choice([0, -3, 1, 5, 70]), k) for k, lo in enumerate(r.randint(-50, 60) for _ in range(80))] + [("b", 0, None, 99), ("b", None, 5, 98)]
+    got = interval_join(spark.createDataFrame(points, "k string, x int"), spark.createDataFrame(spans, "k string, lo int, hi int, n int"), ["k"], "x", "lo", "hi", 16)
+    want = Counter((k, x, lo, hi, n) for k, x in points for k2, lo, hi, n in spans if k == k2 and None not in (x, lo, hi) and lo <= x < hi)
+    assert Counter(tuple(t) for t in got.collect()) == want and want
+
+
+def test_fallbacks(spark):
+    words = spark.createDataFrame([(u, 0, 0, 0, 2, "ab") for u in range(5)] + [(u, 0, 1, 3, 3, "cd.") for u in range(5)], "u int, s int, w int, char int, len int, word string")
+    units = spark.createDataFrame([(0, 6, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5], [0.1, 0.2, 0.0, 0.4, 0.5, None], 6, 9.0), (1, 6, None, None, None, 9.0), (2, 6, [], None, None, 9.0), (3, 6, None, None, None, 0.0), (4, 600, None, None, None, None)], "u int, chars int, starts array<double>, ends array<double>, n int, duration double")
+    marks = spark.createDataFrame([(1, 0, 2.0, 0.0)], "u int, s int, t double, duration double")
+    got = {(r.u, r.w): (round(r.start, 6), round(r.end, 6), r.how) for r in timing.unit_times(words, units, timing.segments_from_marks(marks, ["u"]), ["u"]).collect()}
+    assert got[0, 0] == (0.0, 0.2, "characters") and got[0, 1] == (0.3, 0.5, "characters")
+    assert got[1, 0][0] == 2.0 and got[1, 1][1:] == (5.0, "segments")
+    assert got[2, 1][1:] == (9.0, "duration") and got[3, 1][1:] == (1.0, "length") and got[4, 1][1:] == (40.0, "length")
 
 
 def test_store(spark):
