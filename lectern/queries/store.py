@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import snapshots as N
 from ..operators import store as K
 from ..plans.corpus import paragraphs
+from ..plans.shared import fresh_folder
 from ..registry import query, table
 from . import sql
 
@@ -77,3 +79,54 @@ def library_filter(spark, sf_dir):
     from ..functions.text import normalize
 
     return table(spark, sf_dir, "part").filter(F.contains(normalize(F.concat_ws(" ", "p_name", "p_brand")), normalize(F.lit("RING Brand")))).select("p_partkey", "p_name")
+
+
+def _library(spark, sf_dir):
+    """(books, content) of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    content = paragraphs(docs).select(F.col("doc_id").alias("book_id"), "c", "p", "text")
+    return docs.select(F.col("doc_id").alias("book_id"), "lang", "source"), content
+
+
+def _turns(spark, sf_dir):
+    """The turns of conversations as recognised pages of the books of their number."""
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("book_id"), F.col("turn").alias("k"), "text")
+
+
+@query(f"""WITH {sql.PARAS}, b AS (SELECT doc_id, lang, source FROM documents), gone AS (SELECT doc_id FROM labels WHERE toxic = 1), left_ AS (SELECT * FROM b WHERE lang IS DISTINCT FROM 'de'), kept AS (SELECT * FROM left_ WHERE doc_id NOT IN (SELECT doc_id FROM gone))
+SELECT 1 AS step, 'books' AS store, count(*) AS n FROM b UNION ALL SELECT 1, 'content', count(*) FROM paras UNION ALL SELECT 1, 'progress', count(*) FROM b UNION ALL SELECT 1, 'settings', 1
+UNION ALL SELECT 2, 'deleted', (SELECT count(*) FROM b WHERE lang = 'de') UNION ALL SELECT 2, 'books', count(*) FROM left_
+UNION ALL SELECT 3, 'deleted', (SELECT count(*) FROM left_) - (SELECT count(*) FROM kept) UNION ALL SELECT 3, 'books', count(*) FROM kept
+UNION ALL SELECT 4, 'books', count(*) FROM kept UNION ALL SELECT 4, 'content', 0 UNION ALL SELECT 4, 'progress', count(*) FROM b UNION ALL SELECT 4, 'settings', 1
+UNION ALL SELECT 5, s, 0 FROM (VALUES ('books'), ('content'), ('progress'), ('settings')) t(s) UNION ALL SELECT 6, 'versions', 6""")
+def store_lifecycle(spark, sf_dir):
+    """Save, delete by a condition and by keys with counts, clear, wipe: rows of each table after each step, read by its version."""
+    store = N.Store(spark, fresh_folder(spark, "store"))
+    books, content = _library(spark, sf_dir)
+    N.save_books(store, books, content)
+    store.commit({"settings": spark.createDataFrame([("theme", "dark")], "key string, value string")})
+    first, found = store.version(), []
+    found.append((2, "deleted", store.delete_where("books", F.col("lang") == "de")))
+    second = store.version()
+    found.append((3, "deleted", store.delete("books", table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").alias("book_id")))))
+    third, fourth, fifth = store.version(), store.clear("content"), store.wipe()
+    found.append((6, "versions", fifth))
+    every = ("books", "content", "progress", "settings")
+    rows = spark.createDataFrame(found, "step int, store string, n long")
+    for step, version, names in ((1, first, every), (2, second, ("books",)), (3, third, ("books",)), (4, fourth, every), (5, fifth, every)):
+        for name in names:
+            rows = rows.union(store.table(name, version).agg(F.lit(step), F.lit(name), F.count("*")))
+    return rows
+
+
+@query(f"""WITH {sql.PARAS}, last AS (SELECT doc_id, max(c) AS c FROM paras GROUP BY doc_id), t AS (SELECT conv_id, text FROM conversations),
+all_ AS (SELECT doc_id AS book_id, c, text FROM paras UNION ALL SELECT t.conv_id, coalesce(last.c, 0), t.text FROM t LEFT JOIN last ON last.doc_id = t.conv_id)
+SELECT d.doc_id AS book_id, count(DISTINCT c) AS chapters, count(a.book_id) AS paragraphs, CAST(coalesce(sum(len(regexp_extract_all(a.text, '\\S+'))), 0) AS BIGINT) AS words FROM documents d LEFT JOIN all_ a ON a.book_id = d.doc_id GROUP BY d.doc_id""")
+def append_pages(spark, sf_dir):
+    """Books with recognised pages at the end of their last chapter, counted anew; books and content change in one commit."""
+    store = N.Store(spark, fresh_folder(spark, "store"))
+    books, content = _library(spark, sf_dir)
+    N.save_books(store, books, content)
+    more = N.appended(store.table("content"), _turns(spark, sf_dir))
+    store.commit({"content": more, "books": N.recounted(store.table("books"), more)})
+    return store.table("books").select("book_id", "chapters", "paragraphs", "words")
