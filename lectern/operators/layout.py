@@ -1,15 +1,63 @@
-"""Lines and pages of fixed-layout documents."""
+"""Documents of fixed pages: text items to lines, paragraphs and chapters. Every step is a window or a grouping by document and page."""
 
 from __future__ import annotations
 
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import count_words
+from ..functions.text import count_words, normalize
+from ..plans.asof import asof_join
 from ..plans.ranks import upper_median_by_counts
 
+#: Fixed values of lines: the least step in y and its share of the smaller height that part two lines; the gap, in heights, that is a blank.
+LINE_STEP, LINE_SHARE, BLANK = 2.0, 0.6, 0.12
+#: Fixed values of running heads: lines at either end of a page, and the pages on which one must stand.
+EDGE, LEAST_PAGES, PAGE_SHARE = 2, 3, 0.3
+#: Fixed values of paragraphs, in heights of the body: a heading's height, a parting gap, an indent; words of a heading and of a sentence that
+#: ends in a full stop and is none; the share of the widest line below which a line is short.
+HEADING, GAP, INDENT, HEADING_WORDS, SENTENCE_WORDS, SHORT = 1.22, 1.7, 0.9, 14, 8, 0.75
+#: Fixed values of chapters: pages up to which a document is one, pages of a chapter beyond, entries of an outline and headings that are enough,
+#: headings a page that are too many.
+ONE_CHAPTER, PAGES_EACH, ENTRIES, HEADS, MOST_HEADS, HEADS_A_PAGE = 40, 20, 2, 2, 6, 1.5
+#: Characters of a page below which recognised text stands in for it.
+BARE = 40
+FRONT, JOINT = "Front matter", " · "
+
+ITEMS = "doc_id, page, str, x, y, h, w"
+_PAGE = ["doc_id", "page"]
+
+
+def _ordered(by: list[str], *order: Column | str) -> Window:
+    return Window.partitionBy(*by).orderBy(*order)
+
+
+def _before(window: Window) -> Window:
+    return window.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def items_to_lines(items: DataFrame) -> DataFrame:
+    """(doc_id, page, line, text, x, x_end, y, h) from text items (doc_id, page, str, x, y, h, w); y grows upwards.
+
+    Items from top to bottom, and from left to right where they are level, make one line as long as y falls by less than LINE_STEP, or
+    LINE_SHARE of the smaller height, from one to the next. What begins more than BLANK heights behind the line's end so far is set
+    off by a blank. A line has its first item's place and its highest item's height. Blank items make nothing.
+    """
+    order = [F.desc("y"), F.asc("x"), F.asc("str"), F.asc("w")]
+    rows = items.filter(F.col("str").rlike(r"(?U)\S")).withColumn("right", F.col("x") + F.col("w"))
+    along = _ordered(_PAGE, *order)
+    step = F.lag("y").over(along) - F.col("y")
+    parted = step >= F.greatest(F.lit(LINE_STEP), LINE_SHARE * F.least(F.lag("h").over(along), F.col("h")))
+    rows = rows.withColumn("line", F.sum(F.when(parted, 1).otherwise(0)).over(along))
+    inside = _ordered([*_PAGE, "line"], *order)
+    gap = F.col("x") - F.max("right").over(_before(inside))
+    blank = (gap > BLANK * F.max("h").over(_before(inside))) & ~F.lag("str").over(inside).endswith(" ") & ~F.col("str").startswith(" ")
+    rows = rows.withColumn("nth", F.row_number().over(inside)).withColumn("piece", F.concat(F.when(blank, " ").otherwise(""), "str"))
+    pieces = F.transform(F.array_sort(F.collect_list(F.struct("nth", "piece"))), lambda p: p["piece"])
+    text = F.trim(F.regexp_replace(F.array_join(pieces, ""), r"(?U)\s+", " "))
+    first = F.min(F.struct("nth", "x", "y"))
+    lines = rows.groupBy(*_PAGE, "line").agg(text.alias("text"), first.alias("first"), F.max("right").alias("x_end"), F.max("h").alias("h"))
+    return lines.select(*_PAGE, F.col("line").cast("int").alias("line"), "text", F.col("first.x").alias("x"), "x_end", F.col("first.y").alias("y"), "h")
+
 
 def line_key(text: Column) -> Column:
     """Lower case, digit runs as #, letters only: running heads differ in nothing else."""
@@ -20,88 +68,158 @@ def edges(lines: DataFrame) -> DataFrame:
     """The first and last two lines of each page. lines: doc_id, page, line, text."""
     n = F.count("*").over(Window.partitionBy("doc_id", "page"))
     nth = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("line"))
-    return lines.withColumn("n", n).withColumn("nth", nth).filter("nth <= 2 or nth > n - 2")
-
-
-def furniture(lines: DataFrame) -> DataFrame:
-    """(doc_id, key, on_pages): edge lines on at least 3 pages and 30% of them, in documents of 3 pages or more."""
-    pages = lines.groupBy("doc_id").agg(F.count_distinct("page").alias("pages")).filter("pages >= 3")
-    keyed = edges(lines).select("doc_id", "page", line_key(F.col("text")).alias("key")).filter("key != ''").distinct()
-    counted = keyed.groupBy("doc_id", "key").agg(F.count("*").alias("on_pages")).join(pages, "doc_id")
-    return counted.filter(F.col("on_pages") >= F.greatest(F.lit(3), F.ceil(0.3 * F.col("pages")))).select("doc_id", "key", "on_pages")
+    return lines.withColumn("n", n).withColumn("nth", nth).filter((F.col("nth") <= EDGE) | (F.col("nth") > F.col("n") - EDGE))
 
 
-def strip_furniture(lines: DataFrame) -> DataFrame:
-    """lines without repeated edge lines and without edge lines that are a bare number."""
-    gone = edges(lines).withColumn("key", line_key(F.col("text"))).join(furniture(lines), ["doc_id", "key"], "left")
-    gone = gone.filter(F.col("on_pages").isNotNull() | F.trim("text").rlike("^[0-9]+$")).select("doc_id", "page", "line")
-    return lines.join(gone, ["doc_id", "page", "line"], "left_anti")
+def _paged(lines: DataFrame) -> DataFrame:
+    """(doc_id, pages) of documents with enough pages for running heads."""
+    return lines.groupBy("doc_id").agg(F.count_distinct("page").alias("pages")).filter(F.col("pages") >= LEAST_PAGES)
 
 
-def items_to_lines(items: DataFrame) -> DataFrame:
-    """(doc_id, page, line, text, x, y, h) from text items (doc_id, page, str, x, y, h, w) of fixed-layout pages.
+def furniture(lines: DataFrame) -> DataFrame:
+    """(doc_id, key, on_pages): edge lines, by keys of two letters or more, on at least 3 pages and 30% of them, in documents of 3 pages or more."""
+    keyed = edges(lines).select("doc_id", "page", line_key(F.col("text")).alias("key")).filter(F.length("key") >= 2).distinct()
+    counted = keyed.groupBy("doc_id", "key").agg(F.count("*").alias("on_pages")).join(_paged(lines), "doc_id")
+    return counted.filter(F.col("on_pages") >= F.greatest(F.lit(LEAST_PAGES), F.ceil(PAGE_SHARE * F.col("pages")))).select("doc_id", "key", "on_pages")
 
-    An item joins a line when its height differs little from the line's; a gap of more than 0.12 of the height is a space. The line
-    grows as items arrive, so a page is folded in order; a page's items are one small group.
-    """
 
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        lines: list[dict] = []
-        for it in page.sort_values(["y", "x"], ascending=[False, True]).itertuples():
-            if not it.str or not it.str.strip():
-                continue
-            line = lines[-1] if lines else None
-            if line and abs(line["y"] - it.y) < max(2.0, 0.6 * min(line["h"], it.h)):
-                apart = it.x - line["end"] > 0.12 * line["h"] and not line["text"].endswith(" ") and not it.str.startswith(" ")
-                line["text"] += " " * apart + it.str
-                line["h"], line["end"] = max(line["h"], it.h), max(line["end"], it.x + it.w)
-            else:
-                lines.append({"doc_id": it.doc_id, "page": it.page, "line": len(lines), "text": it.str, "x": it.x, "y": it.y, "h": it.h, "end": it.x + it.w})
-        for line in lines:
-            line["text"] = " ".join(line["text"].split())
-        return pd.DataFrame(lines, columns=["doc_id", "page", "line", "text", "x", "y", "h", "end"]).drop(columns="end")
-
-    return items.groupBy("doc_id", "page").applyInPandas(fold, "doc_id string, page int, line int, text string, x double, y double, h double")
+def strip_furniture(lines: DataFrame) -> DataFrame:
+    """lines without running heads and without page numbers (arabic or roman) at the edges of pages, in documents of 3 pages or more."""
+    number = F.regexp_replace("text", r"\s", "").rlike("(?i)^[0-9ivxlc]{1,6}$")
+    at_edge = edges(lines).join(_paged(lines).select("doc_id"), "doc_id", "left_semi").withColumn("key", line_key(F.col("text")))
+    gone = at_edge.join(furniture(lines), ["doc_id", "key"], "left").filter(F.col("on_pages").isNotNull() | number)
+    return lines.join(gone.select("doc_id", "page", "line"), ["doc_id", "page", "line"], "left_anti")
 
 
 def body_height(lines: DataFrame) -> DataFrame:
     return upper_median_by_counts(lines, "doc_id", "h").withColumnRenamed("median", "body")
 
 
+def _rejoined(text: Column) -> Column:
+    """Lines with breaks between them as one: a hyphen after a letter and before a small one goes with its break."""
+    return F.regexp_replace(F.regexp_replace(text, r"(?<=[A-Za-z])-\n(?=[a-z])", ""), "\n", " ")
+
+
 def lines_to_paragraphs(lines: DataFrame) -> DataFrame:
-    """(doc_id, page, block, text, heading): lines of a page grouped by height, gaps, indents and short ends; hyphens rejoined."""
-    page = Window.partitionBy("doc_id", "page").orderBy("line")
-    left, right = F.min("x").over(Window.partitionBy("doc_id", "page")), F.max(F.length("text")).over(Window.partitionBy("doc_id", "page"))
-    rows = lines.join(body_height(lines), "doc_id").withColumn("left", left).withColumn("long", right)
-    rows = rows.withColumn("heading", (F.col("h") > 1.22 * F.col("body")) & (count_words(F.col("text")) <= 14))
-    prev = lambda c: F.lag(c).over(page)
-    gap = prev("y") - F.col("y") > 1.7 * F.col("h")
-    indent = F.col("x") - F.col("left") > 0.9 * F.col("h")
-    short = (prev(F.length("text")) < 0.75 * F.col("long")) & prev("text").rlike("[.!?…\"”’:]$")
-    new = prev("text").isNull() | (F.col("heading") != prev("heading")) | F.coalesce(~F.col("heading") & (gap | indent | short), F.lit(False))
-    rows = rows.withColumn("block", F.sum(new.cast("int")).over(page))
-    parts = rows.groupBy("doc_id", "page", "block", "heading").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda t: F.trim(t["text"])), "\n").alias("text"))
-    joined = F.regexp_replace(F.regexp_replace("text", r"(?<=\p{Ll})-\n(?=\p{Ll})", ""), r"\s*\n\s*", " ")
-    return parts.select("doc_id", "page", "block", joined.alias("text"), "heading")
+    """(doc_id, page, block, text, heading) from lines (doc_id, page, line, text, x, x_end, y, h).
+
+    A line is a heading if it is high, short, ends in none of , ; : and is no sentence of over 8 words; each is a block. Others go on with the
+    paragraph before unless a wide gap parts them, an indent follows a line without one, or the line before is short and ends as a
+    sentence does. Heights are the document's usual one, widths the page's widest line.
+    """
+    whole, along = Window.partitionBy(*_PAGE), _ordered(_PAGE, "line")
+    words = count_words(F.col("text"))
+    heading = (F.col("h") > HEADING * F.col("body")) & (words <= HEADING_WORDS) & ~F.col("text").rlike("[,;:]$") & ~(F.col("text").rlike(r"[a-z]\.$") & (words > SENTENCE_WORDS))
+    rows = lines.join(body_height(lines), "doc_id").withColumns({"heading": heading, "width": F.col("x_end") - F.col("x"), "inset": F.col("x") - F.min("x").over(whole)})
+    rows = rows.withColumn("widest", F.max("width").over(whole))
+    prev = lambda c: F.lag(c).over(along)
+    gap = prev("y") - F.col("y") > GAP * F.col("body")
+    indent = (F.col("inset") > INDENT * F.col("body")) & (prev("inset") < INDENT * F.col("body"))
+    short = (prev("width") < SHORT * F.col("widest")) & prev("text").rlike(r"[.!?…\"”’')\]]$")
+    new = prev("line").isNull() | F.col("heading") | prev("heading") | gap | indent | short
+    rows = rows.withColumn("block", F.sum(new.cast("int")).over(along))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda t: t["text"]), "\n")
+    return rows.groupBy(*_PAGE, "block").agg(_rejoined(joined).alias("text"), F.first("heading").alias("heading"))
+
+
+def with_recognised(blocks: DataFrame, lines: DataFrame, recognised: DataFrame) -> DataFrame:
+    """blocks with recognised paragraphs (doc_id, page, block, text) in place of those of pages whose lines have under 40 characters."""
+    full = lines.groupBy(*_PAGE).agg(F.sum(F.length("text")).alias("chars")).filter(F.col("chars") >= BARE).select(*_PAGE)
+    instead = recognised.join(full, _PAGE, "left_anti").select(*_PAGE, F.col("block").cast("long").alias("block"), "text", F.lit(False).alias("heading"))
+    return blocks.join(instead.select(*_PAGE).distinct(), _PAGE, "left_anti").select(instead.columns).unionByName(instead)
 
 
 def merge_pages(blocks: DataFrame) -> DataFrame:
-    """(doc_id, page, text, heading, ord): a paragraph that a page break cuts is one again and keeps its first page."""
-    w = Window.partitionBy("doc_id").orderBy("page", "block")
-    carries = ~F.col("heading") & ~F.lag("heading").over(w) & ~F.lag("text").over(w).rlike("[.!?…:\"”’]$") & F.col("text").rlike(r"^[\p{Ll}“\"(]") & (F.col("page") == F.lag("page").over(w) + 1)
-    rows = blocks.withColumn("ord", F.sum((~F.coalesce(carries, F.lit(False))).cast("int")).over(w))
-    return rows.groupBy("doc_id", "ord", "heading").agg(F.min("page").alias("page"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "block", "text"))), lambda t: t["text"]), " ").alias("text"))
+    """(doc_id, ord, page, text, heading): a paragraph that a page break cuts is one again and keeps its first page.
 
+    It goes on if it does not end as a sentence and the next page begins with a small letter, a quote or a bracket. What has been joined has its
+    first page, so it is not joined with the page after next: of blocks that all go on, every second one joins the one before.
+    """
+    w = _ordered(["doc_id"], "page", "block")
+    carries = ~F.col("heading") & ~F.lag("heading").over(w) & ~F.lag("text").over(w).rlike(r"[.!?…\"”’')\]:]$") & F.col("text").rlike(r"^[a-z(“\"‘']") & (F.col("page") == F.lag("page").over(w) + 1)
+    rows = blocks.withColumn("carries", F.coalesce(carries, F.lit(False)))
+    rows = rows.withColumn("run", F.sum((~F.col("carries")).cast("int")).over(w))
+    place = F.row_number().over(_ordered(["doc_id", "run"], "page", "block")) - 1
+    rows = rows.withColumn("ord", F.sum((place % 2 == 0).cast("int")).over(_ordered(["doc_id", "run"], "page", "block")))
+    parts = rows.groupBy("doc_id", "run", "ord").agg(F.min("page").alias("page"), F.array_sort(F.collect_list(F.struct("page", "block", "text"))).alias("parts"), F.first("heading").alias("heading"))
+    text = _rejoined(F.array_join(F.transform("parts", lambda t: t["text"]), "\n"))
+    return parts.select("doc_id", F.row_number().over(_ordered(["doc_id"], "run", "ord")).alias("ord"), "page", text.alias("text"), "heading")
 
-def page_buckets(blocks: DataFrame) -> DataFrame:
-    """Chapters of documents without outline or headings: one of up to 40 pages, else one for each 20 pages."""
-    last = F.max("page").over(Window.partitionBy("doc_id"))
-    return blocks.withColumn("c", F.when(last <= 40, 0).otherwise(F.floor((F.col("page") - 1) / 20)).cast("int"))
 
+def flat_outline(outlines: DataFrame) -> DataFrame:
+    """(doc_id, page, title) of outlines (doc_id, items): the entries of two levels in their order, the first that has a title of each page.
 
-def chapter_strategy(blocks: DataFrame, outline: DataFrame) -> DataFrame:
+    items: array of (title, page, items), of which the inner ones have title and page. An entry without a page still has its children's.
+    """
+    blank = lambda t: F.trim(F.regexp_replace(F.coalesce(t, F.lit("")), r"\s+", " "))
+    top = outlines.select("doc_id", F.posexplode("items").alias("i", "it"))
+    own = F.array(F.struct(F.lit(-1).alias("j"), F.col("it.title").alias("title"), F.col("it.page").alias("page")))
+    below = F.coalesce(F.transform("it.items", lambda c, j: F.struct(j.alias("j"), c["title"].alias("title"), c["page"].alias("page"))), F.array().cast("array<struct<j:int,title:string,page:int>>"))
+    every = top.select("doc_id", "i", F.inline(F.concat(own, below))).select("doc_id", "i", "j", "page", blank(F.col("title")).alias("title"))
+    kept = every.filter(F.col("page").isNotNull() & (F.col("title") != ""))
+    return kept.groupBy("doc_id", "page").agg(F.min_by("title", F.struct("i", "j")).alias("title"))
+
+
+_CHAPTERED = ["doc_id", "start", "ord", "page", "title", "text"]
+
+
+def by_outline(blocks: DataFrame, outline: DataFrame) -> DataFrame:
+    """blocks (doc_id, ord, page, text, heading) with the start and title of the last entry at or before their page; what stands before the
+    first is front matter. Headings that repeat the title go, and at a chapter's head those that are part of it."""
+    entries = outline.select("doc_id", F.col("page").alias("start"), "title")
+    rows = asof_join(blocks, entries.withColumn("at", F.col("start")), ["doc_id"], "page", "at").drop("at")
+    rows = rows.withColumns({"start": F.coalesce("start", F.lit(0)), "title": F.coalesce("title", F.lit(FRONT))})
+    own, name = normalize(F.col("text")), normalize(F.col("title"))
+    part = F.col("heading") & F.contains(name, own)
+    head = F.coalesce(F.min(part.cast("int")).over(_before(_ordered(["doc_id", "start"], "ord"))), F.lit(1)) == 1
+    return rows.withColumn("gone", (F.col("heading") & (own == name)) | (part & head)).filter("not gone").select(*_CHAPTERED)
+
+
+def by_headings(blocks: DataFrame) -> DataFrame:
+    """blocks without headings, in chapters that begin with one; headings in a row are one title, and what stands before the first is front matter."""
+    along = _ordered(["doc_id"], "ord")
+    opens = F.col("heading") & ~F.coalesce(F.lag("heading").over(along), F.lit(False))
+    rows = blocks.withColumn("start", F.sum(opens.cast("int")).over(along))
+    titles = F.array_sort(F.collect_list(F.when(F.col("heading"), F.struct("ord", "text"))).over(Window.partitionBy("doc_id", "start")))
+    title = F.array_join(F.transform(titles, lambda t: t["text"]), JOINT)
+    named = rows.withColumn("title", F.when(F.col("start") == 0, FRONT).otherwise(title))
+    return named.filter(~F.col("heading")).select(*_CHAPTERED)
+
+
+def by_pages(blocks: DataFrame, documents: DataFrame) -> DataFrame:
+    """blocks in one chapter of the document's title, or, beyond 40 pages, in chapters of 20. documents: doc_id, pages, title."""
+    bucket = F.floor((F.col("page") - 1) / PAGES_EACH)
+    rows = blocks.join(documents.select("doc_id", "pages", F.col("title").alias("named")), "doc_id")
+    start = F.when(F.col("pages") <= ONE_CHAPTER, 0).otherwise(bucket)
+    span = F.concat(F.lit("Pages "), bucket * PAGES_EACH + 1, F.lit("–"), F.least("pages", (bucket + 1) * PAGES_EACH))
+    title = F.when(F.col("pages") <= ONE_CHAPTER, F.when(F.coalesce("named", F.lit("")) != "", F.col("named")).otherwise("Full text")).otherwise(span)
+    return rows.withColumns({"start": start, "title": title}).select(*_CHAPTERED)
+
+
+def chapter_strategy(blocks: DataFrame, outline: DataFrame, documents: DataFrame) -> DataFrame:
     """(doc_id, strategy): outline with two entries or more, else headings if there are a fitting number, else page buckets."""
-    facts = blocks.groupBy("doc_id").agg(F.count_if("heading").alias("heads"), F.max("page").alias("pages"))
+    heads = blocks.groupBy("doc_id").agg(F.count_if("heading").alias("heads"))
     entries = outline.groupBy("doc_id").agg(F.count("*").alias("entries"))
-    fits = (F.col("heads") >= 2) & (F.col("heads") <= F.greatest(F.lit(6.0), 1.5 * F.col("pages")))
-    return facts.join(entries, "doc_id", "left").select("doc_id", F.when(F.col("entries") >= 2, "outline").when(fits, "headings").otherwise("pages").alias("strategy"))
+    fits = F.col("heads").between(F.lit(HEADS), F.greatest(F.lit(MOST_HEADS), HEADS_A_PAGE * F.col("pages")))
+    facts = documents.join(heads, "doc_id", "left").join(entries, "doc_id", "left")
+    return facts.select("doc_id", F.when(F.col("entries") >= ENTRIES, "outline").when(fits, "headings").otherwise("pages").alias("strategy"))
+
+
+def chapters(blocks: DataFrame, outline: DataFrame, documents: DataFrame) -> DataFrame:
+    """(doc_id, strategy, c, title, p, page, text): each document's blocks in chapters by its own strategy; chapters without text are none."""
+    chosen = chapter_strategy(blocks, outline, documents)
+    mine = lambda name: blocks.join(chosen.filter(F.col("strategy") == name).select("doc_id"), "doc_id", "left_semi")
+    found = by_outline(mine("outline"), outline).unionByName(by_headings(mine("headings"))).unionByName(by_pages(mine("pages"), documents))
+    c = F.dense_rank().over(_ordered(["doc_id"], "start")) - 1
+    p = F.row_number().over(_ordered(["doc_id", "start"], "ord")) - 1
+    return found.join(chosen, "doc_id").select("doc_id", "strategy", c.alias("c"), "title", p.alias("p"), "page", "text")
+
+
+def read_pages(items: DataFrame, outlines: DataFrame, documents: DataFrame, recognised: DataFrame | None = None) -> DataFrame:
+    """The chapters of documents of fixed pages, from their text items, outlines and recognised pages: all steps above in one plan."""
+    lines = items_to_lines(items)
+    left = strip_furniture(lines)
+    blocks = lines_to_paragraphs(left)
+    if recognised is not None:
+        blocks = with_recognised(blocks, lines, recognised)
+    return chapters(merge_pages(blocks), flat_outline(outlines), documents)

@@ -79,7 +79,7 @@ def match_confidence(spark, sf_dir):
 @query(f"""WITH {sql.PARAS}, edge AS (SELECT *, count(*) OVER (PARTITION BY doc_id, c) AS n FROM paras),
 e AS (SELECT doc_id, c, p, regexp_replace(regexp_replace(lower(text), '[0-9]+', '#', 'g'), '[^\\p{{L}}#]', '', 'g') AS key FROM edge WHERE p < 2 OR p >= n - 2),
 pages AS (SELECT doc_id, count(DISTINCT c) AS pages FROM paras GROUP BY doc_id)
-SELECT e.doc_id, e.key, count(DISTINCT e.c) AS on_pages FROM e JOIN pages USING (doc_id) WHERE key <> '' AND pages >= 3 GROUP BY e.doc_id, e.key, pages HAVING count(DISTINCT e.c) >= greatest(3, ceil(0.3 * pages))""")
+SELECT e.doc_id, e.key, count(DISTINCT e.c) AS on_pages FROM e JOIN pages USING (doc_id) WHERE length(key) >= 2 AND pages >= 3 GROUP BY e.doc_id, e.key, pages HAVING count(DISTINCT e.c) >= greatest(3, ceil(0.3 * pages))""")
 def repeated_lines(spark, sf_dir):
     """Lines at the edges of pages (here chapters) that come back on many of them."""
     from ..operators.layout import furniture

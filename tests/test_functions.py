@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import scalars as X
 from lectern.functions import text as T
-from lectern.operators import layout, mapping, markup, narration, store, taste, timing
+from lectern.operators import mapping, markup, narration, store, taste, timing
 from lectern.plans.asof import asof_join
 from lectern.plans.corpus import paragraphs, sentences
 from lectern.plans.intervals import interval_join
@@ -163,20 +163,6 @@ def test_heading_runs(spark):
     assert [r.kind for r in markup.heading_runs(rows).orderBy("i").collect()] == ["toc"] * 4 + ["para", "heading", "heading"]
 
 
-def test_layout(spark):
-    page = lambda p: [("RUNNING HEAD", 50.0, 800.0, 10.0, 80.0), ("First", 50.0, 700.0, 10.0, 20.0), ("abcd"[p - 1] * 5, 75.0, 700.0, 10.0, 20.0), (f"carried {'abcd'[p - 1]} on-", 50.0, 688.0, 10.0, 90.0), (f"ward {'abcd'[p - 1]} to", 50.0, 676.0, 10.0, 90.0), (f"{p}", 50.0, 20.0, 10.0, 5.0)]
-    items = [("d", p, *row) for p in range(1, 5) for row in page(p)]
-    lines = layout.items_to_lines(spark.createDataFrame(items, "doc_id string, page int, str string, x double, y double, h double, w double"))
-    assert [r.text for r in lines.filter("page = 1").orderBy("line").collect()] == ["RUNNING HEAD", "First aaaaa", "carried a on-", "ward a to", "1"]
-    left = layout.strip_furniture(lines)
-    assert [r.text for r in left.filter("page = 2").orderBy("line").collect()] == ["First bbbbb", "carried b on-", "ward b to"]
-    blocks = layout.lines_to_paragraphs(left)
-    assert [r.text for r in blocks.filter("page = 1").collect()] == ["First aaaaa carried a onward a to"]
-    assert layout.chapter_strategy(blocks, spark.createDataFrame([], "doc_id string, title string")).first().strategy == "pages"
-    assert layout.merge_pages(blocks).count() == 4
-    assert {r.c for r in layout.page_buckets(layout.merge_pages(blocks)).collect()} == {0}
-
-
 def test_chunks(spark):
     text = "alpha beta, gamma delta; epsilon zeta eta theta"
     got = one(spark, narration.chunk_text(F.col("t"), 20), t=text)
