@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import sys
+import unicodedata
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,9 +16,6 @@ ABBREVIATIONS = (
 ).split()
 #: Marks that end sentences, that may follow them, and that may open the next.
 TERMINAL, CLOSING, OPENING = ".!?…", "\"'”’)\\]»", "\"'“‘(\\[«"
-#: Letters with marks and what they decompose to.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝŸ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUYY"
 #: A boundary mark that no text holds.
 CUT = "\u0001"
 
@@ -41,12 +40,49 @@ def count_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"(?U)\S+"))
 
 
+#: What quotes and dashes become, and letters that are two.
+QUOTES, DASHES, TWO = "‘’‚‛`“”„‟«»", "‐‑‒–—―", (("æ", "ae"), ("œ", "oe"), ("ß", "ss"))
+
+
+@cache
+def folds() -> tuple[str, str, dict[str, str]]:
+    """By the rule of compatible decomposition without marks: characters, what each becomes where that is one character that normal forms
+    keep (marks come last and become nothing), and those that become several, of which some are kept."""
+    marks = "".join(map(chr, range(0x300, 0x370)))
+    kept = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789'-æœßÆŒ" + QUOTES + DASHES)
+    one, many = {}, {}
+    for code in range(0x80, sys.maxunicode + 1):
+        char = chr(code)
+        if not unicodedata.decomposition(char):
+            continue
+        plain = "".join(c for c in unicodedata.normalize("NFKD", char) if c not in marks)
+        if len(plain) == 1 and plain in kept:
+            one[char] = plain
+        elif kept & set(plain):
+            many[char] = plain
+    return "".join(one) + marks, "".join(one.values()), many
+
+
+def decomposed(text: Column) -> Column:
+    """Compatible characters (ligatures, wide and small forms, numbers in circles) and letters with marks as plain ones, as far as normal
+    forms keep them. Pure ASCII stays as it is; texts with characters that become several are taken apart, others translated."""
+    chars, plain, many = folds()
+    table = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
+    some = F.array_join(F.transform(F.split(text, ""), lambda c: F.when(c > "~", F.coalesce(F.element_at(table, c), c)).otherwise(c)), "")
+    # Most texts hold nothing but Latin letters and common marks: a short table does for them, and a long class is not asked.
+    usual = [(c, p) for c, p in zip(chars, plain) if c <= "ÿ"]
+    rare = text.rlike("[¼-¾[^\\x00-ÿŒœ‐-‟…]]")
+    whole = F.when(text.rlike("[" + "".join(many) + "]"), some).otherwise(text)
+    short = F.translate(text, "".join(c for c, _ in usual), "".join(p for _, p in usual))
+    return F.when(F.octet_length(text) == F.char_length(text), text).when(rare, F.translate(whole, chars, plain)).otherwise(short)
+
+
 def normalize(text: Column) -> Column:
-    """Lower case, without accents (Latin subset), apostrophes, hyphens and dashes; other marks become spaces."""
-    out = F.lower(F.translate(F.coalesce(text, F.lit("")), MARKED, PLAIN))
-    out = F.translate(out, "‘’‚‛`“”„‟«»‐‑‒–—―", "'" * 5 + '"' * 6 + "-" * 6)
-    for wide, plain in (("æ", "ae"), ("œ", "oe"), ("ß", "ss")):
-        out = F.replace(out, F.lit(wide), F.lit(plain))
+    """Lower case, without accents, compatible forms as plain ones, apostrophes, hyphens and dashes gone; other marks become spaces."""
+    out = F.lower(decomposed(F.coalesce(text, F.lit(""))))
+    out = F.translate(out, QUOTES + DASHES, "'" * 5 + '"' * 6 + "-" * 6)
+    for wide, narrow in TWO:
+        out = F.replace(out, F.lit(wide), F.lit(narrow))
     out = F.regexp_replace(out, r"[^a-z0-9\s'-]", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(out, r"['-]", ""), r"\s+", " "))
 

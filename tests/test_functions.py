@@ -1,5 +1,6 @@
 import random
 import re
+import unicodedata
 from collections import Counter
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from lectern.functions import scalars as X
 from lectern.functions import text as T
 from lectern.operators import mapping, markup, narration, store, taste, timing
+from lectern.operators import voices as voice_choice
 from lectern.plans.asof import asof_join
 from lectern.plans.corpus import paragraphs, sentences
 from lectern.plans.intervals import interval_join
@@ -163,6 +165,30 @@ def test_heading_runs(spark):
     assert [r.kind for r in markup.heading_runs(rows).orderBy("i").collect()] == ["toc"] * 4 + ["para", "heading", "heading"]
 
 
+def test_normal_form(spark):
+    """Against the standard library's decomposition, over every character that has one."""
+
+    def plain(t):
+        t = "".join(c for c in unicodedata.normalize("NFKD", t) if not "\u0300" <= c <= "\u036f").lower()
+        t = t.translate(str.maketrans("‘’‚‛`“”„‟«»‐‑‒–—―", "'" * 5 + '"' * 6 + "-" * 6)).replace("æ", "ae").replace("œ", "oe").replace("ß", "ss")
+        return re.sub(r"\s+", " ", re.sub(r"['-]", "", re.sub(r"[^a-z0-9 \t\n\r\x0b\x0c'-]", " ", t))).strip()
+
+    marked = [chr(c) for c in range(0x80, 0x110000) if unicodedata.decomposition(chr(c)) and not 0xD800 <= c < 0xE000]
+    rows = [f"a{''.join(f'x{c}y ' for c in marked[k : k + 40])}" for k in range(0, len(marked), 40)] + ["ő ş č ﬁn ﬄ Ｆｕｌｌ １２ ½ ⑩ e\u0301 Ǽ ẞ İ K 𝐁old", "", "plain – it’s"]
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "k int, t string").select("k", T.normalize(F.col("t")).alias("n")).collect()
+    for r in got:
+        assert r.n == plain(rows[r.k]), (rows[r.k], r.n)
+
+
+def test_voices(spark):
+    voices = spark.createDataFrame([("v1", 1, "Ann Lee", ["Warm", "deep"], "cloned"), ("v2", 2, "Bob", ["deep"], "premade"), ("v3", 3, "anna", None, "premade"), ("v4", 4, "Deep Warm", [], "premade")], "voice string, ord int, name string, labels array<string>, category string")
+    personas = [("own", "x9", ["Ann"], ["deep"]), ("hint", None, ["zed", "ANN"], ["deep"]), ("order", None, ["bob", "ann"], []), ("one", None, [], ["deep"]), ("two", None, [], ["deep", "warm"]), ("none", None, [], ["loud"]), ("nothing", None, None, None)]
+    table = spark.createDataFrame(personas, "persona string, override string, hints array<string>, labels array<string>")
+    got = {r.persona: (r.voice, r.why) for r in voice_choice.resolve(table, voices).collect()}
+    assert got == {"own": ("x9", "choice"), "hint": ("v1", "hint"), "order": ("v2", "hint"), "one": ("v2", "labels"), "two": ("v4", "labels"), "none": ("v2", "labels"), "nothing": ("v2", "labels")}
+    assert {r.voice for r in voice_choice.resolve(table.filter("persona = 'one'"), voices.limit(0)).collect()} == {None}
+
+
 def test_chunks(spark):
     text = "alpha beta, gamma delta; epsilon zeta eta theta"
     got = one(spark, narration.chunk_text(F.col("t"), 20), t=text)
