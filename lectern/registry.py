@@ -33,7 +33,7 @@ def table(spark, sf_dir: str, name: str):
 
 
 #: Modules of lectern.queries.
-PARTS = ("text", "positions", "matching", "reading", "markup", "library", "narration", "store", "streams", "formats", "choices", "timing", "pages", "voices")
+PARTS = ("text", "positions", "matching", "reading", "markup", "library", "narration", "store", "streams", "formats", "choices", "timing", "pages", "voices", "catalogs")
 
 
 def load() -> None:
