@@ -98,6 +98,7 @@ def sentence_pieces(paragraph: Column) -> Column:
 
 def syllables(word: Column) -> Column:
     letters = F.regexp_replace(F.lower(word), "[^a-z]", "")
+    # Endings that are not sounded, which define the counts.
     stem = F.regexp_replace(F.regexp_replace(letters, "(?:[^laeiouy]es|ed|[^laeiouy]e)$", ""), "^y", "")
     return F.when(letters == "", 0).when(F.length(letters) <= 3, 1).otherwise(F.greatest(F.lit(1), F.regexp_count(stem, F.lit("[aeiouy]{1,2}")))).cast("int")
 
