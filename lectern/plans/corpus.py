@@ -37,13 +37,20 @@ def running(values: Column) -> Column:
 
 
 def sentences(paras: DataFrame) -> DataFrame:
-    """(doc_id, c, p, s, start, text, n_words, word_start). No shuffle: running sums are worked out beside the sentences of a paragraph,
-    and each exploded row takes its own entry only, so a line of many sentences costs no more a sentence than a short one."""
+    """(doc_id, c, p, s, start, text, n_words, word_start). No shuffle: each sentence's row adds up what stands before it in its paragraph.
+
+    In paragraphs of up to RUN sentences it does so from the paragraph's short list, which costs less than a list of sums; longer ones have their
+    sums worked out once, so a line of many sentences costs no more a sentence than a short one.
+    """
     pieces = paras.select("doc_id", "c", "p", sentence_pieces(F.col("text")).alias("x"))
-    sized = pieces.select("doc_id", "c", "p", "x", running(F.transform("x", F.length)).alias("start"), F.transform("x", count_words).alias("n_words"))
-    both = sized.select("doc_id", "c", "p", F.arrays_zip("x", "start", "n_words", running(F.col("n_words")).alias("word_start")).alias("z"))
-    rows = both.select("doc_id", "c", "p", F.posexplode("z").alias("s", "z"))
-    return rows.select("doc_id", "c", "p", "s", "z.start", F.rtrim("z.x").alias("text"), "z.n_words", "z.word_start")
+    sized = pieces.select("doc_id", "c", "p", "x", F.transform("x", F.length).alias("chars"), F.transform("x", count_words).alias("words"))
+    few = F.size("x") <= RUN
+    short = [F.when(few, F.col(c)).alias(f"few_{c}") for c in ("chars", "words")]
+    sums = [F.when(few, F.col(c)).otherwise(running(F.col(c))).alias(f"upto_{c}") for c in ("chars", "words")]
+    both = sized.select("doc_id", "c", "p", *short, F.arrays_zip("x", "words", *sums).alias("z"))
+    rows = both.select("doc_id", "c", "p", "few_chars", "few_words", F.posexplode("z").alias("s", "z"))
+    before = lambda c: F.when(F.col(f"few_{c}").isNull(), F.col(f"z.upto_{c}")).otherwise(F.aggregate(F.slice(f"few_{c}", F.lit(1), F.col("s")), F.lit(0), lambda a, v: a + v))
+    return rows.select("doc_id", "c", "p", "s", before("chars").alias("start"), F.rtrim("z.x").alias("text"), F.col("z.words").alias("n_words"), before("words").alias("word_start"))
 
 
 def offsets(paras: DataFrame) -> DataFrame:
