@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +23,22 @@ def word_weight(word: Column) -> Column:
     return F.length(word) + 1 + F.when(word.rlike("[,;:]$"), 2.5).when(word.rlike("[.!?…][\"”’)]*$"), 5.0).otherwise(0.0)
 
 
+#: Bytes of a list column that are worked on at once, if a row does not hold more by itself.
+BLOCK = 1 << 18
+
+
+def by_size(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch by the size of a column of lists, so that what a task holds does not grow with its batches."""
+    lists = batch.column(column)
+    sizes = pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+    each = max(1, lists.nbytes // max(1, int(sizes.sum())))
+    upto, at = np.cumsum(sizes * each), 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + BLOCK, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def _by_paragraph(paras: DataFrame, fold: Callable[[list[str]], list[tuple]], names: list[str]) -> DataFrame:
     """(doc_id, c, p, …integers): what fold makes of each paragraph's sentences, one row per tuple. No shuffle, one step a sentence."""
 
@@ -52,6 +69,25 @@ def pack_lengths(lens: list[int], joins: Callable[[int, int], bool]) -> list[tup
     return [*out, (begin, len(lens), total)] if lens else out
 
 
+def unit_texts(paras: DataFrame, most: int = UNIT_CHARS["cloud"]) -> DataFrame:
+    """units() with `texts`, the unit's sentences with the white space behind them: all that its words need, so they never leave its row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in by_size(batch, 3):
+                lists = block.column(3).to_pylist()
+                runs = [pack_lengths([len(s.rstrip(" ")) for s in texts], lambda so_far, n: so_far + 1 + n <= most) for texts in lists]
+                of = pa.array(np.repeat(np.arange(len(runs)), [len(r) for r in runs]))
+                spans = np.array([(k, *r) for found in runs for k, r in enumerate(found)], np.int32).reshape(-1, 4)
+                texts = pa.array([own[a:b] for own, found in zip(lists, runs, strict=True) for a, b, _ in found], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([*(block.column(k).take(of) for k in range(3)), *(pa.array(spans[:, k]) for k in range(4)), texts], names=["doc_id", "c", "p", "unit", "s_start", "s_end", "chars", "texts"])
+
+    ship(paras.sparkSession)
+    kind = paras.schema["doc_id"].dataType.simpleString()
+    rows = paras.select("doc_id", F.col("c").cast("int").alias("c"), F.col("p").cast("int").alias("p"), sentence_pieces(F.col("text")).alias("x"))
+    return rows.mapInArrow(run, f"doc_id {kind}, c int, p int, unit int, s_start int, s_end int, chars int, texts array<string>")
+
+
 def units(paras: DataFrame, most: int = UNIT_CHARS["cloud"]) -> DataFrame:
     """(doc_id, c, p, unit, s_start, s_end, chars): sentences packed greedily while they fit `most` characters, at least one each."""
 

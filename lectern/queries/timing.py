@@ -13,10 +13,8 @@ from ..registry import ORACLE_SQL, query, table
 from . import narration, sql  # noqa: F401  narration's SQL packs the units
 
 
-def _words_and_units(spark, sf_dir):
-    paras = paragraphs(table(spark, sf_dir, "documents"))
-    units = kept(N.units(paras, N.UNIT_CHARS["device"]), "units")
-    return kept(T.unit_words(T.sentence_words(paras), units), "unit-words"), units
+def _units(spark, sf_dir):
+    return N.unit_texts(paragraphs(table(spark, sf_dir, "documents")), N.UNIT_CHARS["device"])
 
 
 def _segments(units):
@@ -31,7 +29,7 @@ def _facts(units):
     n = F.col("chars") + F.col("unit") % 3
     places = F.transform(F.sequence(F.lit(0), n - 1), lambda i: i * F.lit(0.0625))
     return units.select(
-        *T.UNIT, "s_start", "s_end", "chars", kind.alias("kind"), F.when(kind == 0, places).alias("starts"),
+        *T.UNIT, "s_start", "s_end", "chars", "texts", kind.alias("kind"), F.when(kind == 0, places).alias("starts"),
         F.when((kind == 0) & (F.col("unit") % 2 == 0), F.transform(places, lambda t: t + 0.0625)).alias("ends"), F.when(kind == 0, n).alias("n"), F.when(kind == 2, F.col("chars") / 12.0).alias("duration"),
     )
 
@@ -50,15 +48,15 @@ _ROUNDED = f"""{sql.js_round('start', 3)} AS start, {sql.js_round('"end"', 3)} A
 
 @query(f"{_BASE} SELECT doc_id, c, p, unit, s, w, char, len FROM uw")
 def unit_words(spark, sf_dir):
-    return _words_and_units(spark, sf_dir)[0].select(*T.UNIT, "s", "w", "char", "len")
+    return T.unit_words(_units(spark, sf_dir))
 
 
 @query(f"""{_BASE}, held AS (SELECT {_BY}, s, w, {_SPREAD.format(a='s * 2.0', b='(s * 2.0 + 1.5)', by=f'{_BY}, s')} FROM uw WHERE s % 3 <> 1),
 filled AS (SELECT {_BY}, s, w, {_FILL} FROM uw LEFT JOIN held USING ({_BY}, s, w)) SELECT {_BY}, s, w, {_ROUNDED} FROM filled""")
 def segment_times(spark, sf_dir):
     """Words of sentences without a segment take the times of the word before."""
-    words, units = _words_and_units(spark, sf_dir)
-    got = T.times_from_segments(words, _segments(units), T.UNIT)
+    units = kept(_units(spark, sf_dir), "units")
+    got = T.times_of_units(units, _segments(units))
     return got.select(*T.UNIT, "s", "w", *[js_round(F.col(c), 3).alias(c) for c in ("start", "end")])
 
 
@@ -73,10 +71,9 @@ le AS (SELECT {_BY}, s, w, {_SPREAD.format(a='0', b="(CASE WHEN kind = 2 THEN ch
 SELECT {_BY}, s, w, {_ROUNDED}, how FROM (SELECT * FROM ch UNION ALL SELECT * FROM sg UNION ALL SELECT * FROM le)""")
 def unit_times(spark, sf_dir):
     """Every way to find times, each for a quarter of the units."""
-    words, units = _words_and_units(spark, sf_dir)
-    facts = _facts(units)
+    facts = _facts(kept(_units(spark, sf_dir), "units"))
     marks = facts.filter("kind = 1").select(*T.UNIT, F.explode(F.sequence("s_start", F.col("s_end") - 1)).alias("s"), F.lit(None).cast("double").alias("duration")).withColumn("t", F.col("s") * F.lit(1.5))
-    got = T.unit_times(words, facts, T.segments_from_marks(marks, T.UNIT))
+    got = T.all_times(facts, T.segments_from_marks(marks, T.UNIT))
     return got.select(*T.UNIT, "s", "w", *[js_round(F.col(c), 3).alias(c) for c in ("start", "end")], "how")
 
 
@@ -84,6 +81,6 @@ def unit_times(spark, sf_dir):
 SELECT q.doc_id, q.c, q.p, q.unit, q.at, uw.s, uw.w FROM q ASOF JOIN uw ON q.doc_id = uw.doc_id AND q.c = uw.c AND q.p = uw.p AND q.unit = uw.unit AND q.at >= uw.char""")
 def word_at_char(spark, sf_dir):
     """The word at every fortieth character of a unit."""
-    words, units = _words_and_units(spark, sf_dir)
+    units = kept(_units(spark, sf_dir), "units")
     asked = units.filter("chars > 0").select(*T.UNIT, F.explode(F.sequence(F.lit(0), F.col("chars") - 1, F.lit(40))).alias("at"))
-    return T.word_at(asked, words, T.UNIT)
+    return T.word_at(asked, units)
