@@ -20,22 +20,31 @@ def _first(rows: DataFrame, *order: str) -> DataFrame:
 def by_hints(personas: DataFrame, voices: DataFrame) -> DataFrame:
     """(persona, voice): the first hint that a voice's name begins with, whatever the case, and of such voices the first.
 
-    personas (persona, hints); voices (voice, ord, name). Names meet hints as prefixes of the hints' lengths: an equi-join.
+    personas (persona, hints); voices (voice, ord, name). Names meet hints as prefixes of the hints' lengths: an equi-join, of the first voice of
+    each prefix.
     """
     asked = personas.select("persona", F.posexplode("hints").alias("nth", "hint")).select("persona", "nth", F.lower("hint").alias("hint"))
     lengths = asked.select(F.length("hint").alias("size")).distinct().agg(F.collect_set("size").alias("sizes"))  # one row
     named = voices.select("voice", "ord", F.lower("name").alias("name")).join(F.broadcast(lengths))
     prefixes = named.select("voice", "ord", F.explode(F.array_distinct(F.transform(F.filter("sizes", lambda n: n <= F.length("name")), lambda n: F.substr("name", F.lit(1), n)))).alias("hint"))
-    return _first(asked.join(prefixes, "hint"), "nth", "ord")
+    firsts = prefixes.groupBy("hint").agg(F.min(F.struct("ord", "voice")).alias("f")).select("hint", "f.ord", "f.voice")
+    return _first(asked.join(firsts, "hint"), "nth", "ord")
+
+
+def kinds(held: DataFrame) -> DataFrame:
+    """(kind, voice, ord, extra, held): of voices that hold the same labels and have the same extra, which score alike, the first."""
+    return held.groupBy("held", "extra").agg(F.min(F.struct("ord", "voice")).alias("f")).select(F.struct("held", "extra").alias("kind"), "f.voice", "f.ord", "extra", "held")
 
 
 def by_labels(personas: DataFrame, voices: DataFrame) -> DataFrame:
     """(persona, voice): the voice whose labels and name hold most of the persona's labels, a ready-made one ahead of others with as many; the
     first of equals. Personas whose labels no voice has get the first ready-made voice, or the first of all.
 
-    personas (persona, labels); voices (voice, ord, name, labels, category).
+    personas (persona, labels); voices (voice, ord, name, labels, category). Lists of labels meet kinds of voices, never persons voices: what
+    meets grows with how many lists and kinds there are.
     """
-    wanted = personas.select("persona", F.explode("labels").alias("label"))
+    asked = personas.select("persona", F.array_sort("labels").alias("asked"))
+    wanted = asked.select("asked").distinct().select("asked", F.explode("asked").alias("label"))
     every = wanted.select("label").distinct()
     if (count := every.count()) > MOST_LABELS:
         raise ValueError(f"{count} labels; at most {MOST_LABELS} can be asked for")
@@ -43,11 +52,11 @@ def by_labels(personas: DataFrame, voices: DataFrame) -> DataFrame:
     text = F.concat(F.array_join(F.transform(F.coalesce("labels", F.array().cast("array<string>")), F.lower), " "), F.lit(" "), F.lower("name"))
     extra = F.when(F.col("category") == "premade", READY_MADE).otherwise(0.0)
     facts = voices.select("voice", "ord", text.alias("text"), extra.alias("extra")).join(listed)
-    held = facts.select("voice", "ord", "extra", F.explode(F.filter("all", lambda x: F.contains(F.col("text"), x))).alias("label"))
-    scores = wanted.join(held, "label").groupBy("persona", "voice", "ord").agg((F.count("*") + F.first("extra")).alias("score"))
-    best = _first(scores.withColumn("less", -F.col("score")), "less", "ord")
+    held = kinds(facts.select("voice", "ord", "extra", F.array_sort(F.filter("all", lambda x: F.contains(F.col("text"), x))).alias("held")))
+    scores = wanted.join(held.select("kind", "voice", "ord", "extra", F.explode("held").alias("label")), "label").groupBy("asked", "kind", "voice", "ord").agg((F.count("*") + F.first("extra")).alias("score"))
+    best = scores.groupBy("asked").agg(F.min(F.struct(-F.col("score"), "ord", "voice")).alias("b")).select("asked", "b.voice")
     fallback = facts.agg(F.min_by("voice", F.struct(-F.col("extra"), F.col("ord"))).alias("fallback"))
-    return personas.select("persona").join(best, "persona", "left").join(F.broadcast(fallback)).select("persona", F.coalesce("voice", "fallback").alias("voice"))
+    return asked.join(best, "asked", "left").join(F.broadcast(fallback)).select("persona", F.coalesce("voice", "fallback").alias("voice"))
 
 
 def resolve(personas: DataFrame, voices: DataFrame) -> DataFrame:
