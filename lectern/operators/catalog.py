@@ -33,7 +33,8 @@ def search_order(rows: DataFrame) -> DataFrame:
 def recommend(candidates: DataFrame, subjects: DataFrame, authors: DataFrame, owned: DataFrame, finished: DataFrame, limit: int = 12) -> DataFrame:
     """The best candidates (id, title, author, subjects, rating, pages, full_text) with score and up to three reasons.
 
-    subjects: at most 8 rows (key, name, weight); authors: at most 2 rows (key, name). Both are broadcast for that reason.
+    subjects: at most 8 rows (key, name, weight, and ord, the order of equal weights; by key without it); authors: at most 2 rows (key, name).
+    Both are broadcast for that reason.
     """
     from ..plans.ranks import upper_median_by_counts
 

@@ -16,10 +16,11 @@ def weight(percent: Column, done: Column, minutes: Column) -> Column:
 
 
 def taste(named: DataFrame, top: int, scaled: bool) -> DataFrame:
-    """(key, name, weight, books) of the heaviest keys. named: name, w, ord; the spelling with the smallest ord is shown."""
+    """(key, name, weight, books, ord) of the heaviest keys, of equals those with the smallest ord. named: name, w, ord; the spelling with the
+    smallest ord is shown."""
     keyed = named.withColumn("key", normalize(F.col("name"))).filter("key != ''")
     sums = keyed.groupBy("key").agg(F.min_by(F.trim("name"), "ord").alias("name"), F.round(F.sum("w"), 6).alias("weight"), F.count("*").alias("books"), F.min("ord").alias("ord"))
-    best = sums.orderBy(F.col("weight").desc(), "ord").limit(top).drop("ord")
+    best = sums.orderBy(F.col("weight").desc(), "ord").limit(top)
     if not scaled:
         return best
     return best.withColumn("weight", js_round(F.col("weight") / F.max("weight").over(Window.partitionBy(F.lit(1))), 2))

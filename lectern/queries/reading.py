@@ -140,14 +140,14 @@ def _shelf(spark, sf_dir):
 @query(f"""WITH {_SHELF}, s AS (SELECT {sql.norm('p_type')} AS key, arg_min(p_type, book_id) AS name, round(sum(w), 6) AS weight, count(*) AS books, min(book_id) AS ord FROM wt GROUP BY 1 HAVING key <> ''),
 t AS (SELECT * FROM s ORDER BY weight DESC, ord LIMIT 8) SELECT key, name, {sql.js_round('weight / max(weight) OVER ()', 2)} AS weight, books FROM t""")
 def taste_subjects(spark, sf_dir):
-    return T.taste(_shelf(spark, sf_dir).select(F.col("p_type").alias("name"), "w", F.col("book_id").alias("ord")), 8, True)
+    return T.taste(_shelf(spark, sf_dir).select(F.col("p_type").alias("name"), "w", F.col("book_id").alias("ord")), 8, True).drop("ord")
 
 
 @query(f"""WITH {_SHELF}, s AS (SELECT {sql.norm('p_brand')} AS key, arg_min(trim(p_brand), book_id) AS name, round(sum(w), 6) AS weight, count(*) AS books, min(book_id) AS ord FROM wt GROUP BY 1 HAVING key <> '')
 SELECT key, name, weight, books FROM s ORDER BY weight DESC, ord LIMIT 5""")
 def taste_authors(spark, sf_dir):
     rows = _shelf(spark, sf_dir).select(T.first_author(F.col("p_brand")).alias("name"), "w", F.col("book_id").alias("ord"))
-    return T.taste(rows, 5, False)
+    return T.taste(rows, 5, False).drop("ord")
 
 
 @query(f"""WITH {_SHELF}, f AS (SELECT list_sort(list(words) FILTER (done)) AS a, list_sort(list(words) FILTER (percent > 0.3)) AS b, list_sort(list(words)) AS c FROM wt)
