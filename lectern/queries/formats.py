@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ..plans.corpus import paragraphs
+from ..operators.narration import by_size
+from ..plans.corpus import CHAPTER, visible_lines
 from ..registry import query, table
 from ..sources.detect import sniff_column
 from ..sources.reader import books, parse_files
@@ -17,23 +18,23 @@ from . import sql
 KINDS = ("md", "html", "fb2", "xml", "tex", "rtf", "docx", "odt", "fodt", "epub", "pdb", "ztxt", "srt")
 
 
-def _rendered(spark, sf_dir, kind):
-    """(path, content): each document as a file, its chapters named Chapter 1, 2, …"""
-    paras = paragraphs(table(spark, sf_dir, "documents"))
-    lists = paras.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("c", "p", "text"))).alias("rows"))
+def _rendered(spark, sf_dir, *kinds):
+    """(path, content): each document with paragraphs as a file of each kind, its chapters named Chapter 1, 2, … No shuffle: a document's
+    paragraphs are in its own row. A block of rows is in memory at a time."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", visible_lines(F.col("text")).alias("lines")).filter(F.size("lines") > 0)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc, rows in zip(batch["doc_id"], batch["rows"], strict=True):
-                chapters: dict[int, list[str]] = {}
-                for row in rows:
-                    chapters.setdefault(row["c"], []).append(row["text"])
-                ext = "pdb" if kind == "ztxt" else kind
-                out.append((f"{doc}.{ext}", render(kind, f"Title {doc}", f"Author {doc}", [(f"Chapter {c + 1}", p) for c, p in chapters.items()])))
-            yield pd.DataFrame(out, columns=["path", "content"])
+            for block in by_size(batch, 1):
+                paths, files = [], []
+                for doc, lines in zip(block.column(0).to_pylist(), block.column(1).to_pylist(), strict=True):
+                    chapters = [(f"Chapter {k // CHAPTER + 1}", lines[k : k + CHAPTER]) for k in range(0, len(lines), CHAPTER)]
+                    for kind in kinds:
+                        paths.append(f"{doc}.{'pdb' if kind == 'ztxt' else kind}")
+                        files.append(render(kind, f"Title {doc}", f"Author {doc}", chapters))
+                yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(files, pa.binary())], names=["path", "content"])
 
-    return lists.mapInPandas(run, "path string, content binary")
+    return docs.mapInArrow(run, "path string, content binary")
 
 
 _TEXTS = f"WITH {sql.PARAS}, v AS (SELECT * FROM paras WHERE regexp_matches(text, '[\\p{{L}}\\p{{N}}]')), k AS (SELECT doc_id, c, count(*) AS n, sum(pwc) AS w FROM v GROUP BY ALL)"
@@ -65,8 +66,5 @@ def parse_srt(spark, sf_dir):
 @query("SELECT CAST(doc_id AS VARCHAR) || '.' || k AS path, CASE k WHEN 'ztxt' THEN 'pdb' WHEN 'docx' THEN 'zip' WHEN 'odt' THEN 'zip' WHEN 'epub' THEN 'zip' ELSE k END AS kind FROM documents, (SELECT unnest(['html', 'fb2', 'rtf', 'docx', 'tex', 'fodt', 'pdb']) AS k)")
 def sniff_type(spark, sf_dir):
     """Formats by first bytes, inside Catalyst."""
-    parts = [_rendered(spark, sf_dir, k) for k in ("html", "fb2", "rtf", "docx", "tex", "fodt", "pdb")]
-    files = parts[0]
-    for p in parts[1:]:
-        files = files.union(p)
+    files = _rendered(spark, sf_dir, "html", "fb2", "rtf", "docx", "tex", "fodt", "pdb")
     return files.select("path", sniff_column(F.col("content")).alias("kind"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,24 +54,32 @@ def _rows(path: str, data: bytes) -> Iterator[tuple]:
         yield path, 0, None, None, None, None, None, None, None, None, f"{type(problem).__name__}: {problem}"[:500]
 
 
+#: Rows and characters that go on at once.
+OUT_ROWS, OUT_CHARS = 5000, 1 << 20
+_SCHEMA = pa.schema([(c.split()[0], pa.int32() if c.endswith(" int") else pa.string()) for c in PARAGRAPHS.split(", ")])
+
+
 def parse_files(files: DataFrame) -> DataFrame:
-    """PARAGRAPHS of files (path, content). One file is in memory at a time; output goes on in small batches."""
+    """PARAGRAPHS of files (path, content). Of a batch one file at a time is taken apart; output goes on in small batches, by rows and characters."""
 
     ship(files.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in PARAGRAPHS.split(", ")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
         for batch in batches:
             held: list[tuple] = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                for row in _rows(path, bytes(content)):
+            size = 0
+            for path, content in zip(batch.column(0), batch.column(1), strict=True):
+                for row in _rows(path.as_py(), content.as_py()):
                     held.append(row)
-                    if len(held) >= 5000:
-                        yield pd.DataFrame(held, columns=names)
-                        held = []
-            yield pd.DataFrame(held, columns=names)
-
-    return files.select("path", "content").mapInPandas(run, PARAGRAPHS)
+                    size += len(row[9] or "")
+                    if len(held) >= OUT_ROWS or size >= OUT_CHARS:
+                        yield out(held)
+                        held, size = [], 0
+            if held:
+                yield out(held)
+
+    return files.select("path", "content").mapInArrow(run, PARAGRAPHS)
 
 
 def read_books(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
