@@ -22,8 +22,11 @@ def shingles(tokens: str):
 def postings(paras: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """(doc_id, key, c, p, i, n): at most CAP postings of a key and book in reading order; n is how many there are.
 
-    only: keys to look for (column key). They are joined before postings are ranked, so a query touches no more than its own keys.
+    only: keys to look for (column key). They are joined before postings are ranked, so a query touches no more than its own keys. Without it
+    paragraphs go to their book first: what is ranked in a book is never exchanged, which is many times its text.
     """
+    if only is None:
+        paras = paras.repartition("doc_id")
     at = paras.select("doc_id", "c", "p", norm_words(F.col("text")).alias("t")).select("doc_id", "c", "p", F.posexplode(shingles("t")).alias("i", "key"))
     if only is not None:
         at = at.join(only, "key", "left_semi")
