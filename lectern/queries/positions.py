@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import js_round, words
 from ..operators import locators as L
 from ..plans.corpus import offsets, paragraphs
+from ..plans.shared import kept
 from ..registry import query, table
 from . import sql
 
@@ -18,6 +19,11 @@ def _paras(spark, sf_dir):
     return paragraphs(table(spark, sf_dir, "documents"))
 
 
+def _placed(paras):
+    """Sentences with their places, kept: numbers alone, so that texts are taken apart once however often they are read."""
+    return kept(L.sentence_offsets(paras), "sentences")
+
+
 @query(f"{_BASE} SELECT doc_id, c, p, pwc, g, total FROM offs")
 def locator_offsets(spark, sf_dir):
     return offsets(_paras(spark, sf_dir))
@@ -31,7 +37,7 @@ def chapter_words(spark, sf_dir):
 @query(f"{_PLACED} SELECT doc_id, c, p, s, n_words + 2 AS w, g + n_words - 1 AS g FROM placed")
 def loc_to_global(spark, sf_dir):
     """A word past the end of each sentence, which is clamped to its last word."""
-    placed = L.sentence_offsets(_paras(spark, sf_dir))
+    placed = _placed(_paras(spark, sf_dir))
     return L.loc_to_global(placed.select("doc_id", "c", "p", "s", (F.col("n_words") + 2).alias("w")), placed)
 
 
@@ -43,14 +49,14 @@ def global_to_loc(spark, sf_dir):
     paras = _paras(spark, sf_dir)
     offs = offsets(paras)
     points = offs.select("doc_id", (F.col("g") + F.floor(F.col("pwc") / 2)).alias("q")).union(offs.select("doc_id", F.col("total") + 5).distinct())
-    return L.global_to_loc(points, L.sentence_offsets(paras))
+    return L.global_to_loc(points, _placed(paras))
 
 
 @query(f"{_BASE} SELECT count(*) AS points, CAST(0 AS BIGINT) AS mismatches FROM offs")
 def locator_round_trip(spark, sf_dir):
     """g to locator to g, over the middle of all paragraphs."""
     paras = _paras(spark, sf_dir)
-    placed = L.sentence_offsets(paras)
+    placed = _placed(paras)
     points = offsets(paras).select("doc_id", (F.col("g") + F.floor(F.col("pwc") / 2)).alias("q"))
     back = L.loc_to_global(L.global_to_loc(points, placed), placed)
     return back.agg(F.count("*").alias("points"), F.count_if(~F.col("g").eqNullSafe(F.col("q"))).alias("mismatches"))
