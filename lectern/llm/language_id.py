@@ -13,12 +13,12 @@ from pyspark.sql.types import ArrayType, DoubleType, StructType
 from .words import buffers, steps
 from .work import TEXTS, as_text, ascii_lower, boxed, dealt, quoted, stored, unboxed
 
-#: Labelled rows of each language from which the text model is fitted, about: those whose hash lies under the share that gives so many.
-SAMPLE_ROWS = 5000
 #: Hashed byte trigrams.
 GRAMS = 1 << 16
+#: Parts in which a language's counts travel to be added up, so that no task gets all of one.
+PARTS = 64
 #: Trigrams overlap and repeat each other's evidence, so their sum counts by a factor: of these, the one that explains best the labels of
-#: the part of the sample that is held out from counting (one row in HELD_OUT). It is the same for texts of any length.
+#: the rows held out from the first count (one in HELD_OUT). It is the same for texts of any length.
 TEMPERS, HELD_OUT = (1.0, 1 / 2, 1 / 3, 1 / 4, 1 / 6, 1 / 10, 1 / 16, 1 / 30), 5
 #: Share of labels that may be wrong, so that a few such rows do not choose the factor.
 LABEL_NOISE = 0.02
@@ -77,67 +77,71 @@ class TextModel:
         return out, sizes
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", most_rows: int = SAMPLE_ROWS) -> TextModel:
-    """Counts trigrams per language over about most_rows labelled rows of each language, whole texts.
+def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", most_rows: int | None = None) -> TextModel:
+    """Counts trigrams per language over all labelled rows, whole texts. Null labels are left out; repeated rows count as often as they come.
 
-    A row is taken when the hash of all its columns lies under the share wanted of its label, and the row of least hash always: each
-    label of the table is in the model, however rare. No text is sorted or sent to find the sample, and the choice does not depend on
-    the order of rows. Null labels are left out. Repeated rows are read once and counted as often as they come.
+    Each task adds up its own rows, and sums of tasks are added in PARTS of a language's counts: what travels grows with the number of
+    tasks, not of texts. most_rows: if a caller wants no more than about so many rows of each language, those whose hash (of all columns)
+    lies under the share wanted of the label, and the row of least hash always: each label of the table is in the model, however rare.
     """
     rows = labelled.select(as_text(F.col(text_col)).alias("text"), F.col(label_col).cast("string").alias("lang"), F.xxhash64(*[F.col(quoted(c)) for c in labelled.columns]).alias("hash")).filter("lang is not null")
-    bounds = []
-    for lang, n, least in rows.groupBy("lang").agg(F.count("*"), F.min("hash")).collect():
-        bounds.append((lang, 2**63 - 1 if n <= most_rows else max(least, int(most_rows / n * 2**64) - 2**63)))
-    # One row for each language of the model, which the driver holds anyway.
-    wanted = F.broadcast(labelled.sparkSession.createDataFrame(bounds, "lang string, bound long"))
-    sample = rows.join(wanted, "lang").filter("hash <= bound").groupBy("lang", "hash").agg(F.first("text").alias("text"), F.count("*").alias("n")).select("text", "lang", "n", F.pmod("hash", F.lit(1_000_003)).alias("pick")).repartition(8)
+    if most_rows is not None:
+        bounds = []
+        for lang, n, least in rows.groupBy("lang").agg(F.count("*"), F.min("hash")).collect():
+            bounds.append((lang, 2**63 - 1 if n <= most_rows else max(least, int(most_rows / n * 2**64) - 2**63)))
+        # One row for each language of the model, which the driver holds anyway.
+        wanted = F.broadcast(labelled.sparkSession.createDataFrame(bounds, "lang string, bound long"))
+        rows = rows.join(wanted, "lang").filter("hash <= bound")
+    rows = dealt(rows.select("text", "lang", (F.pmod(F.pmod("hash", F.lit(1_000_003)), F.lit(HELD_OUT)) == 0).alias("out")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[str, bool], np.ndarray] = {}
         for batch in batches:
             names, kind = np.unique(np.array(batch.column(1).to_pylist(), str), return_inverse=True)
-            often, out = batch.column(2).to_numpy(), batch.column(3).to_numpy() % HELD_OUT == 0
-            cell = kind * 2 + out
+            cell = kind * 2 + batch.column(2).to_numpy(zero_copy_only=False)
             for at, texts in steps(batch.column(0), STEP):
                 ids, sizes = grams(texts)
-                own, weight = (np.repeat(x[at : at + len(texts)], sizes) for x in (cell, often))
-                sums = np.bincount(own * GRAMS + ids, weight, 2 * len(names) * GRAMS).reshape(-1, GRAMS)
-                for k in np.unique(cell[at : at + len(texts)]).tolist():
+                here, place = np.unique(cell[at : at + len(texts)], return_inverse=True)
+                sums = np.bincount(np.repeat(place, sizes) * GRAMS + ids, minlength=len(here) * GRAMS).reshape(-1, GRAMS)
+                for k, own in zip(here.tolist(), sums, strict=True):
                     key = (str(names[k // 2]), bool(k % 2))
-                    total[key] = total.get(key, 0) + sums[k]
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in total]), pa.array([o for _, o in total]), pa.array([x.astype("<i8").tobytes() for x in total.values()], pa.binary())], names=["lang", "out", "counts"])
+                    total[key] = total.get(key, 0) + own
+        for (lang, out), sums in total.items():
+            parts = pa.array([x.astype("<i8").tobytes() for x in np.split(sums, PARTS)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * PARTS), pa.array([out] * PARTS), pa.array(np.arange(PARTS), pa.int32()), parts], names=["lang", "out", "part", "counts"])
 
     def merge(group: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(x.as_py(), "<i8") for x in group["counts"]], axis=0)
-        return pa.table({"lang": group["lang"].slice(0, 1), "out": group["out"].slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+        total = np.zeros(GRAMS // PARTS, np.int64)
+        for x in group["counts"]:
+            total += np.frombuffer(x.as_py(), "<i8")
+        return pa.table({**{c: group[c].slice(0, 1) for c in ("lang", "out", "part")}, "counts": pa.array([total.tobytes()], pa.binary())})
 
-    sample = stored(sample, "language-sample", TEXTS)
     sums: dict[tuple[str, bool], np.ndarray] = {}
-    kind = "lang string, out boolean, counts binary"
-    for r in dealt(sample).mapInArrow(count, kind).groupBy("lang", "out").applyInArrow(merge, kind).toLocalIterator():
-        sums[r["lang"], r["out"]] = np.frombuffer(r["counts"], "<i8")
+    kind = "lang string, out boolean, part int, counts binary"
+    for r in stored(rows.mapInArrow(count, kind), "gram-counts", TEXTS).groupBy("lang", "out", "part").applyInArrow(merge, kind).toLocalIterator():
+        own = np.frombuffer(r["counts"], "<i8")
+        sums.setdefault((r["lang"], r["out"]), np.zeros(GRAMS, np.int64))[r["part"] * len(own) : (r["part"] + 1) * len(own)] = own
     languages = sorted({lang for lang, _ in sums})
     none = np.zeros(GRAMS, np.int64)
     counted, held = (np.array([sums.get((x, out), none) for x in languages], np.float64).reshape(len(languages), GRAMS) for out in (False, True))
     first = TextModel(languages, counted)
 
     def loss(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(TEMPERS))
         for batch in batches:
             for at, texts in steps(batch.column(0), STEP):
                 right = np.array([languages.index(x) for x in batch.column(1).slice(at, len(texts)).to_pylist()])
                 fit_, _ = first.sums(texts)
-                weight = batch.column(2).to_numpy()[at : at + len(texts)]
-                for temper in TEMPERS:
+                for k, temper in enumerate(TEMPERS):
                     log = fit_ * temper
                     log = log - log.max(axis=1, keepdims=True)
                     share = np.exp(log[np.arange(len(right)), right]) / np.exp(log).sum(axis=1)
-                    lost = -np.log((1 - LABEL_NOISE) * share + LABEL_NOISE / len(languages))
-                    yield pa.RecordBatch.from_arrays([pa.array([temper]), pa.array([float((lost * weight).sum())])], names=["temper", "lost"])
+                    total[k] -= np.log((1 - LABEL_NOISE) * share + LABEL_NOISE / len(languages)).sum()
+        yield pa.RecordBatch.from_arrays([pa.array(TEMPERS), pa.array(total)], names=["temper", "lost"])
 
     lost: dict[float, float] = {}
     if len(languages) > 1:
-        found = dealt(sample).filter(F.pmod("pick", F.lit(HELD_OUT)) == 0).mapInArrow(loss, "temper double, lost double").groupBy("temper").agg(F.sum("lost").alias("lost"))
+        found = stored(rows.filter("out").mapInArrow(loss, "temper double, lost double"), "losses", TEXTS).groupBy("temper").agg(F.sum("lost").alias("lost"))
         lost = {r["temper"]: round(r["lost"], 6) for r in found.collect()}
     return TextModel(languages, counted + held, min(TEMPERS, key=lambda t: (lost[t], t)) if lost else TEMPERS[2])
 

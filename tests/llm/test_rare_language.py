@@ -40,3 +40,18 @@ def test_stage_keeps_rare_languages(spark, monkeypatch):
     kept = Counter(x.doc_id for x in P.language_stage(spark, frame(spark, rows, clash=False), "").collect())
     assert kept[10_000] == kept[10_001] == 1
     assert UNKNOWN not in fit(frame(spark, rows, clash=False)).languages
+
+
+def test_every_labelled_row_counts(spark):
+    """Counts are of all rows, however many a label has: a trigram that few of 6000 rows hold is counted in each of them, and parts of counts meet."""
+    import numpy as np
+    import pyarrow as pa
+
+    from lectern.llm.language_id import GRAMS, NOISE, grams
+
+    rows = [(k, "aaaa", "a", "s") for k in range(6000)] + [(k, f"bbb {'x' * (k % 5)}", "b", "s") for k in range(6000, 6010)]
+    model = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(7))
+    for k, lang in enumerate(("a", "b")):
+        counts = np.bincount(grams(pa.array([r[1] for r in rows if r[2] == lang]))[0], minlength=GRAMS)
+        want = np.log((1 - NOISE) * (counts + 0.5) / (counts.sum() + 0.5 * GRAMS) + NOISE / GRAMS).astype(np.float32)
+        assert model.languages[k] == lang and (model.log_p[k] == want).all()
