@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import count_words, normalize
 from ..plans.asof import asof_join
 from ..plans.ranks import upper_median_by_counts
+from ..plans.shared import kept
 
 #: Fixed values of lines: the least step in y and its share of the smaller height that part two lines; the gap, in heights, that is a blank.
 LINE_STEP, LINE_SHARE, BLANK = 2.0, 0.6, 0.12
@@ -48,11 +51,12 @@ def items_to_lines(items: DataFrame) -> DataFrame:
     step = F.lag("y").over(along) - F.col("y")
     parted = step >= F.greatest(F.lit(LINE_STEP), LINE_SHARE * F.least(F.lag("h").over(along), F.col("h")))
     rows = rows.withColumn("line", F.sum(F.when(parted, 1).otherwise(0)).over(along))
-    inside = _ordered([*_PAGE, "line"], *order)
-    gap = F.col("x") - F.max("right").over(_before(inside))
-    blank = (gap > BLANK * F.max("h").over(_before(inside))) & ~F.lag("str").over(inside).endswith(" ") & ~F.col("str").startswith(" ")
-    rows = rows.withColumn("nth", F.row_number().over(inside)).withColumn("piece", F.concat(F.when(blank, " ").otherwise(""), "str"))
-    pieces = F.transform(F.array_sort(F.collect_list(F.struct("nth", "piece"))), lambda p: p["piece"])
+    # What stands before in the line, in the order of the page: the greatest of (line, value) so far is of the row's own line or of an earlier one.
+    upto = lambda c: F.max(F.struct("line", c)).over(_before(along))
+    rows = rows.withColumns({"nth": F.row_number().over(along), "end": upto("right"), "high": upto("h"), "last": F.lag("str").over(along)})
+    blank = (F.col("end.line") == F.col("line")) & (F.col("x") - F.col("end.right") > BLANK * F.col("high.h")) & ~F.col("last").endswith(" ") & ~F.col("str").startswith(" ")
+    rows = rows.withColumn("piece", F.concat(F.when(blank, " ").otherwise(""), "str"))
+    pieces = F.transform(F.sort_array(F.collect_list(F.struct("nth", "piece"))), lambda p: p["piece"])
     text = F.trim(F.regexp_replace(F.array_join(pieces, ""), r"(?U)\s+", " "))
     first = F.min(F.struct("nth", "x", "y"))
     lines = rows.groupBy(*_PAGE, "line").agg(text.alias("text"), first.alias("first"), F.max("right").alias("x_end"), F.max("h").alias("h"))
@@ -76,19 +80,28 @@ def _paged(lines: DataFrame) -> DataFrame:
     return lines.groupBy("doc_id").agg(F.count_distinct("page").alias("pages")).filter(F.col("pages") >= LEAST_PAGES)
 
 
+def _repeated(keyed: DataFrame, paged: DataFrame) -> DataFrame:
+    counted = keyed.select("doc_id", "page", "key").filter(F.length("key") >= 2).distinct().groupBy("doc_id", "key").agg(F.count("*").alias("on_pages")).join(paged, "doc_id")
+    return counted.filter(F.col("on_pages") >= F.greatest(F.lit(LEAST_PAGES), F.ceil(PAGE_SHARE * F.col("pages")))).select("doc_id", "key", "on_pages")
+
+
 def furniture(lines: DataFrame) -> DataFrame:
     """(doc_id, key, on_pages): edge lines, by keys of two letters or more, on at least 3 pages and 30% of them, in documents of 3 pages or more."""
-    keyed = edges(lines).select("doc_id", "page", line_key(F.col("text")).alias("key")).filter(F.length("key") >= 2).distinct()
-    counted = keyed.groupBy("doc_id", "key").agg(F.count("*").alias("on_pages")).join(_paged(lines), "doc_id")
-    return counted.filter(F.col("on_pages") >= F.greatest(F.lit(LEAST_PAGES), F.ceil(PAGE_SHARE * F.col("pages")))).select("doc_id", "key", "on_pages")
+    return _repeated(edges(lines).withColumn("key", line_key(F.col("text"))), _paged(lines))
 
 
 def strip_furniture(lines: DataFrame) -> DataFrame:
-    """lines without running heads and without page numbers (arabic or roman) at the edges of pages, in documents of 3 pages or more."""
+    """lines without running heads and without page numbers (arabic or roman) at the edges of pages, in documents of 3 pages or more.
+
+    Lines are kept, and so are the keys of their edges, which tell all the rest: every page with lines has edges.
+    """
+    lines = kept(lines, "lines")
     number = F.regexp_replace("text", r"\s", "").rlike("(?i)^[0-9ivxlc]{1,6}$")
-    at_edge = edges(lines).join(_paged(lines).select("doc_id"), "doc_id", "left_semi").withColumn("key", line_key(F.col("text")))
-    gone = at_edge.join(furniture(lines), ["doc_id", "key"], "left").filter(F.col("on_pages").isNotNull() | number)
-    return lines.join(gone.select("doc_id", "page", "line"), ["doc_id", "page", "line"], "left_anti")
+    at_edge = kept(edges(lines).select("doc_id", "page", "line", line_key(F.col("text")).alias("key"), number.alias("number")), "edges")
+    paged = _paged(at_edge)
+    gone = at_edge.join(paged.select("doc_id"), "doc_id", "left_semi").join(_repeated(at_edge, paged), ["doc_id", "key"], "left").filter(F.col("on_pages").isNotNull() | F.col("number"))
+    gone = gone.groupBy(*_PAGE).agg(F.collect_set("line").alias("gone"))  # four lines a page at most
+    return lines.join(gone.hint("shuffle_hash"), _PAGE, "left").filter(F.col("gone").isNull() | ~F.array_contains("gone", F.col("line"))).select(*lines.columns)
 
 
 def body_height(lines: DataFrame) -> DataFrame:
@@ -107,10 +120,12 @@ def lines_to_paragraphs(lines: DataFrame) -> DataFrame:
     paragraph before unless a wide gap parts them, an indent follows a line without one, or the line before is short and ends as a
     sentence does. Heights are the document's usual one, widths the page's widest line.
     """
-    whole, along = Window.partitionBy(*_PAGE), _ordered(_PAGE, "line")
+    along = _ordered(_PAGE, "line")
+    whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    lines = kept(lines, "body")
     words = count_words(F.col("text"))
     heading = (F.col("h") > HEADING * F.col("body")) & (words <= HEADING_WORDS) & ~F.col("text").rlike("[,;:]$") & ~(F.col("text").rlike(r"[a-z]\.$") & (words > SENTENCE_WORDS))
-    rows = lines.join(body_height(lines), "doc_id").withColumns({"heading": heading, "width": F.col("x_end") - F.col("x"), "inset": F.col("x") - F.min("x").over(whole)})
+    rows = lines.join(body_height(lines).hint("shuffle_hash"), "doc_id").withColumns({"heading": heading, "width": F.col("x_end") - F.col("x"), "inset": F.col("x") - F.min("x").over(whole)})
     rows = rows.withColumn("widest", F.max("width").over(whole))
     prev = lambda c: F.lag(c).over(along)
     gap = prev("y") - F.col("y") > GAP * F.col("body")
@@ -118,7 +133,7 @@ def lines_to_paragraphs(lines: DataFrame) -> DataFrame:
     short = (prev("width") < SHORT * F.col("widest")) & prev("text").rlike(r"[.!?…\"”’')\]]$")
     new = prev("line").isNull() | F.col("heading") | prev("heading") | gap | indent | short
     rows = rows.withColumn("block", F.sum(new.cast("int")).over(along))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda t: t["text"]), "\n")
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda t: t["text"]), "\n")
     return rows.groupBy(*_PAGE, "block").agg(_rejoined(joined).alias("text"), F.first("heading").alias("heading"))
 
 
@@ -138,12 +153,13 @@ def merge_pages(blocks: DataFrame) -> DataFrame:
     w = _ordered(["doc_id"], "page", "block")
     carries = ~F.col("heading") & ~F.lag("heading").over(w) & ~F.lag("text").over(w).rlike(r"[.!?…\"”’')\]:]$") & F.col("text").rlike(r"^[a-z(“\"‘']") & (F.col("page") == F.lag("page").over(w) + 1)
     rows = blocks.withColumn("carries", F.coalesce(carries, F.lit(False)))
-    rows = rows.withColumn("run", F.sum((~F.col("carries")).cast("int")).over(w))
-    place = F.row_number().over(_ordered(["doc_id", "run"], "page", "block")) - 1
-    rows = rows.withColumn("ord", F.sum((place % 2 == 0).cast("int")).over(_ordered(["doc_id", "run"], "page", "block")))
-    parts = rows.groupBy("doc_id", "run", "ord").agg(F.min("page").alias("page"), F.array_sort(F.collect_list(F.struct("page", "block", "text"))).alias("parts"), F.first("heading").alias("heading"))
-    text = _rejoined(F.array_join(F.transform("parts", lambda t: t["text"]), "\n"))
-    return parts.select("doc_id", F.row_number().over(_ordered(["doc_id"], "run", "ord")).alias("ord"), "page", text.alias("text"), "heading")
+    # A part begins where a paragraph does not go on, and at every second one of those that do.
+    rows = rows.withColumn("nth", F.row_number().over(w))
+    rows = rows.withColumn("place", F.col("nth") - F.max(F.when(~F.col("carries"), F.col("nth"))).over(w))
+    rows = rows.withColumn("ord", F.sum((F.col("place") % 2 == 0).cast("int")).over(w).cast("int"))
+    parts = rows.groupBy("doc_id", "ord").agg(F.min("page").alias("page"), F.sort_array(F.collect_list(F.struct("page", "block", "text"))).alias("parts"), F.first("heading").alias("heading"))
+    text = F.when(F.size("parts") == 1, _rejoined(F.col("parts")[0]["text"])).otherwise(_rejoined(F.array_join(F.transform("parts", lambda t: t["text"]), "\n")))
+    return parts.select("doc_id", "ord", "page", text.alias("text"), "heading")
 
 
 def flat_outline(outlines: DataFrame) -> DataFrame:
@@ -199,20 +215,29 @@ def by_pages(blocks: DataFrame, documents: DataFrame) -> DataFrame:
 def chapter_strategy(blocks: DataFrame, outline: DataFrame, documents: DataFrame) -> DataFrame:
     """(doc_id, strategy): outline with two entries or more, else headings if there are a fitting number, else page buckets."""
     heads = blocks.groupBy("doc_id").agg(F.count_if("heading").alias("heads"))
-    entries = outline.groupBy("doc_id").agg(F.count("*").alias("entries"))
+    return _entries(outline, documents).join(heads, "doc_id", "left").select("doc_id", _strategy().alias("strategy"))
+
+
+def _entries(outline: DataFrame, documents: DataFrame) -> DataFrame:
+    return documents.join(outline.groupBy("doc_id").agg(F.count("*").alias("entries")), "doc_id", "left")
+
+
+def _strategy() -> Column:
     fits = F.col("heads").between(F.lit(HEADS), F.greatest(F.lit(MOST_HEADS), HEADS_A_PAGE * F.col("pages")))
-    facts = documents.join(heads, "doc_id", "left").join(entries, "doc_id", "left")
-    return facts.select("doc_id", F.when(F.col("entries") >= ENTRIES, "outline").when(fits, "headings").otherwise("pages").alias("strategy"))
+    return F.when(F.col("entries") >= ENTRIES, "outline").when(fits, "headings").otherwise("pages")
 
 
 def chapters(blocks: DataFrame, outline: DataFrame, documents: DataFrame) -> DataFrame:
     """(doc_id, strategy, c, title, p, page, text): each document's blocks in chapters by its own strategy; chapters without text are none."""
-    chosen = chapter_strategy(blocks, outline, documents)
-    mine = lambda name: blocks.join(chosen.filter(F.col("strategy") == name).select("doc_id"), "doc_id", "left_semi")
-    found = by_outline(mine("outline"), outline).unionByName(by_headings(mine("headings"))).unionByName(by_pages(mine("pages"), documents))
+    facts = _entries(outline, documents).select("doc_id", "pages", "entries").hint("shuffle_hash")
+    counted = blocks.withColumn("heads", F.sum(F.col("heading").cast("int")).over(Window.partitionBy("doc_id")))
+    chosen = kept(counted.join(facts, "doc_id").select(*blocks.columns, _strategy().alias("strategy")), "blocks")
+    mine = lambda name: chosen.filter(F.col("strategy") == name).drop("strategy")
+    by = {"outline": by_outline(mine("outline"), outline), "headings": by_headings(mine("headings")), "pages": by_pages(mine("pages"), documents)}
+    found = reduce(DataFrame.unionByName, [rows.withColumn("strategy", F.lit(name)) for name, rows in by.items()])
     c = F.dense_rank().over(_ordered(["doc_id"], "start")) - 1
     p = F.row_number().over(_ordered(["doc_id", "start"], "ord")) - 1
-    return found.join(chosen, "doc_id").select("doc_id", "strategy", c.alias("c"), "title", p.alias("p"), "page", "text")
+    return found.select("doc_id", "strategy", c.alias("c"), "title", p.alias("p"), "page", "text")
 
 
 def read_pages(items: DataFrame, outlines: DataFrame, documents: DataFrame, recognised: DataFrame | None = None) -> DataFrame:

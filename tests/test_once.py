@@ -26,3 +26,10 @@ def test_shingles_stay_in_their_book(spark):
 @pytest.mark.parametrize("name, work", [("loc_to_global", "split("), ("duplicate_docs", "sha2(")])
 def test_texts_are_taken_apart_once(spark, name, work):
     assert work not in plan(registry.QUERIES[name](spark, DATA))
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+@pytest.mark.parametrize("name", ["page_body", "page_paragraphs", "page_chapters"])
+def test_pages_are_laid_out_once(spark, name):
+    """What is left to do after lines or blocks are kept makes no items again."""
+    assert "Running head" not in plan(registry.QUERIES[name](spark, DATA))
