@@ -240,3 +240,17 @@ def test_store(spark):
 def test_labels(spark):
     assert one(spark, taste.length_band(F.lit(59_999))) == "Short novel"
     assert one(spark, taste.archetype(F.lit("sea history"), F.lit(0.7), F.lit(0), F.lit(0), F.lit(50))) == "Deep-diver, mostly by ear"
+
+
+def test_syllables_of_whole_texts(spark):
+    """Marks of a text say for each word what syllables() says, and readability takes no word at a time."""
+    import random
+
+    r = random.Random(7)
+    some = ["".join(r.choice("aeiouybcdlstxyé'1E-") for _ in range(r.randint(1, 9))) + r.choice(["", "es", "ed", "e", "le", "s"]) for _ in range(3000)]
+    rows = [(k, r.choice([" ", "\u00a0", "\u3000 ", "\n"]).join(some[k : k + r.randint(1, 12)])) for k in range(len(some))]
+    df = spark.createDataFrame(rows, "k int, text string")
+    own = F.transform(T.words(F.col("text")), T.syllables)
+    marks = T.syllable_marks(F.col("text"))
+    got = df.select("text", F.aggregate(own, F.lit(0), lambda a, x: a + x), F.regexp_count(marks, F.lit(T.SOUNDS)), F.size(F.filter(own, lambda x: x >= 3)), F.regexp_count(marks, F.lit(T.LONG)))
+    assert [tuple(x) for x in got.collect() if x[1] != x[2] or x[3] != x[4]] == []
