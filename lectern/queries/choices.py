@@ -12,6 +12,7 @@ from ..operators import mapping as P
 from ..operators import narration as N
 from ..operators.sessions import micros
 from ..plans.corpus import paragraphs
+from ..plans.shared import kept
 from ..registry import query, table
 from . import library, narration, positions, sql
 from .library import _calibration
@@ -151,7 +152,7 @@ l AS (SELECT doc_id, c || '.' || p AS at, c + 1 AS c, p + 3 AS p FROM offs), a A
 SELECT d.doc_id, d.at, d.c, d.p, d.s, greatest(0, least(4, n_words - 1)) AS w FROM d JOIN placed USING (doc_id, c, p, s)""")
 def clamp_locators(spark, sf_dir):
     """Positions three paragraphs down in the next chapter, third sentence, fifth word."""
-    placed = _placed(spark, sf_dir)
+    placed = kept(_placed(spark, sf_dir).select("doc_id", "c", "p", "s", "n_words"), "placed")  # read three times
     locs = paragraphs(table(spark, sf_dir, "documents")).select("doc_id", F.concat_ws(".", "c", "p").alias("at"), (F.col("c") + 1).alias("c"), (F.col("p") + 3).alias("p"), F.lit(2).alias("s"), F.lit(4).alias("w"))
     return H.clamp_locator(locs, placed)
 

@@ -33,3 +33,8 @@ def test_texts_are_taken_apart_once(spark, name, work):
 def test_pages_are_laid_out_once(spark, name):
     """What is left to do after lines or blocks are kept makes no items again."""
     assert "Running head" not in plan(registry.QUERIES[name](spark, DATA))
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+def test_sentences_are_found_once_to_clamp(spark):
+    assert "messrs" not in plan(registry.QUERIES["clamp_locators"](spark, DATA))
