@@ -38,3 +38,12 @@ def test_pages_are_laid_out_once(spark, name):
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
 def test_sentences_are_found_once_to_clamp(spark):
     assert "messrs" not in plan(registry.QUERIES["clamp_locators"](spark, DATA))
+
+
+def test_normal_forms_look_marks_up_in_no_table(spark):
+    from pyspark.sql import functions as F
+
+    from lectern.functions.text import DASHES, QUOTES, normalize
+
+    rows = spark.createDataFrame([("it`s a well—known ‘Straße’ - “Ænd” «x» y",)], "text string").select(normalize(F.col("text")).alias("n"))
+    assert QUOTES + DASHES not in plan(rows) and rows.first().n == "its a wellknown strasse aend x y"
