@@ -212,17 +212,12 @@ def by_pages(blocks: DataFrame, documents: DataFrame) -> DataFrame:
     return rows.withColumns({"start": start, "title": title}).select(*_CHAPTERED)
 
 
-def chapter_strategy(blocks: DataFrame, outline: DataFrame, documents: DataFrame) -> DataFrame:
-    """(doc_id, strategy): outline with two entries or more, else headings if there are a fitting number, else page buckets."""
-    heads = blocks.groupBy("doc_id").agg(F.count_if("heading").alias("heads"))
-    return _entries(outline, documents).join(heads, "doc_id", "left").select("doc_id", _strategy().alias("strategy"))
-
-
 def _entries(outline: DataFrame, documents: DataFrame) -> DataFrame:
     return documents.join(outline.groupBy("doc_id").agg(F.count("*").alias("entries")), "doc_id", "left")
 
 
 def _strategy() -> Column:
+    """Outline with two entries or more, else headings if there are a fitting number, else page buckets."""
     fits = F.col("heads").between(F.lit(HEADS), F.greatest(F.lit(MOST_HEADS), HEADS_A_PAGE * F.col("pages")))
     return F.when(F.col("entries") >= ENTRIES, "outline").when(fits, "headings").otherwise("pages")
 
