@@ -18,10 +18,12 @@ from . import sql
 KINDS = ("md", "html", "fb2", "xml", "tex", "rtf", "docx", "odt", "fodt", "epub", "pdb", "ztxt", "srt")
 
 
-def _rendered(spark, sf_dir, *kinds):
+def _rendered(spark, sf_dir, *kinds, blank=False):
     """(path, content): each document with paragraphs as a file of each kind, its chapters named Chapter 1, 2, … No shuffle: a document's
-    paragraphs are in its own row. A block of rows is in memory at a time."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", visible_lines(F.col("text")).alias("lines")).filter(F.size("lines") > 0)
+    paragraphs are in its own row. A block of rows is in memory at a time. blank: documents without paragraphs are files too. Without an id
+    a document has no path."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", visible_lines(F.col("text")).alias("lines"))
+    docs = docs if blank else docs.filter(F.size("lines") > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -30,7 +32,7 @@ def _rendered(spark, sf_dir, *kinds):
                 for doc, lines in zip(block.column(0).to_pylist(), block.column(1).to_pylist(), strict=True):
                     chapters = [(f"Chapter {k // CHAPTER + 1}", lines[k : k + CHAPTER]) for k in range(0, len(lines), CHAPTER)]
                     for kind in kinds:
-                        paths.append(f"{doc}.{'pdb' if kind == 'ztxt' else kind}")
+                        paths.append(None if doc is None else f"{doc}.{'pdb' if kind == 'ztxt' else kind}")
                         files.append(render(kind, f"Title {doc}", f"Author {doc}", chapters))
                 yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(files, pa.binary())], names=["path", "content"])
 
@@ -65,6 +67,6 @@ def parse_srt(spark, sf_dir):
 
 @query("SELECT CAST(doc_id AS VARCHAR) || '.' || k AS path, CASE k WHEN 'ztxt' THEN 'pdb' WHEN 'docx' THEN 'zip' WHEN 'odt' THEN 'zip' WHEN 'epub' THEN 'zip' ELSE k END AS kind FROM documents, (SELECT unnest(['html', 'fb2', 'rtf', 'docx', 'tex', 'fodt', 'pdb']) AS k)")
 def sniff_type(spark, sf_dir):
-    """Formats by first bytes, inside Catalyst."""
-    files = _rendered(spark, sf_dir, "html", "fb2", "rtf", "docx", "tex", "fodt", "pdb")
+    """Formats by first bytes, inside Catalyst. A document without paragraphs has a format all the same."""
+    files = _rendered(spark, sf_dir, "html", "fb2", "rtf", "docx", "tex", "fodt", "pdb", blank=True)
     return files.select("path", sniff_column(F.col("content")).alias("kind"))

@@ -21,9 +21,9 @@ _BYTES = {"epub": containers.epub, "docx": containers.docx, "odt": containers.od
 _XML = {"fb2": xml_formats.fictionbook, "xml": xml_formats.generic, "fodt": lambda data, title: xml_formats.opendocument(data, None, title)}
 
 
-def parse_file(name: str, data: bytes, declared: str | None = None) -> Iterator[Book]:
+def parse_file(name: str | None, data: bytes, declared: str | None = None) -> Iterator[Book]:
     """The books in a file; ValueError says why there is none."""
-    kind, title = by_name(name, declared), file_title(name.rpartition("/")[2])
+    kind, title = by_name(name, declared), file_title((name or "").rpartition("/")[2])
     if kind == "blocked":
         raise ValueError(f"cannot be read: {WHY_BLOCKED[extension(name)]}")
     if kind in DOUBTFUL:
@@ -42,7 +42,7 @@ def parse_file(name: str, data: bytes, declared: str | None = None) -> Iterator[
         raise ValueError(f"cannot be read: {'page images or a PDF need their text extracted first' if kind in ('pdf', 'image') else 'unknown format'}")
 
 
-def _rows(path: str, data: bytes) -> Iterator[tuple]:
+def _rows(path: str | None, data: bytes) -> Iterator[tuple]:
     try:
         for n, book in enumerate(parse_file(path, data)):
             if not book.chapters:
